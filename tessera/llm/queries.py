@@ -13,5 +13,11 @@ def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.documents(spark, sf_dir), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op3_minmax_neardup,)}
+def op5_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring import remove_repeats
+
+    return remove_repeats(C.documents(spark, sf_dir).select("doc_id", "text"), width=20, keep_text=False).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op3_minmax_neardup, op5_fm_substring)}
 ORACLE: dict[str, str] = {}
