@@ -154,20 +154,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: i
     key = ["n_shingles", "s1", "s2"]
     real = rows.where("n_shingles > 0 and doc_id is not null")
     rep = C.materialise(real.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    own = real.join(rep, key).where("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
+    own = real.join(rep.hint("merge"), key).where("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
     bands = C.materialise(own, "bands")
     heads = bands.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("band", "b")
-    stars = bands.join(heads, "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    stars = bands.join(heads.hint("merge"), "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     family = C.components(stars, "families").select(F.col("node").alias("rep"), F.col("comp").alias("family"))
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = family.join(blocks, "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
-    texts = docs.join(dealt, docs.doc_id == dealt.rep).select("doc_id", "text", "family", "blocks", "own")
+    texts = docs.join(dealt.hint("merge"), docs.doc_id == dealt.rep).select("doc_id", "text", "family", "blocks", "own")
     tiles = texts.select("doc_id", "text", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("doc_id", "text", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     tiles = tiles.repartition(C.buckets_of(docs.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
     links = C.map_arrow(tiles, _tiles(k, percent, 100), "a long, b long")
     comp = C.components(links, "links").select(F.col("node").alias("rep"), "comp")
     of_class = rep.join(comp, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
-    out = rows.select("doc_id", *key).join(of_class, key, "left")
+    out = rows.select("doc_id", *key).join(of_class.hint("merge"), key, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
