@@ -19,5 +19,30 @@ def op5_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(C.documents(spark, sf_dir).select("doc_id", "text"), width=20, keep_text=False).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op3_minmax_neardup, op5_fm_substring)}
+def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from tessera.llm.tokenfile import read_tokens, write_tokens
+    from tessera.llm.tokens import default_path
+
+    files = f"{C.shared_folder(spark)}/tessera/{uuid.uuid4().hex}-tokens"
+    write_tokens(C.documents(spark, sf_dir), default_path("byte_bpe_50k.json"), 0, files)
+    return read_tokens(spark, files, with_ids=False).drop("ids")
+
+
+def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack_sequences
+    from tessera.llm.tokens import default_path
+
+    return pack_sequences(C.documents(spark, sf_dir), default_path("word_bpe_49k.json"), end=1, length=2048, with_ids=False).drop("ids")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sentencepiece import encode
+    from tessera.llm.tokens import default_path
+
+    return encode(C.documents(spark, sf_dir), default_path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_huffman_tokens, op3_minmax_neardup, op5_fm_substring, op6_cost_packing, op7_sentencepiece)}
 ORACLE: dict[str, str] = {}
