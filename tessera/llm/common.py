@@ -208,7 +208,12 @@ def column(b: pa.RecordBatch | pa.Table, name: str):
 
 
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+    def typed(x, kind: pa.DataType) -> pa.Array:
+        if not isinstance(x, pa.Array):
+            return pa.array(x, kind)
+        return x if x.type == kind else x.cast(kind)
+
+    return pa.RecordBatch.from_arrays([typed(columns[f.name], f.type) for f in schema], schema=schema)
 
 
 def binary_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:

@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep_text: bool = True) ->
     n = C.buckets_of(spark)
     new = ("n_words", "n_removed", "kept_sha256")
     others = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
-    rest = F.struct(*[docs[c] for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    rest = F.struct(*[docs[c] for c in others]) if others else F.struct(F.lit(None).cast("int").alias("none"))
     base = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("pid"), "doc_id", "text", rest.alias("rest"))
     kind = base.schema["rest"].dataType.simpleString()
     counted = C.map_arrow(base.select("pid", "text"), _count_anchors(width), "hash long, pid int, n int")
