@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import common as C
+from tessera.llm import quality, topk
 
 
 def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,5 +45,17 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(C.documents(spark, sf_dir), default_path("piece_bpe_32k.model"), with_ids=False).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman_tokens, op3_minmax_neardup, op5_fm_substring, op6_cost_packing, op7_sentencepiece)}
-ORACLE: dict[str, str] = {}
+def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(C.documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_huffman_tokens, op3_minmax_neardup, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk)
+}
+ORACLE: dict[str, str] = {"op8_host_quality": quality.SQL, "op9_exact_topk": topk.SQL}
