@@ -141,13 +141,14 @@ _BYTE_VALUES = stream_of(29, 256)
 class Words:
     """The words of some texts: byte range, hash, and first word of each text."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, gaps: np.ndarray | None = None):
+        """lower: A-Z count as a-z; gaps: for each byte value, does it end a word (default: white space)?"""
         data, offsets = text_bytes(texts)
         if lower:
             data = _LOWER[data]
         self.data, self.offsets = data, offsets
         space = np.ones(len(data) + 2, bool)
-        space[1:-1] = _IS_SPACE[data]
+        space[1:-1] = (_IS_SPACE if gaps is None else gaps)[data]
         word = ~space[1:-1]
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True

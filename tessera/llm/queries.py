@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 from tessera.llm import quality, topk
 
 
+def op2_segmented_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import identify
+    from tessera.llm.tokens import default_path
+
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    out = identify(C.documents(spark, sf_dir).select("doc_id", "text", "lang"), default_path("piece_bpe_32k.model"), train=part != 2)
+    return out.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.neardup import near_duplicates
 
     return near_duplicates(C.documents(spark, sf_dir), k=3, percent=85)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import replace_pii
+
+    return replace_pii(C.documents(spark, sf_dir)).select("doc_id", "text", "n_pii")
+
+
 def op5_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.substring import remove_repeats
 
@@ -56,6 +72,6 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_huffman_tokens, op3_minmax_neardup, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk)
+    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk)
 }
 ORACLE: dict[str, str] = {"op8_host_quality": quality.SQL, "op9_exact_topk": topk.SQL}
