@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from tessera.llm.quality import bind
 
 ROUNDS = 4
+#: Most applications of the bijection to one entity; more than two are as good as never needed.
+WALK = 8
+ONLY_HEX = "^[0-9a-fA-F]+$"
 DIGITS = "0123456789"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
@@ -30,7 +33,7 @@ GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 ALPHABETS = [DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK, GREEK.upper()]
 HEX = ["abcdef", "ABCDEF"]
 #: Characters that no alphabet holds.
-OTHER = "[^" + "".join(ALPHABETS) + "]"
+OTHER = "[^0-9A-Za-zа-яА-Яα-ωΑ-Ω]"
 
 #: First names by gender and script; a known name stays within its list.
 FIRST_NAMES = {
@@ -159,8 +162,8 @@ def _name(e: Column, key: str) -> Column:
     known = _known(key)
 
     def one(w: Column) -> Column:
-        again = lambda x: F.when(known[x].isNotNull(), feistel(x, key, "name")).otherwise(x)  # noqa: E731  stays injective: it walks the same cycle on
-        return F.coalesce(known[w], bind(feistel(w, key, "name"), again))
+        step = lambda acc, i: F.when((i == 1) | known[acc].isNotNull(), feistel(acc, key, "name")).otherwise(acc)
+        return F.coalesce(known[w], F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), w, step))
 
     return bind(title, lambda t: F.concat(t, F.array_join(F.transform(F.split(F.substr(e, F.length(t) + 1), " "), one), " ")))
 
@@ -189,9 +192,16 @@ def _general(e: Column, kind: Column, key: str) -> Column:
 
     def made(x: Column) -> Column:
         symbols = F.regexp_replace(x["body"], OTHER, "")
-        hexed = kind.isin("secret", "mac", "hex_key") & symbols.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
         salt = F.when(kind.isin("secret", "hex_key"), "secret").otherwise(kind)  # a secret is one with or without its field
-        return F.concat(x["lead"], _reinsert(x["body"], feistel(symbols, key, salt, hexed)), x["tail"])
+
+        def walked(s: Column) -> Column:
+            """Hex digits stay hex digits; other symbols walk on while they look like hex digits."""
+            hexed = kind.isin("secret", "mac", "hex_key") & s.rlike(ONLY_HEX)
+            on = lambda i, v: (i == 1) | (~hexed & v.rlike(ONLY_HEX) & kind.isin("secret", "mac", "hex_key"))
+            step = lambda acc, i: F.when(on(i, acc), feistel(acc, key, salt, hexed)).otherwise(acc)
+            return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), s, step)
+
+        return F.concat(x["lead"], _reinsert(x["body"], bind(symbols, walked)), x["tail"])
 
     new = bind(bind(F.struct(lead.alias("lead"), tail.alias("tail")), of), made)
     return F.when((kind == "email") & e.rlike("[A-Z]"), _capitals(e, new)).otherwise(new)
