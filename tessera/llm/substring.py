@@ -23,6 +23,7 @@ bucket, not for each document.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,7 +132,7 @@ FINAL, PENDING, ASK, KNOWN = 0, 1, 2, 3
 
 def _schemas(rest: pa.DataType) -> tuple[pa.Schema, pa.Schema]:
     out = [("doc_id", pa.int64()), ("rest", rest), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("cut", pa.string())]
-    return pa.schema(out), pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("mask", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary()), ("text", pa.string()), *out])
+    return pa.schema(out), pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("mask", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary()), ("packed", pa.binary()), *out])
 
 
 def filled(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
@@ -186,7 +187,7 @@ def _ask(width: int, keep_text: bool):
         th = C.as_long(text_hash(b))
         key = pc.fill_null(ids, LEAST).to_numpy()
         take = np.flatnonzero(waits)
-        cols = {"id": key[take], "th": th[take], "doc_id": ids.take(pa.array(take)), "rest": rest.take(pa.array(take)), "text": C.column(b, "text").take(pa.array(take))}
+        cols = {"id": key[take], "th": th[take], "doc_id": ids.take(pa.array(take)), "rest": rest.take(pa.array(take)), "packed": [zlib.compress(x.as_buffer(), 1) for x in C.column(b, "text").take(pa.array(take))]}
         yield filled(schema, len(take), kind=np.full(len(take), PENDING, np.int32), pid=np.full(len(take), pid, np.int32), **cols)
         content = C.mix(C.Windows(w.hash)(start, start + n + width - 1) ^ anchor)
         at = start - w.at[doc]
@@ -204,8 +205,8 @@ def _ask(width: int, keep_text: bool):
                 continue
             more = {}
             if kind == ASK:
-                length = n[sel] + width - 1
-                more = {"anchor": C.as_long(anchor[sel]), "content": C.binary_array(w.hash[C.spread(start[sel], length)], length).cast(pa.binary())}
+                a, z = w.start[start[sel]], w.end[start[sel] + n[sel] + width - 2]
+                more = {"anchor": C.as_long(anchor[sel]), "content": C.binary_array(w.data[C.spread(a, z - a)], z - a).cast(pa.binary())}
             yield filled(schema, len(sel), kind=np.full(len(sel), kind, np.int32), pid=np.full(len(sel), pid, np.int32), id=key[doc[sel]], th=th[doc[sel]], start=at[sel], mask=mask[sel], **more)
 
     return run
@@ -216,12 +217,8 @@ _ANSWER = pa.schema([("pid", pa.int32()), ("id", pa.int64()), ("th", pa.int64())
 
 def shard_answers(t: pa.Table, width: int) -> pa.RecordBatch:
     """For each asking segment of a shard, a bit for each of its windows that starts earlier elsewhere."""
-    raw = t["content"].combine_chunks().cast(pa.large_binary())
-    if isinstance(raw, pa.ChunkedArray):
-        raw = pa.concat_arrays(raw.chunks)
-    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    flat = np.frombuffer(raw.buffers()[2], C.U64)[at[0] // 8 : at[-1] // 8]
-    begin, size = (at[:-1] - at[0]) // 8, np.diff(at) // 8
+    w = C.Words(t["content"].cast(pa.large_binary()).cast(pa.large_string()))
+    flat, begin, size = w.hash, w.at[:-1], w.counts
     ids, start = t["id"].to_numpy(), t["start"].to_numpy()
     own = (np.unique(ids, return_inverse=True)[1].astype(np.int64) << 32) + start
     # distinct segments, each with its earliest start
@@ -288,8 +285,9 @@ def _cut(width: int, keep_text: bool):
             code = name(a)
             order = np.argsort(code, kind="stable")
             code, start, mask = code[order], a["start"].to_numpy()[order], a["mask"].to_numpy()[order]
-            for big in t.filter(pa.array(~answers)).combine_chunks().to_batches():
-                for b in C.slices(big):
+            for big in t.filter(pa.array(~answers)).combine_chunks().to_batches(max_chunksize=256):
+                text = pa.array([zlib.decompress(x.as_buffer()) for x in C.column(big, "packed")], pa.binary()).cast(pa.string())
+                for b in C.slices(big.append_column("text", text)):
                     w = C.Words(C.column(b, "text"))
                     mine = name(pa.Table.from_batches([b]))
                     lo, hi = np.searchsorted(code, mine, "left"), np.searchsorted(code, mine, "right")
@@ -332,13 +330,13 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep_text: bool = True) ->
     bodies = base.select("pid", F.lit(1).alias("ord"), F.lit(0).cast("long").alias("hash"), "doc_id", "text", "rest")
     stream = heads.unionByName(bodies).repartition(n, "pid").sortWithinPartitions("pid", "ord", "doc_id")
     out_type = f"doc_id long, rest {kind}, n_words long, n_removed long, kept_sha256 string, cut string"
-    asked = C.materialise(C.map_arrow(stream, _ask(width, keep_text), f"kind int, pid int, id long, th long, start long, mask long, anchor long, content binary, text string, {out_type}"), "asked")
+    asked = C.materialise(C.map_arrow(stream, _ask(width, keep_text), f"kind int, pid int, id long, th long, start long, mask long, anchor long, content binary, packed binary, {out_type}"), "asked")
     reply = ["pid", "id", "th", "start", "mask"]
-    ask = asked.where(f"kind = {ASK}").select(F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int").alias("shard"), "content", *reply)
+    ask = asked.where(f"kind = {ASK}").select(F.pmod(F.xxhash64("anchor"), F.lit(8 * n)).cast("int").alias("shard"), "content", *reply)
     answers = C.map_arrow(ask.repartition(n, "shard").sortWithinPartitions("shard"), _shards(width), "pid int, id long, th long, start long, mask long")
     answers = answers.unionByName(asked.where(f"kind = {KNOWN}").select(*reply))
-    heads = answers.select("pid", F.lit(0).alias("ord"), "id", "th", "start", "mask", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("doc_id", "text", "rest")])
-    waiting = asked.where(f"kind = {PENDING}").select("pid", F.lit(1).alias("ord"), "id", "th", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("mask"), "doc_id", "text", "rest")
+    heads = answers.select("pid", F.lit(0).alias("ord"), "id", "th", "start", "mask", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("doc_id", "packed", "rest")])
+    waiting = asked.where(f"kind = {PENDING}").select("pid", F.lit(1).alias("ord"), "id", "th", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("mask"), "doc_id", "packed", "rest")
     stream = heads.unionByName(waiting).repartition(n, "pid").sortWithinPartitions("pid", "ord")
     cut = C.map_arrow(stream, _cut(width, keep_text), out_type)
     done = asked.where(f"kind = {FINAL}").select("doc_id", "rest", *new, "cut").unionByName(cut)
