@@ -15,7 +15,7 @@ def op2_segmented_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     out = identify(C.documents(spark, sf_dir).select("doc_id", "text", "lang"), default_path("piece_bpe_32k.model"), train=part != 2)
-    return out.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,16 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import score_texts
+
+    part = F.crc32(F.col("doc_id").cast("string")) % 7
+    out = score_texts(C.documents(spark, sf_dir), train=part != 2)
+    return out.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk)
+    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk, op10_context_mixing)
 }
 ORACLE: dict[str, str] = {"op8_host_quality": quality.SQL, "op9_exact_topk": topk.SQL}
