@@ -1,12 +1,64 @@
-"""Corpus pipeline: language ID, near-dedup, substring dedup, PII, packing."""
+"""Corpus pipeline: language ID, near-dedup, substring dedup, PII, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents.  run() applies them to the documents table, each
+stage's result written to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import materialise, small_batches
+from tessera.llm.langid import identify
+from tessera.llm.neardup import near_duplicates
+from tessera.llm.packing import pack_sequences
+from tessera.llm.pii import replace_pii
+from tessera.llm.substring import remove_repeats
+from tessera.llm.tokens import default_path
+
+#: Least posterior of the predicted language; text without letters is rejected too.
+LANGUAGE_SCORE = 0.5
+#: Shortest repeated passage, in words, that is cut.
+PASSAGE = 50
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; learned from all rows with text and lang."""
+    small_batches(spark)
+    out = identify(docs, default_path("piece_bpe_32k.model"))
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id.
+
+    Of rows that share a doc_id and text one stays; rows with a null doc_id all stay."""
+    kept = near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of PASSAGE words or more that start earlier; documents left without a word go."""
+    out = remove_repeats(docs, width=PASSAGE)
+    return out.where("n_removed = 0 or n_removed < n_words").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data."""
+    return replace_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their place in sequences."""
+    return pack_sequences(docs, default_path("word_bpe_49k.json"), end=1, length=2048, with_ids=False).drop("ids")
+
 
-from tessera.llm.common import materialise
+STAGES = [("language", language), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("pii", pii), ("packing", packing)]
 
-STAGES: list = []
+#: No SQL: segmentation sums, tokenizer ids and packing are beyond it; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
