@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that share a doc_id and text one stays; rows with a null doc_id all stay."""
     kept = near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
