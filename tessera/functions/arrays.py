@@ -48,10 +48,14 @@ def soft_best_of_two(r: Column, pool: Column, tau: float = TAU, plain: bool = Fa
     return F.lit(2.0) / (F.size(pool) * tau) * total(F.transform(pool, lambda m: add(tau * r, tau * m)))
 
 
+def _times(w: float):
+    return lambda x: x * w
+
+
 def weighted(arrays: list[Column], weights: list[float]) -> Column:
     out = F.transform(arrays[0], lambda x: x * weights[0])
     for a, w in zip(arrays[1:], weights[1:]):
-        out = F.zip_with(out, a, lambda s, x, w=w: s + x * w)
+        out = F.zip_with(out, F.transform(a, _times(w)), lambda s, x: s + x)
     return out
 
 

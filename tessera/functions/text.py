@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,21 +148,25 @@ def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
     return F.coalesce(F.try_divide(2.0 * both, (F.size(a) + F.size(b)).cast("double")), F.lit(0.0))
 
 
-def rouge_l(candidate: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of two word arrays: a fold of rows of the table of lengths."""
-    zero = F.transform(reference, lambda w: F.lit(0))
-
-    def row(prev: Column, word: Column) -> Column:
-        start = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("row"))
-
-        def cell(acc: Column, i: Column) -> Column:
-            up = F.get(prev, i)
-            diagonal = F.coalesce(F.get(prev, i - 1), F.lit(0))
-            v = F.when(F.get(reference, i) == word, diagonal + 1).otherwise(F.greatest(up, acc["left"]))
-            return F.struct(v.alias("left"), F.concat(acc["row"], F.array(v)).alias("row"))
-
-        return F.when(F.size(reference) > 0, F.aggregate(F.sequence(F.lit(0), F.size(reference) - 1), start, cell)["row"]).otherwise(prev)
-
-    last = F.aggregate(candidate, zero, row)
-    common = F.coalesce(F.element_at(last, -1), F.lit(0))
-    return F.when((F.size(candidate) > 0) & (F.size(reference) > 0), 2.0 * common / (F.size(candidate) + F.size(reference))).otherwise(0.0)
+def rouge_l(candidate: Column | str, reference: Column | str) -> Column:
+    """F1 of the longest common subsequence of two word arrays: bit-parallel, a few operations on big
+    integers for each word; 0 where either is empty or null."""
+
+    def one(a, b) -> float:
+        if a is None or b is None or not len(a) or not len(b):
+            return 0.0
+        where: dict = {}
+        for i, w in enumerate(b):
+            where[w] = where.get(w, 0) | (1 << i)
+        full = (1 << len(b)) - 1
+        row = full
+        for w in a:
+            hit = row & where.get(w, 0)
+            row = ((row + hit) | (row - hit)) & full
+        common = len(b) - row.bit_count()
+        return 2.0 * common / (len(a) + len(b))
+
+    def scores(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(scores, "double")(candidate, reference)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,10 +50,18 @@ def t_p_value(r: float | None, n: int) -> float | None:
     return incomplete_beta(df / 2, 0.5, df / (df + t2))
 
 
-@F.pandas_udf("double")
-def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+def p_value(r: Column | str, n: Column | str) -> Column:
     """t_p_value by column; meant for result tables, not for data."""
-    return pd.Series([t_p_value(None if a is None or a != a else float(a), int(b)) for a, b in zip(r, n)], dtype="float64")
+
+    def values(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([t_p_value(None if x is None or x != x else float(x), int(y)) for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(values, "double")(r, n)
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's r as an aggregate; null, not an error, where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def normal_p_value(z: Column) -> Column:
@@ -66,9 +73,9 @@ def normal_p_value(z: Column) -> Column:
 
 
 def pearson(rows: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """r and n by keys over rows with both values; r is NaN or null for a constant side."""
+    """r and n by keys over rows with both values; r is null for a constant side."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return both.groupBy(*(keys or [])).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    return both.groupBy(*(keys or [])).agg(correlation(x, y).alias("r"), F.count("*").alias("n"))
 
 
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
@@ -139,20 +146,21 @@ def flattened(left: DataFrame, right: DataFrame, array: str, order: str) -> Data
     return both.select(F.explode(F.arrays_zip(F.slice("x", 1, F.least(F.size("x"), F.size("y"))), F.slice("y", 1, F.least(F.size("x"), F.size("y"))))).alias("p")).select("p.0", "p.1").toDF("x", "y")
 
 
-def mean_of_array_correlations(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
+def mean_of_array_correlations(rows: DataFrame, x: str, y: str, key: str, keep_nan: bool = True) -> DataFrame:
     """Mean of r over arrays, each pair cut to its shorter; arrays of fewer than two points are left out.
 
-    A constant side gives NaN, which stays and makes the mean NaN."""
+    A constant side gives NaN, which stays and makes the mean NaN, unless keep_nan is false."""
     n = F.least(F.size(x), F.size(y))
     points = rows.where(n >= 2).select(key, F.explode(F.arrays_zip(F.slice(x, 1, n).alias("x"), F.slice(y, 1, n).alias("y"))).alias("p"))
-    per = points.groupBy(key).agg(F.corr("p.x", "p.y").alias("r"))
-    return per.agg(F.avg(F.coalesce("r", F.lit(float("nan")))).alias("mean_r"), F.count("*").alias("arrays"))
+    per = points.groupBy(key).agg(correlation("p.x", "p.y").alias("r"))
+    r = F.coalesce("r", F.lit(float("nan")))
+    return per.agg(F.avg(r if keep_nan else F.when(~F.isnan(r), r)).alias("mean_r"), F.count("*").alias("arrays"))
 
 
 def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r for all ordered pairs of columns, 1 on the diagonal: one pass, a sum for each pair."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = rows.agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = rows.agg(F.count("*").alias("n"), *[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs for x, y in ((a, b), (b, a))]
     cells += [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r")) for c in columns]
     return one.select("n", F.explode(F.array(*cells)).alias("c")).select("c.a", "c.b", "c.r", "n")

@@ -61,15 +61,13 @@ def graph(matrices: DataFrame, n: int) -> DataFrame:
     """jid, src, dst: winner to loser between tied groups, each named by its smallest node; distinct.
 
     A strict preference within a tied group is a loop of that group."""
-    group = F.array(*[F.lit(i) for i in range(n)])
+    rows = matrices.withColumn("_g", F.array(*[F.lit(i) for i in range(n)]))
     for _ in range(n - 1):  # smallest label among tied nodes; n - 1 rounds reach everywhere
-        prev = group
-        group = F.transform(prev, lambda g, i, prev=prev: F.array_min(F.filter(F.transform(prev, lambda h, j: F.when((j == i) | (F.get("p", i * n + j) == 0.5), h)), lambda x: x.isNotNull())))
-        matrices = matrices.withColumn("_g", group)
-        group = F.col("_g")
-    edges = F.flatten(F.transform("_g" if n > 1 else group, lambda g, i: F.transform("_g" if n > 1 else group, lambda h, j: F.when((i != j) & (F.get("p", i * n + j) > 0.5), F.struct(g.alias("src"), h.alias("dst"))))))
+        tied = lambda i: F.filter(F.transform("_g", lambda h, j: F.when((j == i) | (F.get("p", i * n + j) == 0.5), h)), lambda x: x.isNotNull())
+        rows = rows.withColumn("_g", F.transform("_g", lambda g, i: F.array_min(tied(i))))
+    edges = F.flatten(F.transform("_g", lambda g, i: F.transform("_g", lambda h, j: F.when((i != j) & (F.get("p", i * n + j) > 0.5), F.struct(g.alias("src"), h.alias("dst"))))))
     kept = F.array_distinct(F.filter(edges, lambda e: e.isNotNull()))
-    return matrices.select("jid", F.explode(kept).alias("e")).select("jid", "e.src", "e.dst")
+    return rows.select("jid", F.explode(kept).alias("e")).select("jid", "e.src", "e.dst")
 
 
 def simple_cycles(edges: DataFrame, n: int) -> DataFrame:

@@ -19,7 +19,7 @@ VIEWS = {
   SELECT l_orderkey AS prompt_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS INT) AS resp_idx,
          l_quantity / 50 AS r0, l_discount * 10 AS r1, l_tax * 10 AS r2 FROM lineitem""",
     "v_models": """
-  SELECT user_id AS prompt_id, event_type AS model, round(sum(value) / count(*), 4) AS helpfulness, max(value) AS correctness FROM events GROUP BY user_id, event_type""",
+  SELECT user_id AS prompt_id, event_type AS model, sum(CAST(round(value * 100) AS BIGINT)) / (CAST(100 AS DOUBLE) * count(*)) AS helpfulness, max(value) AS correctness FROM events GROUP BY user_id, event_type""",
     "v_judge": """
   SELECT user_id AS prompt_id, CAST(event_id % 3 AS INT) AS check_idx, event_id AS sample_idx, event_id % 2 = 1 AS switched,
          CAST({json} AS INT) % 6 - 1 AS verdict,
