@@ -8,6 +8,7 @@ finish; sets and windows are compared through these 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,7 +59,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """df.mapInArrow(fn, schema); a worker gives unused memory back when a partition ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_clears: dict[str, Callable] = {}
+
+
+def claim(owner: str, clear: Callable) -> None:
+    """A worker keeps the tables of one operator at a time: all other owners' are cleared."""
+    if owner not in _clears or len(_clears) > 1:
+        for other, f in list(_clears.items()):
+            if other != owner:
+                f()
+                del _clears[other]
+        _clears[owner] = clear
 
 
 def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -28,9 +28,9 @@ PART = 48
 #: Longest piece in bytes.
 REACH = 16
 #: Words that one lattice pass handles.
-LATTICE = 16384
+LATTICE = 8192
 #: Distinct words whose scores a worker keeps.
-KEPT = 1_000_000
+KEPT = 500_000
 #: Weight of the prior in a language's piece probabilities, in pieces.
 PRIOR = 50.0
 
@@ -177,7 +177,7 @@ def _expectations(path: str, langs: list[str]):
         v = vocabulary(path)
         total = np.zeros((v.n, len(langs)))
         for big in batches:
-            for b in C.slices(big, most=4 << 20):
+            for b in C.slices(big):
                 w = C.Words(C.column(b, "text"), lower=True, gaps=_GAPS)
                 start, size, doc = parts(w)
                 if not len(start):
@@ -215,12 +215,13 @@ _scores: dict[int, tuple] = {}
 
 def word_scores(model_id: int, model: dict, v: Vocabulary, w: C.Words) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of word parts by language, and the text of each part."""
+    C.claim("langid", _scores.clear)
     start, size, doc = parts(w)
     hashes = C.Windows(C._BYTE_VALUES[w.data])
     keys = hashes(start, start + size) | C.U64(1)
     table, values, n = _scores.get(model_id, (None, None, 0))
     if table is None or n > KEPT:
-        table, values, n = HashTable(21), np.zeros((1 << 16, len(model["langs"])), np.float32), 0
+        table, values, n = HashTable(20), np.zeros((1 << 16, len(model["langs"])), np.float32), 0
     index = table.get(keys)
     new = np.flatnonzero(index < 0)
     if len(new):

@@ -118,6 +118,7 @@ _codecs: dict = {}
 
 
 def codec(path: str, threads: int) -> Codec:
+    C.claim("pieces", _codecs.clear)
     if path not in _codecs:
         _codecs[path] = Codec(path, threads)
     return _codecs[path]

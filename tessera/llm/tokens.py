@@ -19,7 +19,7 @@ import tokenizers
 from tessera.llm import common as C
 
 #: Pieces that a table holds; beyond that it starts anew.
-PIECES = 1_000_000
+PIECES = 500_000
 _SPACED, _FOREIGN = (C.U64(x) for x in C.stream_of(41, 2))
 
 
@@ -72,8 +72,8 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.table = HashTable(int(PIECES * 2 - 1).bit_length())
-        self.ids = np.zeros(1 << 21, np.int32)
+        self.table = HashTable(20)
+        self.ids = np.zeros(1 << 20, np.int32)
         self.at = np.zeros(PIECES + 2, np.int64)
         self.odd = np.zeros(PIECES + 2, bool)
         self.bad = np.zeros(PIECES + 2, bool)
@@ -221,6 +221,7 @@ _encoders: dict = {}
 
 def encoder(path: str):
     """The encoder of a tokenizer file, kept by this worker."""
+    C.claim("tokens", _encoders.clear)
     if path not in _encoders:
         t = tokenizers.Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
