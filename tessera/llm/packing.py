@@ -119,8 +119,9 @@ def pack_sequences(docs: DataFrame, path: str, end: int = 1, length: int = 2048,
                 for doc, a, z in zip(C.column(b, "doc_id").to_pylist(), (at - counts).tolist(), at.tolist()):
                     packer.add(doc, ids[a:z])
                 yield packer.batch()
-        if packer.waiting:
-            packer.flush(-(-packer.waiting // length))
+        for bins in (packer.waiting // length, 1):  # full ones, then the rest
+            if packer.waiting and bins:
+                packer.flush(bins)
         yield packer.batch()
 
     return C.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double, ids array<int>")
