@@ -189,7 +189,7 @@ def _ask(width: int, keep_text: bool):
         take = np.flatnonzero(waits)
         cols = {"id": key[take], "th": th[take], "doc_id": ids.take(pa.array(take)), "rest": rest.take(pa.array(take)), "packed": [zlib.compress(x.as_buffer(), 1) for x in C.column(b, "text").take(pa.array(take))]}
         yield filled(schema, len(take), kind=np.full(len(take), PENDING, np.int32), pid=np.full(len(take), pid, np.int32), **cols)
-        content = C.mix(C.Windows(w.hash)(start, start + n + width - 1) ^ anchor)
+        content = C.mix(C.mix(C.Windows(w.hash)(start, start + n + width - 1)) + anchor)
         at = start - w.at[doc]
         ask = np.zeros(len(doc), bool)
         values, first = np.unique(content, return_index=True)
