@@ -79,21 +79,23 @@ def pearson(rows: DataFrame, x: str, y: str, keys: list[str] | None = None) -> D
 
 
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean, without a one-task window: counts of distinct values, then their running sum.
-
-    Distinct values are ranked in range partitions; the offsets of the partitions are summed on the driver."""
-    spark = rows.sparkSession
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, value).withColumn("_part", F.spark_partition_id()).cache()
+    """Ranks with ties at their mean, without a one-task window.
+
+    Distinct values are counted and fall into ranges between fixed splits; the ranges' sizes, summed on the
+    driver, are their offsets, and a running sum within each range does the rest."""
+    counts = rows.groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = sorted(set(counts.approxQuantile("_v", [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    nth = F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < F.col("_v"))) if splits else F.lit(0)
+    ranged = counts.withColumn("_part", nth)
     sums = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}
     before, at = {}, 0
     for p in sorted(sums):
         before[p], at = at, at + sums[p]
     offset = F.element_at(F.create_map(*[F.lit(z) for p in before.items() for z in p]), F.col("_part")) if before else F.lit(0)
-    within = F.sum("_n").over(Window.partitionBy("_part").orderBy(value))
-    ranks = ranged.select(F.col(value).alias("_v"), (offset + within - (F.col("_n") - 1) / 2).cast("double").alias(out))
-    return rows.join(ranks, rows[value] == ranks["_v"]).drop("_v")
+    within = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v"))
+    ranks = ranged.select("_v", (offset + within - (F.col("_n") - 1) / 2).cast("double").alias(out))
+    return rows.join(ranks, rows[value].cast("double") == ranks["_v"]).drop("_v")
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:

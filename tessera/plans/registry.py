@@ -608,9 +608,9 @@ def row_range(spark, d):
     return relational.row_range(table(spark, d, "orders"), "o_orderkey", 100, 200).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey, o_orderstatus, CAST(list_position([0, 8, 10, 11, 13, 14, 18, 29, 30, 31], o_orderkey) - 1 AS INTEGER) AS pos FROM orders WHERE o_orderkey IN (0, 8, 10, 11, 13, 14, 18, 29, 30, 31)")
+@query("SELECT o_orderkey, o_orderstatus, CAST(list_position([3, 9, 27, 81, 243], o_orderkey) - 1 AS INTEGER) AS pos FROM orders WHERE o_orderkey IN (3, 9, 27, 81, 243)")
 def positional_pick(spark, d):
-    return relational.pick(table(spark, d, "orders"), "o_orderkey", [0, 8, 10, 11, 13, 14, 18, 29, 30, 31]).select("o_orderkey", "o_orderstatus", F.col("pos").cast("int").alias("pos"))
+    return relational.pick(table(spark, d, "orders"), "o_orderkey", [3, 9, 27, 81, 243]).select("o_orderkey", "o_orderstatus", F.col("pos").cast("int").alias("pos"))
 
 
 @query("SELECT CASE event_type WHEN 'view' THEN 'Base' ELSE 'Ours' END AS event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
