@@ -54,12 +54,13 @@ PATTERNS = {
     "cloud_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "prefixed_key": r"(?:gh[pousr]_|sk-|pk-|xox[abp]-)[A-Za-z0-9_-]{16,}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:0-9A-Za-z])",
     "mac": r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![:0-9A-Za-z])",
     "hex_key": r"(?=[a-f]*\d)[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "ip": rf"{OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
-    "card": r"[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
+    "card": r"(?:3[47]\d{2}[ -]\d{6}[ -]\d{5}|[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{9,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?!\w)",
+    "phone": r"(?:\+\d{9,15}|\+\d{1,3}(?:[ .-]\d{2,8}){2,4}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?!\w)",
     "name": rf"(?:{TITLES_M}|{TITLES_F}) \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 #: An entity starts where no word, dot-joined number or address goes on.
@@ -196,8 +197,8 @@ def _general(e: Column, kind: Column, key: str) -> Column:
 
         def walked(s: Column) -> Column:
             """Hex digits stay hex digits; other symbols walk on while they look like hex digits."""
-            hexed = kind.isin("secret", "mac", "hex_key") & s.rlike(ONLY_HEX)
-            on = lambda i, v: (i == 1) | (~hexed & v.rlike(ONLY_HEX) & kind.isin("secret", "mac", "hex_key"))
+            hexed = kind.isin("secret", "mac", "ipv6", "hex_key") & s.rlike(ONLY_HEX)
+            on = lambda i, v: (i == 1) | (~hexed & v.rlike(ONLY_HEX) & kind.isin("secret", "mac", "ipv6", "hex_key"))
             step = lambda acc, i: F.when(on(i, acc), feistel(acc, key, salt, hexed)).otherwise(acc)
             return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), s, step)
 
