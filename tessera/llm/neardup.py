@@ -25,6 +25,8 @@ from tessera.llm import common as C
 
 #: Classes in a block; a tile compares two blocks.
 BLOCK = 96
+#: Bands that are connected together.
+STEP = 8
 #: Shingle columns that one product of a tile handles.
 COLUMNS = 8192
 
@@ -138,6 +140,28 @@ def _tiles(k: int, num: int, den: int):
     return run
 
 
+def families(bands: DataFrame, n: int) -> DataFrame:
+    """rep, family of the classes that share a band key with another, from rows (rep, nth, band) of n bands.
+
+    STEP bands at a time: what they connect counts as one class for the next bands, so a large
+    group is a few rows after the first step and not a row for each class and band."""
+    labels = None
+    for lo in range(0, n, STEP):
+        now = bands.where((F.col("nth") >= lo) & (F.col("nth") < lo + STEP)).select("rep", "band")
+        if labels is not None:
+            now = now.join(labels.hint("merge"), "rep", "left").select(F.coalesce("family", "rep").alias("rep"), "band").distinct()
+        heads = now.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("band", "b")
+        stars = now.join(heads.hint("merge"), "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+        new = C.components(stars, "families")
+        if labels is None:
+            labels = new.select(F.col("node").alias("rep"), F.col("comp").alias("family"))
+            continue
+        moved = labels.join(new, labels.family == new.node, "left").select("rep", F.coalesce("comp", "family").alias("family"))
+        fresh = new.join(labels, new.node == labels.rep, "left_anti").select(F.col("node").alias("rep"), F.col("comp").alias("family"))
+        labels = C.materialise(moved.unionByName(fresh), "families")
+    return labels
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
 
@@ -154,11 +178,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: i
     key = ["n_shingles", "s1", "s2"]
     real = rows.where("n_shingles > 0 and doc_id is not null")
     rep = C.materialise(real.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    own = real.join(rep.hint("merge"), key).where("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
-    bands = C.materialise(own, "bands")
-    heads = bands.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("band", "b")
-    stars = bands.join(heads.hint("merge"), "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    family = C.components(stars, "families").select(F.col("node").alias("rep"), F.col("comp").alias("family"))
+    own = real.join(rep.hint("merge"), key).where("doc_id = rep").select("rep", F.posexplode("bands").alias("nth", "band")).distinct()
+    family = families(C.materialise(own, "bands"), functions // 2)
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = family.join(blocks, "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
     texts = docs.join(dealt.hint("merge"), docs.doc_id == dealt.rep).select("doc_id", "text", "family", "blocks", "own")
