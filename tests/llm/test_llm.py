@@ -445,6 +445,33 @@ def test_codes_are_a_distribution():
     assert [round(float(x.sum()), 4) for x in total] == [1.0] * 4
 
 
+def _learned(texts):
+    t = mixing.Tokens(pa.array(texts, pa.large_string()))
+    words, n = np.unique(t.hash[~t.is_end], return_counts=True)
+    code = mixing.Code(words, np.append(n, [len(texts), 0]))
+    tables = [np.zeros(1 << b, np.uint32) for b in mixing.SLOTS]
+    mixing.observe(tables, t, code.symbols(t))
+    return code, tables
+
+
+def test_middle_texts_adapt():
+    """In a text of 100 tokens, weights and the refining table follow what went before."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(100)) for _ in range(30)]
+    code, tables = _learned(texts)
+    mix = mixing.fit(code, tables, texts)
+    t = mixing.Tokens(pa.array(["aa " * 100, "aa"]))
+    symbols = code.symbols(t)
+    got = mixing.token_bits(code, tables, mix, t, symbols)
+    b = mixing.Bits(code, tables, t, symbols, leave_out=False)
+    dot = (mix["weights"][b.gate].T * b.logits(mix["strength"])).sum(axis=0)
+    p = mixing.squash(dot)
+    r = mix["refine"][b.depth, np.minimum((np.abs(dot) * ((mixing.STEPS - 1) / mixing._LOGIT)).astype(int), mixing.STEPS - 1)]
+    static = np.bincount(b.token, weights=np.log10(np.clip((p + np.where(dot > 0, r, np.where(dot < 0, 1 - r, 0.5))) / 2, 1e-6, 1 - 1e-6)))
+    assert np.allclose(got[:8], static[:8], rtol=1e-4) and np.allclose(got[-2:], static[-2:], rtol=1e-4)
+    assert (np.abs(got[64:100] - static[64:100]) > 1e-3).mean() > 0.5 and got[:100].sum() > static[:100].sum()
+
+
 # -- the pipeline ----------------------------------------------------------------
 
 
