@@ -448,7 +448,8 @@ def test_codes_are_a_distribution():
 def _learned(texts):
     t = mixing.Tokens(pa.array(texts, pa.large_string()))
     words, n = np.unique(t.hash[~t.is_end], return_counts=True)
-    code = mixing.Code(words, np.append(n, [len(texts), 0]))
+    order = np.lexsort((C.as_long(words), -n))
+    code = mixing.Code(words[order], np.append(n[order], [len(texts), 0]))
     tables = [np.zeros(1 << b, np.uint32) for b in mixing.SLOTS]
     mixing.observe(tables, t, code.symbols(t))
     return code, tables
@@ -472,6 +473,29 @@ def test_middle_texts_adapt():
     assert (np.abs(got[64:100] - static[64:100]) > 1e-3).mean() > 0.5 and got[:100].sum() > static[:100].sum()
 
 
+def test_long_texts_shape_the_weights(spark):
+    """A text of 40,000 characters is learned from, alone or among others, in any partitions."""
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["ab cd ef gh", "ij kl mn"]) for _ in range(4500))
+    df = spark.createDataFrame([(1, text), (2, "ab kl")], "doc_id long, text string")
+    r = {x["doc_id"]: x["score"] for x in mixing.score_texts(df, F.col("doc_id") == 1).collect()}
+    code, tables = _learned([text])
+    t = mixing.Tokens(pa.array([text, "ab kl"]))
+    plain = mixing.fit(code, tables, [])
+    plain = np.bincount(t.doc, weights=mixing.token_bits(code, tables, plain, t, code.symbols(t)))
+    assert len(text) > 32_768 and r[1] / plain[0] < 0.9  # scores are negative
+
+
+def test_all_texts_are_tallied(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randint(1, 30))) for _ in range(2500)]
+    code, tables = _learned(texts)
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(3)
+    got = C.map_arrow(df, mixing._tally(spark.sparkContext.broadcast((code, tables))), "cell int, n double, base double").agg(F.sum("n")).first()[0]
+    t = mixing.Tokens(pa.array(texts))
+    assert got == code.size[code.symbols(t)].sum()
+
+
 # -- the pipeline ----------------------------------------------------------------
 
 
