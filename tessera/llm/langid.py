@@ -13,7 +13,7 @@ letters and non-ASCII bytes, A-Z as a-z.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from tessera.llm.tokens import HashTable
 PART = 48
 #: Longest piece in bytes.
 REACH = 16
+#: Bytes after which alphas are rescaled: even eight pieces of 1e-30 in a row stay above 0.
+STRIDE = 8
 #: Words that one lattice pass handles.
 LATTICE = 8192
 #: Distinct words whose scores a worker keeps.
@@ -105,19 +107,40 @@ class Lattice:
                     self.lead.append(v.first.get(h ^ _START))
             self.edges.append(row)
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha: words x (bytes + 1) x languages, for piece probabilities p (pieces + 1 zero row, languages)."""
+    def forward(self, p: np.ndarray, before: Callable | None = None) -> np.ndarray:
+        """alpha: words x (bytes + 1) x languages, for piece probabilities p (pieces + 1 zero row, languages).
+
+        before(alpha, i) is called before pieces at byte i are added, if given."""
         most = len(self.edges)
         alpha = np.zeros((most + 1, len(self.size), p.shape[1]))
         alpha[0] = p[self.v.mark]
         for n, ids in enumerate(self.lead, 1):
             alpha[n, : len(ids)] += p[ids]
         for i, row in enumerate(self.edges):
+            if before:
+                before(alpha, i)
             for n, ids in enumerate(row, 1):
                 hit = np.flatnonzero(ids >= 0)
                 alpha[i + n, hit] += alpha[i, hit] * p[ids[hit]]
         return alpha
 
+    def logs(self, p: np.ndarray) -> np.ndarray:
+        """Log-probabilities: words x languages; a word's alphas within reach have one scale, kept apart as a log."""
+        scale = np.zeros((len(self.size), p.shape[1]))
+
+        def rescale(alpha: np.ndarray, i: int) -> None:
+            if i and i % STRIDE == 0:
+                k = self.active[i + 1]
+                near = alpha[i : i + REACH, :k]
+                top = near.max(axis=0)
+                top[top == 0] = 1
+                near /= top
+                scale[:k] += np.log(top)
+
+        alpha = self.forward(p, rescale)
+        with np.errstate(divide="ignore"):  # no segmentation at all: -inf
+            return np.log(self.last(alpha)) + scale
+
     def last(self, alpha: np.ndarray) -> np.ndarray:
         return alpha[self.size, np.arange(len(self.size))]
 
@@ -230,7 +253,7 @@ def word_scores(model_id: int, model: dict, v: Vocabulary, w: C.Words) -> tuple[
         while n + len(first) > len(values):
             values = np.concatenate([values, np.zeros_like(values)])
         for rows, lattice in lattices(v, hashes, start[first], size[first]):
-            values[n + rows] = np.log(lattice.last(lattice.forward(model["p"])))
+            values[n + rows] = lattice.logs(model["p"])
         table.put(keys[first], np.arange(n, n + len(first), dtype=np.int32))
         n += len(first)
         index[new] = table.get(keys[new])
@@ -260,6 +283,8 @@ def _predict(path: str, held):
                 for i in np.flatnonzero(~letters & (w.counts > 0)):
                     letters[i] = any(ch.isalpha() for ch in texts[int(i)].as_py())
                 if langs:
+                    letters &= np.isfinite(lp.max(axis=1))  # a text that no language can spell is und
+                    lp[~letters] = 0
                     best = lp.argmax(axis=1)
                     share = 1 / np.exp(lp - lp.max(axis=1, keepdims=True)).sum(axis=1)
                     name = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())]
@@ -276,7 +301,7 @@ def identify(docs: DataFrame, path: str, train: Column | bool = True) -> DataFra
     """docs with lang_pred and score (the posterior of lang_pred under equal priors; extra columns of those names are replaced).
 
     Learns from the rows of docs for which `train` holds and text and lang aren't null; a prediction
-    reads text only.  Text that is null or has no letter, or no training rows: und, score 0.
+    reads text only.  Text that is null, has no letter or has probability 0 in all languages, or no training rows: und, score 0.
     """
     C.small_batches(docs.sparkSession)
     model = learn(docs.where(F.lit(True) if train is True else train), path)

@@ -225,6 +225,27 @@ def test_forward_sums_all_segmentations():
     assert 1 < expected.sum() <= len(word) + 1
 
 
+def test_rare_bytes_do_not_underflow():
+    """48 bytes of 1e-12 and less keep finite logs that tell languages apart; ordinary words are scored as before."""
+    v = langid.vocabulary(tokens.default_path("piece_bpe_32k.model"))
+    w = C.Words(pa.array(["\U00010348" * 12 + " thening \U00010348 internationalisation"]), gaps=langid._GAPS)
+    start, size, _ = langid.parts(w)
+    (rows_, lattice), = langid.lattices(v, C.Windows(C._BYTE_VALUES[w.data]), start, size)
+    p = np.append(v.prior, 0.0)[:, None] * np.array([1.0, 0.5])
+    assert np.allclose(lattice.logs(p), np.log(lattice.last(lattice.forward(p))), rtol=1e-12)
+    p = p * 1e-9
+    logs = lattice.logs(p)
+    assert np.isfinite(logs).all() and (logs[:, 0] > logs[:, 1]).all() and logs[list(rows_).index(0), 0] < -1000
+
+
+def test_rare_script_has_a_score(spark):
+    path = tokens.default_path("piece_bpe_32k.model")
+    rows_ = [(i, "the cat and the dog " * 40000 if lang == "en" else "der hund und die katze " * 40000, lang) for i, lang in enumerate(["en", "de"] * 8)]
+    df = spark.createDataFrame([*rows_, (99, "the cat and the dog " * 5 + "\U00010348" * 12, None)], "doc_id long, text string, lang string")
+    got = langid.identify(df, path).where("doc_id = 99").first()
+    assert 0.5 <= got["score"] <= 1 and got["lang_pred"] == "en"
+
+
 def test_language_id(hand, empty, docs):
     path = tokens.default_path("piece_bpe_32k.model")
     part = F.crc32(F.col("doc_id").cast("string")) % 4
