@@ -139,13 +139,28 @@ def exact_kendall_p(n: int, s: int) -> float:
     return min(1.0, 2 * sum(counts[: least + 1]) / math.factorial(n))
 
 
+def _flat(side: DataFrame, array: str, order: str, out: str) -> DataFrame:
+    """Values of a table of arrays with their place `_at` in the whole, arrays in the order of `order`, then of their values.
+
+    Arrays fall into ranges between fixed splits; the ranges' sizes, summed on the driver, are their offsets."""
+    rows = side.select(F.col(order).alias("_o"), F.col(array).alias("_a"), F.coalesce(F.cardinality(array), F.lit(0)).cast("long").alias("_n"))
+    parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col("_o").cast("double")
+    splits = sorted(set(rows.select(key.alias("_o")).approxQuantile("_o", [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    ranged = rows.withColumn("_part", F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < key)) if splits else F.lit(0))
+    before, at = {}, 0
+    for r in sorted(ranged.groupBy("_part").agg(F.sum("_n").alias("n")).collect(), key=lambda r: r["_part"]):
+        before[r["_part"]], at = at, at + r["n"]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for p in before.items() for x in p]), F.col("_part").cast("long")) if before else F.lit(0).cast("long")
+    within = F.sum("_n").over(Window.partitionBy("_part").orderBy("_o", "_a").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.select("_a", (offset + within - F.col("_n")).alias("_from")).select("_from", F.posexplode("_a").alias("_i", out)).select((F.col("_from") + F.col("_i")).alias("_at"), out)
+
+
 def flattened(left: DataFrame, right: DataFrame, array: str, order: str) -> DataFrame:
     """Values of two tables of arrays side by side, each side flattened by itself and cut to the shorter.
 
-    left and right hold a number `order` for each array, and are report sized: each side is one row when flattened."""
-    flat = lambda d, n: d.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, array))), lambda e: e[array])).alias(n), F.count("*").alias(f"k{n}"))
-    both = flat(left, "x").withColumn("_", F.lit(0)).join(flat(right, "y").withColumn("_", F.lit(0)), "_")
-    return both.select(F.explode(F.arrays_zip(F.slice("x", 1, F.least(F.size("x"), F.size("y"))), F.slice("y", 1, F.least(F.size("x"), F.size("y"))))).alias("p")).select("p.0", "p.1").toDF("x", "y")
+    left and right hold a number `order` for each array; values meet by their place, no side is collected."""
+    return _flat(left, array, order, "x").join(_flat(right, array, order, "y"), "_at").select("x", "y")
 
 
 def mean_of_array_correlations(rows: DataFrame, x: str, y: str, key: str, keep_nan: bool = True) -> DataFrame:

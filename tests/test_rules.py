@@ -130,6 +130,18 @@ def test_arrays_shift_when_flattened(spark):
     assert sorted(map(tuple, agreement.flattened(left, right, "s", "k").collect())) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_flattened_sides_are_not_collected(spark, small):
+    """All prompts of the table, sides of different sizes, against plain lists; and no plan holds a side as one row."""
+    from tessera.plans.views import view
+
+    packed = view(spark, small, "v_packed").select("prompt_id", "a0", "a1")
+    left, right = packed.select("prompt_id", F.col("a0").alias("s")), packed.where("prompt_id % 7 <> 3").select("prompt_id", F.col("a1").alias("s"))
+    flat = lambda d: [v for r in sorted(d.collect(), key=lambda r: r["prompt_id"]) for v in r["s"]]
+    out = agreement.flattened(left, right, "s", "prompt_id")
+    assert sorted(map(tuple, out.collect())) == sorted(zip(flat(left), flat(right))) and out.count() > 4000
+    assert "collect_list(struct(prompt_id" not in out._jdf.queryExecution().toString()
+
+
 def _brute_cycles(edges: set, n: int) -> int:
     def walk(start, cur, path):
         c = 0
