@@ -54,18 +54,19 @@ PATTERNS = {
     "cloud_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "prefixed_key": r"(?:gh[pousr]_|sk-|pk-|xox[abp]-)[A-Za-z0-9_-]{16,}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:0-9A-Za-z])",
+    "ipv6": r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![:0-9A-Za-z])",
     "mac": r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![:0-9A-Za-z])",
     "hex_key": r"(?=[a-f]*\d)[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "ip": rf"{OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
     "card": r"(?:3[47]\d{2}[ -]\d{6}[ -]\d{5}|[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{9,15}|\+\d{1,3}(?:[ .-]\d{2,8}){2,4}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?!\w)",
+    "phone": r"(?:\+\d{9,15}|\+\d{1,3}(?:[ .-]\d{2,8}){2,5}|\+\d{1,3}[ .-]\d(?:[ .-]\d{2,4}){3,5}|0\d(?:[ .-]\d{2}){4}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?!\w)",
     "name": rf"(?:{TITLES_M}|{TITLES_F}) \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 #: An entity starts where no word, dot-joined number or address goes on.
 ANY = r"(?<![\p{L}\p{N}_@+]|\d\.)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Strings without which there is no entity, as a cheap first look.
+HINT_KEYS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "pk-", "xoxa-", "xoxb-", "xoxp-"]
 HINT_NAMES = ["Mr", "Ms", "Miss ", "Herr ", "Frau ", "Monsieur ", "Mad", "Señor", "Sr", "господин ", "госпожа "]
 
 
@@ -219,11 +220,20 @@ def surrogate(e: Column, key: str) -> Column:
 def entities(text: Column) -> Column:
     """All entities of a text, in order; none for null."""
     some = text.rlike("[0-9@=:]")
-    for h in HINT_NAMES:
+    for h in HINT_KEYS + HINT_NAMES:
         some = some | F.contains(text, F.lit(h))
     return F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def named(ents: Column) -> Column:
+    """The pattern of a text's entities: ANY, and any of the names that stand behind a title, by themselves."""
+    titled = F.filter(ents, lambda e: e.rlike(f"^(?:{PATTERNS['name']})$"))
+    words = F.flatten(F.transform(titled, lambda e: F.split(F.regexp_replace(e, rf"^(?:{TITLES_M}|{TITLES_F}) ", ""), " ")))
+    one = F.concat(F.lit("(?:"), F.array_join(F.array_distinct(words), "|"), F.lit(")"))
+    bare = lambda w: F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_@+])"), w, F.lit("(?: "), w, F.lit(r")*(?![\p{L}\p{N}_])"))
+    return F.when(F.size(words) > 0, bind(one, bare)).otherwise(F.lit(ANY))
+
+
 def replace_pii(docs: DataFrame, key: str = "tessera") -> DataFrame:
     """docs with every entity in `text` replaced by its surrogate, and n_pii (how many; replaced if docs has it).
 
@@ -231,15 +241,21 @@ def replace_pii(docs: DataFrame, key: str = "tessera") -> DataFrame:
     row depends on its text and the key only, so repeated rows stay alike.
     """
     other = docs.drop("n_pii")
-    found = other.select(*[other[c] for c in other.columns], F.coalesce(entities(F.col("text")), F.array().cast("array<string>")).alias("n_pii"))
+    cols = [other[c] for c in other.columns]
+    first = F.coalesce(entities(F.col("text")), F.array().cast("array<string>"))
+
+    def rewritten(ents: Column) -> Column:
+        """Text and number of entities, with the names found behind titles wherever else they stand."""
+        return bind(named(ents), lambda p: bind(F.regexp_extract_all(F.col("text"), p, F.lit(0)), lambda all_: F.struct(joined(p, all_).alias("text"), F.size(all_).cast("long").alias("n"))))
 
-    def joined(text: Column, ents: Column) -> Column:
-        pieces = F.split(text, ANY, -1)
+    def joined(pattern: Column, ents: Column) -> Column:
+        pieces = F.split(F.col("text"), pattern, -1)
         return F.array_join(F.zip_with(pieces, F.transform(ents, lambda e: surrogate(e, key)), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
 
-    new = F.when(F.size("n_pii") > 0, joined(F.col("text"), F.col("n_pii"))).otherwise(F.col("text"))
-    order = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in other.columns]
-    return found.select(*order, F.size("n_pii").cast("long").alias("n_pii"))
+    found = other.select(*cols, first.alias("_ents"))
+    plain = F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))
+    found = found.withColumn("_new", F.when(F.size("_ents") > 0, rewritten(F.col("_ents"))).otherwise(plain))
+    return found.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in other.columns], F.col("_new.n").alias("n_pii"))
 
 
 def collisions(docs: DataFrame, key: str = "tessera") -> DataFrame:

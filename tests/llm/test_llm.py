@@ -330,6 +330,17 @@ def test_surrogates(spark):
     assert pii.collisions(df).count() == 0
 
 
+def test_common_forms_are_found(spark):
+    ents = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "06 12 34 56 78", "+33 6 12 34 56 78", "+49 30 12 34 56 78", "sk-abcdefghijklmnopqr", "ghp_abcdefghijklmnopqr"]
+    texts = [f"see {e} there" for e in ents] + ["We met Mr. James Smith. Later Smith left, and James Smith wrote; Smithson and blacksmith stay.", "std::dead and a::b at 12:30"]
+    got = [r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for e, t in zip(ents, got):
+        assert e not in t and re.fullmatch(r"see \S.*\S there", t) and [ch for ch in t if not ch.isalnum()] == [ch for ch in f"see {e} there" if not ch.isalnum()], (e, t)
+    named = re.fullmatch(r"We met Mr\. (\S+) (\S+)\. Later (\S+) left, and (\S+) (\S+) wrote; Smithson and blacksmith stay\.", got[-2])
+    assert named and len({named[2], named[3], named[5]}) == 1 and named[1] == named[4] and named[2] != "Smith" and named[1] != "James"
+    assert got[-1] == texts[-1]
+
+
 # -- 5: repeated passages ------------------------------------------------------
 
 
