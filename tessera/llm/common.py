@@ -258,18 +258,32 @@ def as_long(x: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, comp) of the nodes of the edges (a, b): comp is the smallest node that can be reached.
 
-    Labels travel along edges and jump to the label of their label until
-    nothing changes.  All steps are keyed aggregates and joins on tables in
-    the shared folder; nothing comes to the driver but the count of changes.
+    Each round every node that has a smaller neighbour hooks to the smallest one, hooks are followed
+    to their roots, and links contract to links between roots; a link whose ends meet goes.  At most
+    half of a component's nodes are left after a round, a star takes one round.  All steps are
+    keyed aggregates and joins on tables in the shared folder; only counts come to the driver.
     """
-    e = edges.where("a <> b")
-    both = materialise(e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), f"{tag}-labels")
+    lower = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    links = materialise(edges.where("a <> b").select(*lower("a", "b")).distinct(), f"{tag}-links")
+    hooks = []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        step = materialise(hooked.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), f"{tag}-labels")
-        labels = step.select("node", "comp")
-        if step.where("old <> comp").limit(1).count() == 0:
-            return labels
+        hook = materialise(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), f"{tag}-hooks")
+        if hook.isEmpty():
+            break
+        while True:  # to the roots
+            up = hook.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+            if hook.join(up, "comp", "left_semi").isEmpty():
+                break
+            hook = materialise(hook.join(up, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), f"{tag}-hooks")
+        hooks.append(hook)
+        x, y = hook.toDF("a", "x"), hook.toDF("b", "y")
+        first = links.join(x, "a").where("b <> x").select("x", "b")  # the link that a node hooked by is settled
+        links = materialise(first.join(y, "b", "left").select("x", F.coalesce("y", "b").alias("y")).where("x <> y").select(*lower("x", "y")).distinct(), f"{tag}-links")
+    out = hook  # empty
+    for hook in reversed(hooks):  # roots of a round are nodes of the next
+        if hook is hooks[-1]:
+            out = hook
+            continue
+        far = hook.join(out.toDF("comp", "far"), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
+        out = materialise(far.unionByName(out), f"{tag}-labels")
+    return materialise(out.unionByName(out.select(F.col("comp").alias("node"), "comp")).distinct(), f"{tag}-labels")

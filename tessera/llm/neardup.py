@@ -6,10 +6,13 @@ Bands of four values (the extremes under two functions) propose pairs; a
 proposed pair is a link only if the full sets agree.
 
 Stages: equal sets are one class (a keyed aggregate); band keys of the classes
-form families (connected components of shared keys); a family is dealt out as
-tiles of two blocks of at most about BLOCK classes, and each tile compares its
-sets exactly; the links, at most one for each class and tile, form the
-components.  No pairs of a group are emitted and no task holds a family.
+form families (connected components of shared keys); a family is dealt out in
+blocks of about BLOCK classes.  First each block meets the family's first block
+in a tile that compares its sets exactly; then only classes that this left out
+of the family's largest component, its strays, meet all blocks: two classes of one component need no
+comparison.  The links, at most one for each class and tile, form the components.
+No pairs of a group are emitted and no task holds a family; a large family of
+near copies costs work in proportion to its size, times one more for each block of strays.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -144,15 +147,18 @@ def families(bands: DataFrame, n: int) -> DataFrame:
     """rep, family of the classes that share a band key with another, from rows (rep, nth, band) of n bands.
 
     STEP bands at a time: what they connect counts as one class for the next bands, so a large
-    group is a few rows after the first step and not a row for each class and band."""
+    group is a few rows after the first step.  A class gives one link, to the smallest head of its
+    bands; its other heads are linked to that head, each such pair once."""
     labels = None
     for lo in range(0, n, STEP):
         now = bands.where((F.col("nth") >= lo) & (F.col("nth") < lo + STEP)).select("rep", "band")
         if labels is not None:
             now = now.join(labels.hint("merge"), "rep", "left").select(F.coalesce("family", "rep").alias("rep"), "band").distinct()
         heads = now.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("band", "b")
-        stars = now.join(heads.hint("merge"), "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-        new = C.components(stars, "families")
+        stars = now.join(heads.hint("merge"), "band").where("rep <> b").groupBy("rep").agg(F.min("b").alias("b"), F.collect_set("b").alias("heads"))
+        stars = C.materialise(stars, "stars")
+        between = stars.select(F.explode("heads").alias("a"), "b").where("a <> b").distinct()
+        new = C.components(stars.select(F.col("rep").alias("a"), "b").unionByName(between), "families")
         if labels is None:
             labels = new.select(F.col("node").alias("rep"), F.col("comp").alias("family"))
             continue
@@ -162,6 +168,36 @@ def families(bands: DataFrame, n: int) -> DataFrame:
     return labels
 
 
+def block_of(n: str) -> Column:
+    """The block of each class, of so many blocks."""
+    return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+
+
+def links_of(docs: DataFrame, tiles: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links within each tile (i, j) of a family; tiles: rep, family and the tiles that a class is in."""
+    texts = docs.join(tiles.hint("merge"), docs.doc_id == tiles.rep).select("doc_id", "text", "family", F.explode("tiles").alias("tile"))
+    texts = texts.select("doc_id", "text", "family", "tile.i", "tile.j").repartition(C.buckets_of(docs.sparkSession), "family", "i", "j")
+    return C.map_arrow(texts.sortWithinPartitions("family", "i", "j", "doc_id"), _tiles(k, percent, 100), "a long, b long")
+
+
+def strays(family: DataFrame, comp: DataFrame) -> DataFrame:
+    """rep, family, tiles of the classes of families of several components: strays meet one another and all others."""
+    label = family.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("comp", "rep").alias("label"))
+    label = C.materialise(label, "labels")
+    size = label.groupBy("family", "label").agg(F.count("*").alias("n"))
+    size = size.groupBy("family").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all")).where("main.n < all")
+    size = size.select("family", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("strays"))
+    of = label.join(size, "family").withColumn("stray", F.col("label") != F.col("main"))
+    of = of.withColumn("own", F.when(F.col("stray"), block_of("strays")).otherwise(block_of("mains")))
+    tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    # tile (i, j): stray block i, and main block j or stray block j - mains
+    every = F.sequence(F.lit(0), F.col("strays") - 1)
+    own, mains = F.col("own"), F.col("mains")
+    met = F.transform(every, lambda t: tile(F.least(own, t), mains + F.greatest(own, t)))
+    of_stray = F.concat(F.transform(F.sequence(F.lit(0), mains - 1), lambda j: tile(own, j)), met)
+    return of.select("rep", "family", F.when(F.col("stray"), of_stray).otherwise(F.transform(every, lambda t: tile(t, own))).alias("tiles"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
 
@@ -176,19 +212,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: i
     docs = docs.select("doc_id", "text")
     rows = C.materialise(C.map_arrow(docs, _classes(k, functions), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sets")
     key = ["n_shingles", "s1", "s2"]
-    real = rows.where("n_shingles > 0 and doc_id is not null")
-    rep = C.materialise(real.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    own = real.join(rep.hint("merge"), key).where("doc_id = rep").select("rep", F.posexplode("bands").alias("nth", "band")).distinct()
+    real = rows.where("n_shingles > 0")
+    rep = C.materialise(real.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
+    own = real.join(rep.withColumn("doc_id", F.col("rep")).hint("merge"), [*key, "doc_id"])  # no task gets all copies of a text
+    own = own.select("rep", F.posexplode("bands").alias("nth", "band")).distinct()
     family = families(C.materialise(own, "bands"), functions // 2)
-    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = family.join(blocks, "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
-    texts = docs.join(dealt.hint("merge"), docs.doc_id == dealt.rep).select("doc_id", "text", "family", "blocks", "own")
-    tiles = texts.select("doc_id", "text", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("doc_id", "text", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    tiles = tiles.repartition(C.buckets_of(docs.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
-    links = C.map_arrow(tiles, _tiles(k, percent, 100), "a long, b long")
-    comp = C.components(links, "links").select(F.col("node").alias("rep"), "comp")
-    of_class = rep.join(comp, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
-    out = rows.select("doc_id", *key).join(of_class.hint("merge"), key, "left")
+    size = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = family.join(size, "family").withColumn("own", block_of("n"))
+    tile = lambda j: F.struct(F.lit(0).alias("i"), j.alias("j"))
+    first = F.when(F.col("own") == 0, F.transform(F.sequence(F.least(F.lit(1), F.col("n") - 1), F.col("n") - 1), tile)).otherwise(F.array(tile(F.col("own"))))
+    links = C.materialise(links_of(docs, dealt.select("rep", "family", first.alias("tiles")), k, percent), "links")
+    comp = C.components(links, "links")
+    large = family.join(size.where("n > 2"), "family", "left_semi")  # one tile has compared all of a smaller one
+    if not large.isEmpty():
+        more = links_of(docs, strays(large, comp), k, percent)
+        comp = C.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), "links")
+    of_class = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
+    out = real.select("doc_id", *key).join(of_class.hint("merge"), key, "left").select("doc_id", "n_shingles", "comp")
+    out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("comp")))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

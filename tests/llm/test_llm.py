@@ -301,6 +301,34 @@ def test_large_family_is_tiled(spark):
     assert got == brute_components(pairs, 3, 85)
 
 
+def test_strays_of_a_family_meet_all(spark, monkeypatch):
+    """Blocks of four classes, so that links lie between blocks that the first tiles don't compare."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(120)
+            w[at] = f"v{at}{rng.randrange(2)}"
+        texts.append(" ".join(w))
+    pairs = list(enumerate(texts)) + [(200 + i, x) for i, x in enumerate(texts[:30])]
+    rng.shuffle(pairs)
+    want = brute_components(pairs, 3, 85)
+    assert 5 < len(set(want.values())) < 60
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), 3, 85).collect()}
+    assert got == want
+
+
+def test_near_recall_on_all_pairs(docs, local):
+    """Links found of all links that exist, by brute force, for near copies that aren't equal."""
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 5, 80).collect()}
+    want = brute_components(list(zip(local.doc_id, local.text)), 5, 80)
+    joined = [i for i, c in want.items() if i != c]
+    assert joined and sum(got[i] == want[i] for i in joined) >= 0.9 * len(joined)
+
+
 # -- 4: personal data ----------------------------------------------------------
 
 
