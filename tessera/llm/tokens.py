@@ -3,8 +3,9 @@
 A text is cut into pieces at which the tokenizer's own pre-tokenisation cuts it
 in any case, so ids of the text are the ids of its pieces one after another.
 The ids of pieces lie in a bounded table by 64-bit piece hash; a repeated piece
-costs one vectorised lookup and no Python object.  A text with white space that
-the cutting rule doesn't cover goes to the library whole.
+costs one vectorised lookup and no Python object.  New pieces go to the library
+JOINED at a time as one text, with a word or line end between them whose id tells where each ends.
+A text with white space that the cutting rule doesn't cover goes to the library whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import tokenizers
 from tessera.llm import common as C
 
 #: Pieces that a table holds; beyond that it starts anew.
-PIECES = 500_000
+PIECES = 1_500_000
+#: New pieces in one call's text.
+JOINED = 100
 _SPACED, _FOREIGN = (C.U64(x) for x in C.stream_of(41, 2))
 
 
@@ -65,27 +68,71 @@ class PieceEncoder:
 
     def __init__(self, tokenizer: tokenizers.Tokenizer, spaced: bool, prefix: bool = False, check=None):
         """prefix: a text counts as led by a space.  check(pieces, ids) tells of each piece whether
-        its ids are right; `faults` tells it of the last call's texts."""
+        its ids are right; `faults` tells it of the last call's texts; such pieces are not joined."""
         self.tokenizer, self.spaced, self.prefix, self.check = tokenizer, spaced, prefix, check
         self.faults = np.zeros(0, bool)
         self.line = self._encode(["\n"])[0] if spaced else []
+        self.between = None if check else self._between()
+        self.stops = {c: np.array(i, np.int32) for c, i in zip(_STOPS, self._encode([chr(c) for c in _STOPS]))}
         self._clear()
 
+    def _between(self) -> tuple[bytes, int] | None:
+        """What stands between joined pieces, and its id: a line end, or the longest plain word of one id."""
+        if self.spaced:
+            return (b"\n", self.line[0]) if len(self.line) == 1 else None
+        words = [t.removesuffix("</w>") for t in self.tokenizer.get_vocab(with_added_tokens=False) if t.endswith("</w>")]
+        word = max((w for w in words if w.isascii() and w.isalpha() and w.islower()), key=lambda w: (len(w), w), default="")
+        ids = self._encode([word])[0]
+        return (f" {word} ".encode(), ids[0]) if len(ids) == 1 else None
+
     def _clear(self) -> None:
-        self.table = HashTable(20)
+        self.table = HashTable(22 if PIECES > 1 << 19 else 20)
         self.ids = np.zeros(1 << 20, np.int32)
         self.at = np.zeros(PIECES + 2, np.int64)
         self.odd = np.zeros(PIECES + 2, bool)
         self.bad = np.zeros(PIECES + 2, bool)
         self.n = 0
-        self._add(np.array([1], C.U64), [self.line], np.array([False]), np.array([False]))
+        self._add(np.array([1], C.U64), np.array(self.line, np.int32), np.array([len(self.line)]), np.array([False]), np.array([False]))
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _add(self, keys: np.ndarray, ids: list[list[int]], odd: np.ndarray, bad: np.ndarray) -> None:
-        flat = np.array([x for one in ids for x in one], np.int32)
-        start, n = self.at[self.n], len(ids)
+    def _joined(self, raw: bytes) -> list[int]:
+        return self.tokenizer.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids
+
+    def _coded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has; odd ones go to the library one by one."""
+        n = len(start)
+        mark, cut = self.between or (b"", 0)
+        lead = spaced.astype(np.int64)
+        size = end - start + lead + len(mark)
+        ends = np.cumsum(size)
+        at = ends - size
+        raw = np.full(int(size.sum()), 32, np.uint8)
+        raw[C.spread(at + lead, end - start)] = data[C.spread(start, end - start)]
+        for k, c in enumerate(mark):
+            raw[ends - len(mark) + k] = c
+        flat, sizes, whole = [], np.zeros(n, np.int64), raw.tobytes()
+        easy = np.zeros(n, bool) if self.between is None else ~odd
+        turn = np.flatnonzero(easy[1:] != easy[:-1]) + 1
+        cuts = np.unique(np.concatenate([turn, np.arange(0, n, JOINED), [0, n]])).tolist()
+        for a, z in zip(cuts, cuts[1:]):
+            if easy[a]:
+                ids = np.array(self._joined(whole[at[a] : ends[z - 1]]), np.int32)
+                last = np.flatnonzero(ids == cut)
+                if len(last) == z - a:
+                    keep = np.ones(len(ids), bool)
+                    keep[last] = False
+                    flat.append(ids[keep])
+                    sizes[a:z] = np.diff(last, prepend=-1) - 1
+                    continue
+            coded = self._encode([whole[at[i] : ends[i] - len(mark)].decode() for i in range(a, z)])  # odd, or one has the mark's id
+            flat.append(np.array([x for one in coded for x in one], np.int32))
+            sizes[a:z] = [len(one) for one in coded]
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), sizes
+
+    def _add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray, odd: np.ndarray, bad: np.ndarray) -> None:
+        start, n = int(self.at[self.n]), len(keys)
         if start + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(flat) + len(self.ids), np.int32)])
         if self.n + n + 2 > len(self.at):
@@ -93,40 +140,52 @@ class PieceEncoder:
             self.odd = np.concatenate([self.odd, np.zeros(n, bool)])
             self.bad = np.concatenate([self.bad, np.zeros(n, bool)])
         self.ids[start : start + len(flat)] = flat
-        self.at[self.n + 1 : self.n + 1 + n] = start + np.cumsum(np.fromiter(map(len, ids), np.int64, n))
+        self.at[self.n + 1 : self.n + 1 + n] = start + np.cumsum(sizes)
         self.odd[self.n : self.n + n] = odd
         self.bad[self.n : self.n + n] = bad
         self.table.put(keys, np.arange(self.n, self.n + n, dtype=np.int32))
         self.n += n
 
-    def _of(self, i: int) -> list[int]:
-        return self.ids[self.at[i] : self.at[i + 1]].tolist()
-
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray, keys: np.ndarray, stem: np.ndarray, stems: np.ndarray) -> None:
         """New pieces; one that is a word and a stop or comma has the ids of both."""
-        raw = data.tobytes()
         has = stem & (self.table.get(stems) < 0)
         order = np.flatnonzero(has)
         order = order[np.unique(stems[order], return_index=True)[1]]
         order = order[~np.isin(stems[order], keys)]
         plain = np.flatnonzero(~stem)
         rows = np.concatenate([plain, order])
-        ends = np.concatenate([end[plain], end[order] - 1])
+        a, z, lead = start[rows], np.concatenate([end[plain], end[order] - 1]), spaced[rows]
         key = np.concatenate([keys[plain], stems[order]])
-        text = [" " * s + raw[a:z].decode() for a, z, s in zip(start[rows].tolist(), ends.tolist(), spaced[rows].tolist())]
-        odd = np.fromiter((t.split() != [t.lstrip(" ")] for t in text), bool, len(text))
-        ids = self._encode(text)
-        self._add(key, ids, odd, self._checked(text, ids))
+        text = lambda at, to, s: [" " * k + data[x:y].tobytes().decode() for x, y, k in zip(at.tolist(), to.tolist(), s.tolist())]
+        rare = np.concatenate([[0], np.cumsum(_RARE[data])])
+        odd = rare[z] > rare[a]  # may hold white space beyond the words' own
+        look = np.flatnonzero(odd)
+        odd[look] = [t.split() != [t.lstrip(" ")] for t in text(a[look], z[look], lead[look])]
+        flat, sizes = self._coded(data, a, z, lead, odd)
+        self._add(key, flat, sizes, odd, self._faulty(lambda: text(a, z, lead), flat, sizes))
         tail = np.flatnonzero(stem)
         if len(tail):
             base = self.table.get(stems[tail])
-            stops = {c: i for c, i in zip(_STOPS, self._encode([chr(c) for c in _STOPS]))}
-            ids = [self._of(b) + stops[c] for b, c in zip(base.tolist(), data[end[tail] - 1].tolist())]
-            bad = self.bad[base]
-            if self.check:
-                whole = [" " * s + raw[a:z].decode() for a, z, s in zip(start[tail].tolist(), end[tail].tolist(), spaced[tail].tolist())]
-                bad = bad | self._checked(whole, ids)
-            self._add(keys[tail], ids, self.odd[base], bad)
+            last = data[end[tail] - 1]
+            more = np.zeros(256, np.int64)
+            more[list(self.stops)] = [len(i) for i in self.stops.values()]
+            size, extra = self.at[base + 1] - self.at[base], more[last]
+            sizes = size + extra
+            flat = np.empty(int(sizes.sum()), np.int32)
+            ends = np.cumsum(sizes)
+            flat[C.spread(ends - sizes, size)] = self.ids[C.spread(self.at[base], size)]
+            for c, ids in self.stops.items():
+                at = ends[last == c] - len(ids)
+                for k, x in enumerate(ids):
+                    flat[at + k] = x
+            bad = self.bad[base] | self._faulty(lambda: text(start[tail], end[tail], spaced[tail]), flat, sizes)
+            self._add(keys[tail], flat, sizes, self.odd[base], bad)
+
+    def _faulty(self, pieces, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if not self.check:
+            return np.zeros(len(sizes), bool)
+        ends = np.cumsum(sizes)
+        return self._checked(pieces(), [flat[a:z].tolist() for a, z in zip((ends - sizes).tolist(), ends.tolist())])
 
     def _checked(self, pieces: list[str], ids: list[list[int]]) -> np.ndarray:
         return ~np.array(self.check(pieces, ids), bool) if self.check else np.zeros(len(ids), bool)
@@ -202,6 +261,8 @@ class PieceEncoder:
 _STOPS = b".,;:"
 _IS_STOP = np.zeros(256, bool)
 _IS_STOP[list(_STOPS)] = True
+_RARE = np.zeros(256, bool)  # first bytes of white space that str.split() knows beside the words' own
+_RARE[[28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class WholeEncoder:

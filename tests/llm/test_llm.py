@@ -96,6 +96,9 @@ def test_components(spark):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piece_encoder_parity(name, local):
     odd = ["", None, " ", "  a", "a  b", "a \n b", "a\n\nb", " lead", "trail ", "don't we'll.", "\xa0a b", "a\tb", "<|endoftext|> a", "İ Σ. CAFÉ, ÉTÉ.", "a\nb\n", "12 345.6", "J̌. Å", "...,,, ;;", "\n", "日本語 。"]
+    odd += ["gobbledygook a", "\x1c b\x1d", "a\u2028b c\u3000", "\u0301a e\u0301 'S 's", "ｆｕｌｌ ǆ ß ﬁ"]
+    longest = max((w for w in tokenizers.Tokenizer.from_file(tokens.default_path(name)).get_vocab() if w.isascii()), key=len)
+    odd += [longest.removesuffix("</w>") + " x", " ".join(sorted(tokenizers.Tokenizer.from_file(tokens.default_path(name)).get_vocab(), key=len)[-300:])]
     texts = odd + local.text.tolist()
     t = tokenizers.Tokenizer.from_file(tokens.default_path(name))
     t.encode_special_tokens = True
