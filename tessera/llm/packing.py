@@ -20,7 +20,7 @@ from tessera.llm import common as C
 from tessera.llm import tokens as T
 
 #: Sequences that are filled together.
-POOL = 128
+POOL = 1024
 
 
 def fill(sizes: np.ndarray, length: int, bins: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
