@@ -23,12 +23,12 @@ bucket, not for each document.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +127,30 @@ def text_hash(b, name: str = "text") -> np.ndarray:
     return C.Windows(C._BYTE_VALUES[data])(at[:-1], at[1:])
 
 
+def packed(texts: pa.Array) -> pa.Array:
+    """Each text compressed by itself (null: empty)."""
+    data, at = C.text_bytes(texts)
+    press = zstandard.ZstdCompressor(level=1).compress
+    raw = memoryview(data)
+    return pa.array([press(raw[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+
+
+def unpacked(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with `packed` turned back into `text`."""
+    back = zstandard.ZstdDecompressor().decompress
+    for a in range(0, b.num_rows, rows):
+        part = b.slice(a, rows)
+        text = pa.array([back(x.as_buffer()) for x in C.column(part, "packed")], pa.large_binary()).cast(pa.large_string())
+        yield from C.slices(part.append_column("text", text))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for b in C.slices(big):
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, "packed", packed(b.column(at)))
+
+
 FINAL, PENDING, ASK, KNOWN = 0, 1, 2, 3
 
 
@@ -161,7 +185,7 @@ def _ask(width: int, keep_text: bool):
                     continue
                 if known is None:
                     known = np.unique(np.concatenate(anchors)) if anchors else np.zeros(0, C.U64)
-                for b in C.slices(part):
+                for b in unpacked(part):
                     yield from asked(b, int(pid), known, seen, schema)
 
     def asked(b, pid, known, seen, schema):
@@ -187,7 +211,7 @@ def _ask(width: int, keep_text: bool):
         th = C.as_long(text_hash(b))
         key = pc.fill_null(ids, LEAST).to_numpy()
         take = np.flatnonzero(waits)
-        cols = {"id": key[take], "th": th[take], "doc_id": ids.take(pa.array(take)), "rest": rest.take(pa.array(take)), "packed": [zlib.compress(x.as_buffer(), 1) for x in C.column(b, "text").take(pa.array(take))]}
+        cols = {"id": key[take], "th": th[take], "doc_id": ids.take(pa.array(take)), "rest": rest.take(pa.array(take)), "packed": C.column(b, "packed").take(pa.array(take))}
         yield filled(schema, len(take), kind=np.full(len(take), PENDING, np.int32), pid=np.full(len(take), pid, np.int32), **cols)
         content = C.mix(C.mix(C.Windows(w.hash)(start, start + n + width - 1)) + anchor)
         at = start - w.at[doc]
@@ -285,9 +309,8 @@ def _cut(width: int, keep_text: bool):
             code = name(a)
             order = np.argsort(code, kind="stable")
             code, start, mask = code[order], a["start"].to_numpy()[order], a["mask"].to_numpy()[order]
-            for big in t.filter(pa.array(~answers)).combine_chunks().to_batches(max_chunksize=256):
-                text = pa.array([zlib.decompress(x.as_buffer()) for x in C.column(big, "packed")], pa.binary()).cast(pa.string())
-                for b in C.slices(big.append_column("text", text)):
+            for big in t.filter(pa.array(~answers)).combine_chunks().to_batches():
+                for b in unpacked(big):
                     w = C.Words(C.column(b, "text"))
                     mine = name(pa.Table.from_batches([b]))
                     lo, hi = np.searchsorted(code, mine, "left"), np.searchsorted(code, mine, "right")
@@ -323,11 +346,12 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep_text: bool = True) ->
     rest = F.struct(*[docs[c] for c in others]) if others else F.struct(F.lit(None).cast("int").alias("none"))
     base = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("pid"), "doc_id", "text", rest.alias("rest"))
     kind = base.schema["rest"].dataType.simpleString()
+    small = C.map_arrow(base, _pack, f"pid int, doc_id long, packed binary, rest {kind}")  # texts move compressed
     counted = C.map_arrow(base.select("pid", "text"), _count_anchors(width), "hash long, pid int, n int")
     per = counted.groupBy("hash", "pid").agg(F.sum("n").alias("n"))
     often = per.select("pid", "hash", F.expr("sum(n) over (partition by hash)").alias("n")).where("n > 1")
-    heads = often.select("pid", F.lit(0).alias("ord"), "hash", *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in ("doc_id", "text", "rest")])
-    bodies = base.select("pid", F.lit(1).alias("ord"), F.lit(0).cast("long").alias("hash"), "doc_id", "text", "rest")
+    heads = often.select("pid", F.lit(0).alias("ord"), "hash", *[F.lit(None).cast(small.schema[c].dataType).alias(c) for c in ("doc_id", "packed", "rest")])
+    bodies = small.select("pid", F.lit(1).alias("ord"), F.lit(0).cast("long").alias("hash"), "doc_id", "packed", "rest")
     stream = heads.unionByName(bodies).repartition(n, "pid").sortWithinPartitions("pid", "ord", "doc_id")
     out_type = f"doc_id long, rest {kind}, n_words long, n_removed long, kept_sha256 string, cut string"
     asked = C.materialise(C.map_arrow(stream, _ask(width, keep_text), f"kind int, pid int, id long, th long, start long, mask long, anchor long, content binary, packed binary, {out_type}"), "asked")
