@@ -75,7 +75,7 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     part = F.crc32(F.col("doc_id").cast("string")) % 7
     out = score_texts(C.documents(spark, sf_dir), train=part != 2)
-    return out.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 QUERIES = {
