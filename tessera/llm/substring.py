@@ -14,7 +14,7 @@ its anchor, and adjacent windows with one anchor occurrence form a segment.
 3. Each shard of segments builds a compressed FM-index over its distinct
    segments and streams their windows through it by backward search; the
    interval of a window gives the earliest start of its words.
-4. The answers go back to the buckets, where words are cut.
+4. The answers go back to the buckets, where texts are dealt out again and words are cut.
 
 Every step is keyed; a passage that all documents share costs one row for each
 bucket, not for each document.
@@ -151,71 +151,48 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.set_column(at, "packed", packed(b.column(at)))
 
 
-FINAL, PENDING, ASK, KNOWN = 0, 1, 2, 3
+ASK, KNOWN = 0, 1
+_ASKED = pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("mask", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary())])
 
 
-def _schemas(rest: pa.DataType) -> tuple[pa.Schema, pa.Schema]:
-    out = [("doc_id", pa.int64()), ("rest", rest), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("cut", pa.string())]
-    return pa.schema(out), pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("mask", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary()), ("packed", pa.binary()), *out])
+def runs_of(b: pa.RecordBatch) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """Bucket, does it lead its bucket's documents (ord 0)?, and rows, of each run of a batch."""
+    pids, heads = C.column(b, "pid").to_numpy(), C.column(b, "ord").to_numpy() == 0
+    change = np.flatnonzero((np.diff(pids) != 0) | (np.diff(heads.astype(np.int8)) != 0)) + 1
+    cuts = [0, *change.tolist(), b.num_rows]
+    for a, z in zip(cuts, cuts[1:]):
+        if z > a:
+            yield int(pids[a]), bool(heads[a]), b.slice(a, z - a)
 
 
-def filled(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
-    return C.record(schema, **{f.name: columns.get(f.name) if columns.get(f.name) is not None else pa.nulls(n, f.type) for f in schema})
-
-
-def _ask(width: int, keep_text: bool):
+def _ask(width: int):
     """Over rows of a bucket: its repeated anchors, then its documents by doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, anchors, known, seen = None, [], None, {}
+        now, anchors, known, seen = None, [], None, {}
         for big in batches:
-            schema = _schemas(big.schema.field("rest").type)[1]
-            pids = C.column(big, "pid").to_numpy()
-            heads = C.column(big, "ord").to_numpy() == 0
-            change = np.flatnonzero((np.diff(pids) != 0) | (np.diff(heads.astype(np.int8)) != 0)) + 1
-            cuts = [0, *change.tolist(), big.num_rows]
-            for a, z in zip(cuts, cuts[1:]):
-                if z == a:
-                    continue
-                if pids[a] != pid:
-                    pid, anchors, known, seen = pids[a], [], None, {}
-                part = big.slice(a, z - a)
-                if heads[a]:
+            for pid, head, part in runs_of(big):
+                if pid != now:
+                    now, anchors, known, seen = pid, [], None, {}
+                if head:
                     anchors.append(C.column(part, "hash").to_numpy().view(C.U64))
                     continue
                 if known is None:
                     known = np.unique(np.concatenate(anchors)) if anchors else np.zeros(0, C.U64)
-                for b in unpacked(part):
-                    yield from asked(b, int(pid), known, seen, schema)
+                for b in unpacked(part) if len(known) else ():
+                    yield from asked(b, pid, known, seen)
 
-    def asked(b, pid, known, seen, schema):
+    def asked(b, pid, known, seen):
         w = C.Words(C.column(b, "text"))
         doc, start, n, anchor = segments(w, width)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-            hit = known[at] == anchor
-        else:
-            hit = np.zeros(len(anchor), bool)
+        at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+        hit = known[at] == anchor
         doc, start, n, anchor = doc[hit], start[hit], n[hit], anchor[hit]
-        waits = np.zeros(b.num_rows, bool)
-        waits[doc] = True
-        done = finished(w, np.zeros(len(w), bool), keep_text)
-        final = np.flatnonzero(~waits)
-        ids, rest = C.column(b, "doc_id"), C.column(b, "rest")
-        if len(final):
-            take = pa.array(final)
-            cols = {"doc_id": ids.take(take), "rest": rest.take(take), "n_words": done["n_words"][final], "n_removed": done["n_removed"][final], "kept_sha256": pa.array(done["kept_sha256"]).take(take), "cut": done["cut"].take(take)}
-            yield filled(schema, len(final), kind=np.full(len(final), FINAL, np.int32), **cols)
         if not len(doc):
             return
-        th = C.as_long(text_hash(b))
-        key = pc.fill_null(ids, LEAST).to_numpy()
-        take = np.flatnonzero(waits)
-        cols = {"id": key[take], "th": th[take], "doc_id": ids.take(pa.array(take)), "rest": rest.take(pa.array(take)), "packed": C.column(b, "packed").take(pa.array(take))}
-        yield filled(schema, len(take), kind=np.full(len(take), PENDING, np.int32), pid=np.full(len(take), pid, np.int32), **cols)
+        th, key = C.as_long(text_hash(b)), C.column(b, "id").to_numpy()
         content = C.mix(C.mix(C.Windows(w.hash)(start, start + n + width - 1)) + anchor)
         at = start - w.at[doc]
-        ask = np.zeros(len(doc), bool)
         values, first = np.unique(content, return_index=True)
         for v, i in zip(values.tolist(), first.tolist()):
             if v not in seen:
@@ -225,13 +202,14 @@ def _ask(width: int, keep_text: bool):
         ask = (np.array([x for x, _ in mine], np.int64) == key[doc]) & (np.array([y for _, y in mine], np.int64) == at)
         mask = ((np.int64(1) << n) - 1).astype(np.int64)
         for kind, sel in ((KNOWN, np.flatnonzero(~ask)), (ASK, np.flatnonzero(ask))):
-            if not len(sel):
+            k = len(sel)
+            if not k:
                 continue
-            more = {}
+            more = {"anchor": pa.nulls(k, pa.int64()), "content": pa.nulls(k, pa.binary())}
             if kind == ASK:
                 a, z = w.start[start[sel]], w.end[start[sel] + n[sel] + width - 2]
                 more = {"anchor": C.as_long(anchor[sel]), "content": C.binary_array(w.data[C.spread(a, z - a)], z - a).cast(pa.binary())}
-            yield filled(schema, len(sel), kind=np.full(len(sel), kind, np.int32), pid=np.full(len(sel), pid, np.int32), id=key[doc[sel]], th=th[doc[sel]], start=at[sel], mask=mask[sel], **more)
+            yield C.record(_ASKED, kind=np.full(k, kind, np.int32), pid=np.full(k, pid, np.int32), id=key[doc[sel]], th=th[doc[sel]], start=at[sel], mask=mask[sel], **more)
 
     return run
 
@@ -300,30 +278,43 @@ def _shards(width: int):
 
 
 def _cut(width: int, keep_text: bool):
+    """Over rows of a bucket: the answers, then its documents, which lose the words of answered windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in C.stream_groups(batches, ["pid"]):
-            schema = _schemas(t.schema.field("rest").type)[0]
-            answers = t["ord"].to_numpy() == 0
-            name = lambda x: C.mix(x["id"].to_numpy().view(C.U64)) ^ x["th"].to_numpy().view(C.U64)
-            a = t.filter(pa.array(answers))
-            code = name(a)
-            order = np.argsort(code, kind="stable")
-            code, start, mask = code[order], a["start"].to_numpy()[order], a["mask"].to_numpy()[order]
-            for big in t.filter(pa.array(~answers)).combine_chunks().to_batches():
-                for b in unpacked(big):
-                    w = C.Words(C.column(b, "text"))
-                    mine = name(pa.Table.from_batches([b]))
-                    lo, hi = np.searchsorted(code, mine, "left"), np.searchsorted(code, mine, "right")
-                    rows = C.spread(lo, hi - lo)
-                    base = np.repeat(w.at[:-1], hi - lo) + start[rows]
-                    edge = np.zeros(len(w) + 1, np.int64)
-                    for bit in range(63):
-                        on = base[(mask[rows] >> bit) & 1 == 1] + bit
-                        if len(on):
-                            np.add.at(edge, on, 1)
-                            np.add.at(edge, on + width, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    yield filled(schema, b.num_rows, doc_id=C.column(b, "doc_id"), rest=C.column(b, "rest"), **finished(w, gone, keep_text))
+        now, held, known = None, [], None
+        for big in batches:
+            for pid, head, part in runs_of(big):
+                if pid != now:
+                    now, held, known = pid, [], None
+                if head:
+                    held.append(tuple(C.column(part, c).to_numpy() for c in ("id", "th", "start", "mask")))
+                    continue
+                if known is None:
+                    ids, th, start, mask = (np.concatenate(c) for c in zip(*held)) if held else [np.zeros(0, np.int64)] * 4
+                    code = name(ids, th)
+                    order = np.argsort(code, kind="stable")
+                    known, held = (code[order], start[order], mask[order]), []
+                for b in unpacked(part):
+                    yield cut(b, *known)
+
+    def name(ids: np.ndarray, th: np.ndarray) -> np.ndarray:
+        return C.mix(ids.view(C.U64)) ^ th.view(C.U64)
+
+    def cut(b, code, start, mask):
+        w = C.Words(C.column(b, "text"))
+        mine = name(C.column(b, "id").to_numpy(), C.as_long(text_hash(b)))
+        lo, hi = np.searchsorted(code, mine, "left"), np.searchsorted(code, mine, "right")
+        rows = C.spread(lo, hi - lo)
+        base = np.repeat(w.at[:-1], hi - lo) + start[rows]
+        edge = np.zeros(len(w) + 1, np.int64)
+        for bit in range(63):
+            on = base[(mask[rows] >> bit) & 1 == 1] + bit
+            if len(on):
+                np.add.at(edge, on, 1)
+                np.add.at(edge, on + width, -1)
+        done = finished(w, np.cumsum(edge[:-1]) > 0, keep_text)
+        kinds = {"doc_id": pa.int64(), "rest": b.schema.field("rest").type, "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "cut": pa.string()}
+        return C.record(pa.schema(list(kinds.items())), doc_id=C.column(b, "doc_id"), rest=C.column(b, "rest"), **done)
 
     return run
 
@@ -347,22 +338,18 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep_text: bool = True) ->
     base = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("pid"), "doc_id", "text", rest.alias("rest"))
     kind = base.schema["rest"].dataType.simpleString()
     small = C.map_arrow(base, _pack, f"pid int, doc_id long, packed binary, rest {kind}")  # texts move compressed
+    small = small.withColumn("id", F.coalesce("doc_id", F.lit(LEAST))).withColumn("ord", F.lit(1))
     counted = C.map_arrow(base.select("pid", "text"), _count_anchors(width), "hash long, pid int, n int")
     per = counted.groupBy("hash", "pid").agg(F.sum("n").alias("n"))
     often = per.select("pid", "hash", F.expr("sum(n) over (partition by hash)").alias("n")).where("n > 1")
-    heads = often.select("pid", F.lit(0).alias("ord"), "hash", *[F.lit(None).cast(small.schema[c].dataType).alias(c) for c in ("doc_id", "packed", "rest")])
-    bodies = small.select("pid", F.lit(1).alias("ord"), F.lit(0).cast("long").alias("hash"), "doc_id", "packed", "rest")
-    stream = heads.unionByName(bodies).repartition(n, "pid").sortWithinPartitions("pid", "ord", "doc_id")
-    out_type = f"doc_id long, rest {kind}, n_words long, n_removed long, kept_sha256 string, cut string"
-    asked = C.materialise(C.map_arrow(stream, _ask(width, keep_text), f"kind int, pid int, id long, th long, start long, mask long, anchor long, content binary, packed binary, {out_type}"), "asked")
+    stream = often.select("pid", F.lit(0).alias("ord"), "hash").unionByName(small.select("pid", "ord", "id", "packed"), allowMissingColumns=True)
+    stream = stream.repartition(n, "pid").sortWithinPartitions("pid", "ord", "id")
+    asked = C.materialise(C.map_arrow(stream, _ask(width), "kind int, pid int, id long, th long, start long, mask long, anchor long, content binary"), "asked")
     reply = ["pid", "id", "th", "start", "mask"]
     ask = asked.where(f"kind = {ASK}").select(F.pmod(F.xxhash64("anchor"), F.lit(8 * n)).cast("int").alias("shard"), "content", *reply)
     answers = C.map_arrow(ask.repartition(n, "shard").sortWithinPartitions("shard"), _shards(width), "pid int, id long, th long, start long, mask long")
-    answers = answers.unionByName(asked.where(f"kind = {KNOWN}").select(*reply))
-    heads = answers.select("pid", F.lit(0).alias("ord"), "id", "th", "start", "mask", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("doc_id", "packed", "rest")])
-    waiting = asked.where(f"kind = {PENDING}").select("pid", F.lit(1).alias("ord"), "id", "th", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("mask"), "doc_id", "packed", "rest")
-    stream = heads.unionByName(waiting).repartition(n, "pid").sortWithinPartitions("pid", "ord")
-    cut = C.map_arrow(stream, _cut(width, keep_text), out_type)
-    done = asked.where(f"kind = {FINAL}").select("doc_id", "rest", *new, "cut").unionByName(cut)
+    answers = answers.unionByName(asked.where(f"kind = {KNOWN}").select(*reply)).withColumn("ord", F.lit(0))
+    stream = answers.unionByName(small, allowMissingColumns=True).repartition(n, "pid").sortWithinPartitions("pid", "ord")
+    done = C.map_arrow(stream, _cut(width, keep_text), f"doc_id long, rest {kind}, n_words long, n_removed long, kept_sha256 string, cut string")
     back = {c: F.col("rest")[c].alias(c) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("cut").alias("text")}
     return done.select(*[back[c] for c in docs.columns if c in back], *new)
