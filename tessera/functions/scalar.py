@@ -116,3 +116,8 @@ def linear_decay(step: Column, total: int) -> Column:
 def rescale(x: Column) -> Column:
     """Logits of fallback reward models."""
     return x / 30 + 0.1
+
+
+def per_thousand(score: Column) -> Column:
+    """A score on the scale that penalties use."""
+    return score / 1000

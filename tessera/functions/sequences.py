@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import bind, total
 
+#: Ids of padding, end and start; bytes follow.
+PAD, EOS, BOS, BYTES = 0, 1, 2, 3
+
 
 def first_true(tokens: Column, value) -> Column:
     """0-based index of the first `value`, the length if there is none."""
@@ -70,7 +73,7 @@ def entropy(logits: Column) -> Column:
     return bind(F.struct(F.array_max(logits).alias("top")), of)
 
 
-def contains_penalty(tokens: Column, pad: int, score: Column, penalty: float) -> Column:
+def contains_penalty(tokens: Column, pad: int | str, score: Column, penalty: float) -> Column:
     return F.when(F.array_contains(tokens, pad), score).otherwise(F.lit(penalty))
 
 
@@ -139,3 +142,24 @@ def adaptive_kl(kls: Column, start: float, target: float, horizon: float, batch:
     """The coefficient after ordered updates by 1 + clip(kl / target - 1, -0.2, 0.2) batch / horizon."""
     step = lambda c, k: c * (1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), k / target - 1)) * batch / horizon)
     return F.aggregate(kls, F.lit(start), step)
+
+
+def byte_tokens(text: Column) -> Column:
+    """Ids of a text's UTF-8 bytes: the byte plus BYTES; smaller ids are special."""
+    pairs = F.hex(F.encode(text, "utf-8"))
+    places = F.slice(F.sequence(F.lit(0), F.floor(F.length(pairs) / 2).cast("int")), 2, F.length(pairs))
+    return F.transform(places, lambda i: F.conv(F.substr(pairs, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + BYTES)
+
+
+def byte_text(tokens: Column) -> Column:
+    """The text of byte ids; special ids have none."""
+    return F.decode(F.unhex(F.array_join(F.transform(F.filter(tokens, lambda t: t >= BYTES), lambda t: F.lpad(F.hex(t.cast("long") - BYTES), 2, "0")), "")), "utf-8")
+
+
+def without(tokens: Column, special: list[int]) -> Column:
+    return F.filter(tokens, lambda t: ~t.isin(special))
+
+
+def pads_to_end(tokens: Column, pad: int, eos: int) -> Column:
+    """Padding masked as end tokens."""
+    return F.transform(tokens, lambda t: F.when(t == pad, F.lit(eos)).otherwise(t))

@@ -126,8 +126,10 @@ def short_name(model: Column) -> Column:
     return F.element_at(F.split(model, "/"), -1)
 
 
-def reward_text(query: Column, response: Column, eos: str, replacement: str = "") -> Column:
-    return F.concat(query, F.lit(" "), F.replace(response, F.lit(eos), F.lit(replacement)))
+def reward_text(query: Column, response: Column, eos: str, replacement: str = "", most: int | None = None) -> Column:
+    """Query and response for a reward model, end marks of the response replaced; only the last `most` words if given."""
+    text = F.concat(query, F.lit(" "), F.replace(response, F.lit(eos), F.lit(replacement)))
+    return text if most is None else F.array_join(keep_right(F.filter(F.split(text, " "), lambda w: w != ""), most), " ")
 
 
 def keep_right(tokens: Column, n: int) -> Column:
@@ -143,8 +145,16 @@ def ngrams(words: Column, n: int) -> Column:
 def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
     """F1 of n-gram multisets of two word arrays; 0 where either has none."""
     a, b = ngrams(candidate, n), ngrams(reference, n)
-    count = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
+    side = lambda x, t: F.transform(x, lambda g: F.struct(g.alias("g"), F.lit(t).alias("t")))
+    state = lambda g, x, y, s: F.struct(g.alias("g"), x.alias("x"), y.alias("y"), s.alias("s"))
+    done = lambda s: s["s"] + F.least(s["x"], s["y"])
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["g"].eqNullSafe(e["g"])
+        return F.when(same, state(s["g"], s["x"] + 1 - e["t"], s["y"] + e["t"], s["s"])).otherwise(state(e["g"], 1 - e["t"], e["t"], done(s)))
+
+    zero = F.lit(0)
+    both = F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), state(F.lit(None).cast("string"), zero, zero, zero), step, done)  # one merge of the sorted n-grams
     return F.coalesce(F.try_divide(2.0 * both, (F.size(a) + F.size(b)).cast("double")), F.lit(0.0))
 
 

@@ -163,15 +163,16 @@ def flattened(left: DataFrame, right: DataFrame, array: str, order: str) -> Data
     return _flat(left, array, order, "x").join(_flat(right, array, order, "y"), "_at").select("x", "y")
 
 
-def mean_of_array_correlations(rows: DataFrame, x: str, y: str, key: str, keep_nan: bool = True) -> DataFrame:
-    """Mean of r over arrays, each pair cut to its shorter; arrays of fewer than two points are left out.
+def mean_of_array_correlations(rows: DataFrame, x: str, y: str, key: str, keep_nan: bool = True, with_p: bool = False) -> DataFrame:
+    """Mean of r (and of its p) over arrays, each pair cut to its shorter; arrays of fewer than two points are left out.
 
-    A constant side gives NaN, which stays and makes the mean NaN, unless keep_nan is false."""
+    A constant side gives NaN, which stays and makes the mean NaN, unless keep_nan is false; p of two points is 1."""
     n = F.least(F.size(x), F.size(y))
     points = rows.where(n >= 2).select(key, F.explode(F.arrays_zip(F.slice(x, 1, n).alias("x"), F.slice(y, 1, n).alias("y"))).alias("p"))
-    per = points.groupBy(key).agg(correlation("p.x", "p.y").alias("r"))
-    r = F.coalesce("r", F.lit(float("nan")))
-    return per.agg(F.avg(r if keep_nan else F.when(~F.isnan(r), r)).alias("mean_r"), F.count("*").alias("arrays"))
+    per = points.groupBy(key).agg(correlation("p.x", "p.y").alias("r"), F.count("*").alias("n"))
+    mean = lambda v: F.avg(F.coalesce(v, F.lit(float("nan"))) if keep_nan else F.when(~F.isnan(v), v))
+    p = [mean(F.when(F.col("r").isNotNull(), F.when(F.col("n") == 2, 1.0).otherwise(p_value("r", "n")))).alias("mean_p")] if with_p else []
+    return per.agg(mean(F.col("r")).alias("mean_r"), *p, F.count("*").alias("arrays"))
 
 
 def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -183,7 +184,17 @@ def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select("n", F.explode(F.array(*cells)).alias("c")).select("c.a", "c.b", "c.r", "n")
 
 
+def with_p(rows: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
+    return rows.withColumn("p", p_value(F.col(r), F.col(n)))
+
+
+def against(rows: DataFrame, key: str, value: str, truth: list[float]) -> DataFrame:
+    """r and n of values against a given list: row k of it belongs to key k; keys beyond it are left out."""
+    known = F.get(F.array(*[F.lit(float(t)) for t in truth]), F.col(key).cast("int"))
+    return pearson(rows.withColumn("_truth", known), value, "_truth")
+
+
 def described(rows: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
     """Adds p, strength, direction and significance to a table of coefficients."""
-    out = rows.withColumn("p", p_value(F.col(r), F.col(n)))
+    out = with_p(rows, r, n)
     return out.withColumns({"strength": strength(F.col(r)), "direction": direction(F.col(r)), "significance": stars(F.col("p"))})

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 #: Names of reward dimensions, in their order.
 REWARD_NAMES = [
     "helpsteer-helpfulness", "helpsteer-correctness", "helpsteer-coherence", "helpsteer-complexity", "helpsteer-verbosity",
@@ -58,11 +60,28 @@ class Judge:
         return [self.choices[int(_unit(prompt, k) * len(self.choices))] for k in range(self.n)]
 
 
-class WhitespaceTokenizer:
-    """Stands in for a tokenizer: words to ids of 31 bits."""
+class StructuredJudge:
+    """Stands in for a judge that answers with JSON: an explanation, then a verdict of the judge type's range."""
+
+    def __init__(self, judge: str, n: int):
+        if judge not in T.RANGES and judge not in T.LETTERS:
+            raise ValueError(f"unknown judge type: {judge}")
+        self.judge, self.n = judge, n
+
+    def verdict(self, u: float) -> str:
+        if self.judge in T.LETTERS:
+            names = T.LETTERS[self.judge]
+            return f'"{names[int(u * len(names))]}"'
+        low, high = T.RANGES[self.judge]
+        return str(low + int(u * (high - low + 1)))
 
-    def encode(self, text: str) -> list[int]:
-        return [int(_unit(w) * (1 << 31)) for w in text.split()]
+    def explain(self, prompt: str) -> list[str]:
+        """n unfinished answers: an explanation whose string is still open."""
+        return [f'{{"explanation":"seen {int(1000 * _unit(prompt, k))}' for k in range(self.n)]
+
+    def conclude(self, prompt: str, begun: str) -> str:
+        """The answer that goes on from `begun`."""
+        return f"{begun}{self.verdict(_unit(prompt, begun))}}}"
 
 
 class LogProb:
@@ -85,9 +104,16 @@ def generate(rows: DataFrame, prompt: str, n: int, backend: Generator | None = N
     return rows.mapInPandas(run, fields + "".join(f", response_{p} string" for p in range(n)))
 
 
-def score(rows: DataFrame, prompt: str, response: str, names: list[str], on_error: str = "null") -> DataFrame:
+class Failing:
+    """A backend that can't be reached."""
+
+    def __call__(self, *args):
+        raise ConnectionError("no model")
+
+
+def score(rows: DataFrame, prompt: str, response: str, names: list[str], on_error: str = "null", backend=None) -> DataFrame:
     """rewards, an array by dimension; a batch that fails gets nulls, or zeros where that is asked for."""
-    model = RewardModel(names)
+    model = backend or RewardModel(names)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
@@ -120,6 +146,37 @@ def judge(rows: DataFrame, prompt: str, choices: list[str], n: int, most_at_once
     return rows.mapInPandas(run, fields + ", verdicts array<string>")
 
 
+def _asked(rows: DataFrame, columns: list[str], out: str, kind: str, call, most_at_once: int = 8) -> DataFrame:
+    """rows with call(*values of columns) as `out`; calls of a batch run side by side, failures are null."""
+
+    def ask(*values):
+        try:
+            return call(*values)
+        except Exception:  # the contract of the boundary: failures are values
+            return None
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(most_at_once) as pool:
+            for df in it:
+                yield df.assign(**{out: list(pool.map(ask, *[df[c].fillna("").tolist() for c in columns]))})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{fields}, `{out}` {kind}")
+
+
+def explained(rows: DataFrame, prompt: str, judge: str, n: int) -> DataFrame:
+    """Two calls for each prompt and sample: an explanation, then the verdict that goes on from it.
+
+    A row for each sample_idx (n of them) with explanation and verdict; an answer that isn't JSON, or whose
+    verdict the judge type doesn't know, has verdict null.  Rows keep their keys, so nothing is put back in order."""
+    backend = StructuredJudge(judge, n)
+    first = _asked(rows, [prompt], "_begun", "array<string>", backend.explain)
+    samples = first.select(*rows.columns, F.posexplode("_begun").alias("sample_idx", "_begun")).withColumn("_begun", T.repair_json(F.col("_begun")))
+    said = _asked(samples, [prompt, "_begun"], "_answer", "string", backend.conclude)
+    verdict = T.json_verdict(F.col("_answer"))
+    return said.select(*rows.columns, "sample_idx", F.get_json_object("_answer", "$.explanation").alias("explanation"), F.when(T.is_valid(verdict, judge), verdict).alias("verdict"))
+
+
 def log_probabilities(rows: DataFrame, prompt: str, response: str) -> DataFrame:
     """logprob: the sum over a response's words."""
     backend = LogProb()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.arrays import bind
 from tessera.functions.scalar import label_number
+from tessera.operators.relational import hash_order
 
 
 def explode_requirements(rows: DataFrame, column: str) -> DataFrame:
@@ -18,7 +19,7 @@ def explode_requirements(rows: DataFrame, column: str) -> DataFrame:
 
 def swap_at_random(rows: DataFrame, key: str, chosen: str, rejected: str, seed: int = 42) -> DataFrame:
     """response_0 and response_1 in an order that a hash of the key and seed gives."""
-    first = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2)) == 0
+    first = hash_order(key, seed) % 2 == 0
     return rows.withColumns({"response_0": F.when(first, F.col(chosen)).otherwise(F.col(rejected)), "response_1": F.when(first, F.col(rejected)).otherwise(F.col(chosen))})
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def hash_order(key: Column | str, seed: int) -> Column:
-    return F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit(seed))
+    """60 bits of the md5 of key and seed, which any engine can repeat."""
+    text = F.concat((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(f"|{seed}"))
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(15)), 16, 10).cast("long")
 
 
 def sample(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -54,10 +56,18 @@ def relabel(rows: DataFrame, column: str, labels: dict[str, str | None]) -> Data
 
 
 def batches(rows: DataFrame, key: str, size: int, epoch: int = 0, seed: int = 42) -> DataFrame:
-    """batch_id for shuffled epochs, by hash range: batches are of about `size` rows."""
-    n = rows.count()
-    k = max(1, -(-n // size))
-    return rows.withColumn("batch_id", F.pmod(hash_order(key, seed + epoch), F.lit(k)).cast("int"))
+    """batch_id of one epoch's shuffled batches of exactly `size` rows (the last may be smaller); epochs go on without end.
+
+    Rows go by hash order.  Equal ranges of the hash are counted, their offsets are known by the driver, and
+    places run within each range: no row number over all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("_h", F.coalesce(hash_order(key, seed + epoch), F.lit(0).cast("long"))).withColumn("_part", F.floor(F.col("_h") / ((1 << 60) // parts + 1)).cast("int"))
+    before, at = {}, 0
+    for r in sorted(ranged.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        before[r["_part"]], at = at, at + r["count"]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for p in before.items() for x in p]), F.col("_part").cast("long")) if before else F.lit(0).cast("long")
+    place = offset + F.row_number().over(Window.partitionBy("_part").orderBy("_h", key)) - 1
+    return ranged.withColumn("batch_id", F.floor(place / size).cast("int")).drop("_h", "_part")
 
 
 def reassemble(ranks: DataFrame, parts: DataFrame, key: str, column: str, default: str = "") -> DataFrame:

@@ -32,6 +32,20 @@ def checklist_judging(pairs: DataFrame, template: str, n: int = 5) -> DataFrame:
     return judging.regroup(judging.valid_rows(votes, ["pref_mean"]), "prompt_id", "check_idx", [], ["check", "importance", "pref_majority", "pref_mean"])
 
 
+def all_pairs_judging(rows: DataFrame, template: str, responses: list[str], n: int = 1) -> DataFrame:
+    """prompt_id, prompt, requirements and any number of responses -> a row for each check and pair i < j:
+    both orders judged n times by letter, switched ones reversed, one vote."""
+    pairs = [(i, j) for i in range(len(responses)) for j in range(i + 1, len(responses))]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(responses[i]).alias("response_0"), F.col(responses[j]).alias("response_1")) for i, j in pairs])
+    one = judging.explode_requirements(rows.select("prompt_id", "prompt", "requirements", F.explode(cells).alias("p")).select("prompt_id", "prompt", "requirements", "p.*"), "requirements")
+    ask = lambda a, b: T.fill_template(template, prompt=F.col("prompt"), response_a=F.col(a), response_b=F.col(b), check=F.col("check"))
+    orders = F.array(F.struct(F.lit(False).alias("switched"), ask("response_0", "response_1").alias("ask")), F.struct(F.lit(True).alias("switched"), ask("response_1", "response_0").alias("ask")))
+    asked = one.select("prompt_id", "i", "j", "check_idx", F.explode(orders).alias("o")).select("prompt_id", "i", "j", "check_idx", "o.switched", "o.ask")
+    samples = inference.judge(asked, "ask", ["A", "B"], n).select("prompt_id", "i", "j", "check_idx", "switched", F.explode("verdicts").alias("verdict"))
+    fair = judging.unswitched(samples, "verdict", "preference_binary")
+    return judging.vote_label(fair, ["prompt_id", "i", "j", "check_idx"], "verdict")
+
+
 def model_comparison(scores: DataFrame, soft: bool = False) -> DataFrame:
     """Win table of prompt_id, model, helpfulness, correctness."""
     return evaluation.win_table(scores, soft=soft)

@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.functions import scalar as X
 from tessera.functions import sequences as S
 from tessera.functions import text as T
-from tessera.operators import agreement, consistency, evaluation, inference, judging, relational, selection
-from tessera.plans import pipelines
+from tessera.operators import agreement, consistency, evaluation, judging, relational, selection
+from tessera.plans import boundary, files, pipelines, significance  # noqa: F401  their queries join these
+from tessera.plans.base import HASH_SQL as _H
+from tessera.plans.base import ORACLE, QUERIES, query, rounded  # noqa: F401
 from tessera.plans.views import sql_with, table, view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
-
-
 def doubles(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
@@ -364,7 +346,7 @@ def templates_and_messages(spark, d):
     return rows.select("conv_id", "turn", filled.alias("filled"), role.alias("message_role"), T.fallback_length(F.col("text")).cast("long").alias("approx_tokens"))
 
 
-@query()
+@query(f"SELECT p_partkey, p_name AS chosen, p_type AS rejected, CASE WHEN {_H.format('p_partkey')} % 2 = 0 THEN p_name ELSE p_type END AS response_0, CASE WHEN {_H.format('p_partkey')} % 2 = 0 THEN p_type ELSE p_name END AS response_1 FROM part")
 def random_swap(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("chosen"), F.col("p_type").alias("rejected"))
     return judging.swap_at_random(rows, "p_partkey", "chosen", "rejected")
@@ -409,10 +391,10 @@ def correlation_matrix(spark, d):
     return rounded(agreement.correlation_matrix(table(spark, d, "lineitem"), _COLS), "r")
 
 
-@query(sql_with("v_packed") + """, l AS (SELECT flatten(list(a0 ORDER BY prompt_id)) AS x, flatten(list(a1 ORDER BY prompt_id)) AS y FROM v_packed WHERE prompt_id < 40),
+@query(sql_with("v_packed") + """, l AS (SELECT flatten(list(a0 ORDER BY prompt_id)) AS x, flatten(list(a1 ORDER BY prompt_id)) AS y FROM v_packed),
 p AS (SELECT unnest(x) AS x, unnest(y) AS y FROM l) SELECT round(corr(x, y), 6) AS r, count(*) AS n FROM p""")
 def flattened_correlation(spark, d):
-    rows = view(spark, d, "v_packed").where("prompt_id < 40")
+    rows = view(spark, d, "v_packed")
     side = lambda c: rows.select("prompt_id", F.col(c).alias("scores"))
     return rounded(agreement.pearson(agreement.flattened(side("a0"), side("a1"), "scores", "prompt_id"), "x", "y"), "r")
 
@@ -425,12 +407,6 @@ def correlation_words(spark, d):
     return rounded(agreement.described(rows).drop("p", "significance"), "r")
 
 
-@query()
-def correlation_significance(spark, d):
-    rows = agreement.pearson(table(spark, d, "orders"), "o_custkey", "o_totalprice", ["o_orderpriority"])
-    return rounded(agreement.described(rows), "r", "p")
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount * 10, 6) AS x, greatest(0.0, least(1.0, ceil(4 * l_discount * 10 - 0.5) / 4)) AS quarter, CASE WHEN l_linenumber < 2 THEN 0 WHEN l_linenumber = 2 THEN 2 ELSE 4 END AS ternary,
 CAST(sign(l_linenumber - 2) AS INTEGER) AS ternary_sign, l_linenumber / 4.0 AS digit, round(1 / (1 + exp(l_tax - l_discount)), 6) AS btl, round(ln(l_discount * 0.5 + 0.2) - ln(1 - (l_discount * 0.5 + 0.2)), 6) AS logit FROM lineitem""")
 def scalar_maps(spark, d):
@@ -634,19 +610,20 @@ def short_names(spark, d):
     return table(spark, d, "pages").select("url", T.short_name(F.col("url")).alias("short"))
 
 
-@query()
+@query(f"SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {_H.format('o_orderkey')}, o_orderkey) <= 1000 THEN 'test' ELSE 'train' END AS split FROM orders")
 def exact_split(spark, d):
-    return relational.split_exact(table(spark, d, "orders"), "o_orderkey", 1000).groupBy("split").agg(F.count("*").alias("n"))
+    return relational.split_exact(table(spark, d, "orders"), "o_orderkey", 1000).select("o_orderkey", "split")
 
 
-@query()
+@query(f"SELECT doc_id FROM documents ORDER BY {_H.format('doc_id')}, doc_id LIMIT 100")
 def hash_sample(spark, d):
     return relational.sample(table(spark, d, "documents"), "doc_id", 100).select("doc_id")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT o_orderkey, {e} AS epoch, CAST((row_number() OVER (ORDER BY {_H.format('o_orderkey').replace('|42', f'|{42 + e}')}, o_orderkey) - 1) // 64 AS INTEGER) AS batch_id FROM orders" for e in (0, 1)))
 def shuffled_batches(spark, d):
-    return relational.batches(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 64)
+    one = lambda e: relational.batches(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 64, epoch=e).withColumn("epoch", F.lit(e))
+    return one(0).unionByName(one(1))
 
 
 _ROUGE_PAIRS = "SELECT conv_id, string_split(max(CASE WHEN turn = 0 THEN text END), ' ') AS a, string_split(max(CASE WHEN turn = 1 THEN text END), ' ') AS b FROM (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE turn < 2 GROUP BY ALL) GROUP BY conv_id HAVING count(*) = 2"
@@ -676,37 +653,3 @@ def rouge_ngrams(spark, d):
 @query()
 def rouge_longest(spark, d):
     return rounded(_rouge_pairs(spark, d).select("conv_id", T.rouge_l("a", "b").alias("rouge_l")), "rouge_l")
-
-
-# -- model boundary and whole plans -------------------------------------------------------------
-
-
-@query()
-def stub_generation(spark, d):
-    return inference.generate(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", 2)
-
-
-@query()
-def stub_rewards(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    return inference.score(rows, "p_name", "p_type", inference.REWARD_NAMES[:2])
-
-
-@query()
-def stub_log_probabilities(spark, d):
-    return rounded(inference.log_probabilities(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type"), "logprob")
-
-
-@query()
-def preference_pair_plan(spark, d):
-    prompts = table(spark, d, "part").select(F.col("p_partkey").alias("prompt_id"), F.col("p_name").alias("prompt"))
-    return rounded(pipelines.preference_pairs(prompts, "prompt", 4, inference.REWARD_NAMES[:1]), "chosen_reward", "reject_reward", "g_chosen", "g_reject")
-
-
-@query()
-def checklist_plan(spark, d):
-    from tessera.sources.io import TEMPLATES
-
-    text = F.concat(F.lit("1) "), "p_name", F.lit(" (importance: 90/100)\n2) "), "p_type", F.lit(" (importance: 75/100)"))
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("prompt_id"), F.col("p_name").alias("prompt"), F.col("p_brand").alias("response_0"), F.col("p_type").alias("response_1"), text.alias("requirements"))
-    return pipelines.checklist_judging(rows, TEMPLATES["preference_binary"], n=3)

@@ -18,6 +18,19 @@ TEMPLATES = {
 }
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one where none is set (one machine only)."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}-{name}"
+
+
 def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """A Parquet dataset, or one split of it kept as folders split=name."""
     df = spark.read.parquet(path)
