@@ -144,7 +144,8 @@ def unpacked(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield from C.slices(part.append_column("text", text))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with `packed`, each text compressed by itself, in the place of `text`."""
     for big in batches:
         for b in C.slices(big):
             at = b.schema.get_field_index("text")
@@ -337,7 +338,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep_text: bool = True) ->
     rest = F.struct(*[docs[c] for c in others]) if others else F.struct(F.lit(None).cast("int").alias("none"))
     base = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("pid"), "doc_id", "text", rest.alias("rest"))
     kind = base.schema["rest"].dataType.simpleString()
-    small = C.map_arrow(base, _pack, f"pid int, doc_id long, packed binary, rest {kind}")  # texts move compressed
+    small = C.map_arrow(base, pack_texts, f"pid int, doc_id long, packed binary, rest {kind}")  # texts move compressed
     small = small.withColumn("id", F.coalesce("doc_id", F.lit(LEAST))).withColumn("ord", F.lit(1))
     counted = C.map_arrow(base.select("pid", "text"), _count_anchors(width), "hash long, pid int, n int")
     per = counted.groupBy("hash", "pid").agg(F.sum("n").alias("n"))

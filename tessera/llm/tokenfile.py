@@ -15,7 +15,6 @@ length in one table, and advances; all blocks of a container go in step.
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,11 +26,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 from tessera.llm import tokens as T
+from tessera.llm.substring import pack_texts, unpacked
 
 MOST = 20
 BLOCK = 1024
 #: Tokens after which a container is closed.
 CONTAINER = 1 << 20
+#: Bytes of a text that order documents of one doc_id.
+LEAD = 16
 _HEAD = struct.Struct("<4sqqqqqq")
 
 
@@ -173,7 +175,7 @@ def _encode(path: str, end: int):
             return out
 
         for big in batches:
-            for b in C.slices(big):
+            for b in unpacked(big):
                 ids, counts = T.encode_column(path, C.column(b, "text"), end)
                 seen = np.bincount(ids, minlength=len(total))
                 if len(seen) > len(total):
@@ -212,16 +214,15 @@ def write_tokens(docs: DataFrame, path: str, end: int, files: str) -> None:
     """Write the ids of docs (doc_id, text) to `files`, one file of containers for each range of doc_id.
 
     Each text (null: none) is followed by the end id.  Documents go in ascending doc_id order,
-    nulls first, equal ids by text.  What comes to the driver: a count for each id of the
+    nulls first, equal ids by the first LEAD bytes of their text (null first), then by their compressed text.  What comes to the driver: a count for each id of the
     vocabulary and for each file.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
-    ranged = docs.select("doc_id", "text").repartitionByRange(C.buckets_of(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    lead = F.substr(F.encode("text", "utf-8"), F.lit(1), F.lit(LEAD)).alias("lead")
+    small = C.map_arrow(docs.select("doc_id", lead, "text"), pack_texts, "doc_id long, lead binary, packed binary")  # texts move compressed
+    ranged = small.repartitionByRange(C.buckets_of(spark), "doc_id").sortWithinPartitions("doc_id", "lead", "packed")
     ids = C.materialise(C.map_arrow(ranged, _encode(path, end), "bucket int, seq int, before long, n long, docs binary, planes array<binary>, symbols array<int>, times array<long>"), "ids")
-    del ranged
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffled texts before the files are written
     heads = ids.where("seq < 0")
     sums = heads.select(F.explode(F.arrays_zip("symbols", "times")).alias("x")).groupBy("x.symbols").agg(F.sum("x.times").alias("n")).collect()
     counts = np.zeros(max([int(r["symbols"]) for r in sums], default=0) + 1, np.int64)
