@@ -460,11 +460,15 @@ def test_top_k(spark):
     vec[100] = [1e12] * 8
     df = spark.createDataFrame([(i, v, 0) for i, v in vec.items()] + [(None, vec[1], 0)], "vec_id long, embedding array<double>, score int")
     fine = {i: [math.floor(256 * x) for x in v] for i, v in vec.items() if v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    fine.pop(100), vec.pop(100)
-    df = df.where("vec_id is null or vec_id <> 100")
-    want = [(q, n + 1, c, s) for q in sorted(fine) if q % 50 == 0 for n, (s, c) in enumerate(sorted(((sum(a * b for a, b in zip(fine[q], fine[c])), c) for c in fine if c != q), key=lambda x: (-x[0], x[1]))[:5])]
+    cut = lambda v: max(-(2**63), min(2**63 - 1, v))
+    want = [(q, n + 1, c, s) for q in sorted(fine) if q % 50 == 0 for n, (s, c) in enumerate(sorted(((cut(sum(a * b for a, b in zip(fine[q], fine[c]))), c) for c in fine if c != q), key=lambda x: (-x[0], x[1]))[:5])]
     assert sorted(map(tuple, topk.top_k(df, every=50).collect())) == want
     assert topk.top_k(df.limit(0), every=50).count() == 0
+    # beyond 64 bits: cut to the nearest; vec_id twice: each row is the other's candidate; lengths differ
+    edge = [(0, [1e12] * 4), (1, [1e12] * 4), (2, [-1e12] * 4), (3, [1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [2.0, 0.0]), (100, []), (101, [])]
+    got = collections.Counter(map(tuple, topk.top_k(spark.createDataFrame(edge, "vec_id long, embedding array<double>"), every=50).collect()))
+    one = 256 * 256
+    assert got == collections.Counter([(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63)), (100, 1, 101, 0)] + 2 * [(50, 1, 50, 2 * one), (50, 2, 50, one)] + [(50, 1, 50, 2 * one), (50, 2, 50, 2 * one)])
     huge = spark.createDataFrame([(0, [3e4]), (1, [1e9]), (2, [-1e9])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in topk.top_k(huge, every=50).orderBy("rank").collect()] == [(1, 256 * 30000 * 256 * 10**9), (2, -256 * 30000 * 256 * 10**9)]
 
