@@ -9,6 +9,7 @@ finish; sets and windows are compared through these 64-bit hashes.
 from __future__ import annotations
 
 import ctypes
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,9 +27,11 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set where that is unset."""
+    """The folder of spark.checkpoint.dir; on one machine a temporary one is set where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.tessera.work.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -36,6 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def secret(spark: SparkSession) -> str:
+    """The key in spark.tessera.key; where it is unset, a random one for this session."""
+    key = spark.conf.get("spark.tessera.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.tessera.key", key)
+    return key
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and return the written table: it survives lost executors."""
     spark = df.sparkSession

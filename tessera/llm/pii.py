@@ -15,6 +15,7 @@ shifted again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 from tessera.llm.quality import bind
 
 ROUNDS = 4
-#: Most applications of the bijection to one entity; more than two are as good as never needed.
-WALK = 8
+#: Most applications of the bijection to one entity until it leaves a forbidden set; each is needed with
+#: probability below 1/4, so a walk of this length never ends early in practice (below 1e-38).
+WALK = 64
+#: Keys that are tried until no two entities have one surrogate.
+TRIES = 8
 ONLY_HEX = "^[0-9a-fA-F]+$"
 DIGITS = "0123456789"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,6 +36,8 @@ CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 ALPHABETS = [DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK, GREEK.upper()]
 HEX = ["abcdef", "ABCDEF"]
+#: In made-up names vowels stay vowels and consonants consonants.
+SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 #: Characters that no alphabet holds.
 OTHER = "[^0-9A-Za-zа-яА-Яα-ωΑ-Ω]"
 
@@ -42,11 +48,14 @@ FIRST_NAMES = {
     ("m", "cyrillic"): "Иван Пётр Алексей Дмитрий Сергей Николай Павел Олег".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Вера".split(),
 }
+TITLES = r"Dr\.?|Prof\.?|Doctor|Professor"
 TITLES_M = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|господин"
 TITLES_F = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Sra\.|госпожа"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-EMAIL = r"[A-Za-z0-9._%+'-]*[A-Za-z0-9_%+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+EMAIL = r"[\p{L}0-9._%+'-]*[\p{L}0-9_%+-]@(?:[\p{L}0-9-]+\.)+\p{L}{2,}"
+KNOWN = "|".join(n for names in FIRST_NAMES.values() for n in dict.fromkeys(names))
+SURNAME = r"\p{Lu}[\p{L}'-]+"
 SECRET_LEAD = r"(?i:pass(?:word|wd)?|pwd|secret|token|(?:api|access|secret|auth)[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
     "secret": rf"{SECRET_LEAD}[A-Za-z0-9+/_.~-]{{6,}}",
@@ -60,37 +69,37 @@ PATTERNS = {
     "ip": rf"{OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
     "card": r"(?:3[47]\d{2}[ -]\d{6}[ -]\d{5}|[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{9,15}|\+\d{1,3}(?:[ .-]\d{2,8}){2,5}|\+\d{1,3}[ .-]\d(?:[ .-]\d{2,4}){3,5}|0\d(?:[ .-]\d{2}){4}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?!\w)",
-    "name": rf"(?:{TITLES_M}|{TITLES_F}) \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "phone": r"(?:\+\d{9,15}|\+\d{1,3}(?:[ .-]\d{2,8}){2,5}|\+\d{1,3}[ .-]\d(?:[ .-]\d{2,4}){3,5}|0\d(?:[ .-]\d{2}){4}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|[2-9]\d{9}|[2-9]\d{2}-\d{4})(?![\w-])",
+    "name": rf"(?:(?:{TITLES_M}|{TITLES_F}|{TITLES}) {SURNAME}(?: {SURNAME})?|(?:{KNOWN}) {SURNAME}(?![\p{{L}}\p{{N}}_]))",
 }
 #: An entity starts where no word, dot-joined number or address goes on.
 ANY = r"(?<![\p{L}\p{N}_@+]|\d\.)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Strings without which there is no entity, as a cheap first look.
 HINT_KEYS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "pk-", "xoxa-", "xoxb-", "xoxp-"]
-HINT_NAMES = ["Mr", "Ms", "Miss ", "Herr ", "Frau ", "Monsieur ", "Mad", "Señor", "Sr", "господин ", "госпожа "]
+HINT_NAMES = rf"Mr|Ms|Miss |Herr |Frau |Monsieur |Mad|Señor|Sr|господин |госпожа |Dr|Prof|Doctor|(?<!\p{{L}})(?:{KNOWN}) "
 
 
 def _chars(s: Column) -> Column:
     return F.split(s, "")
 
 
-def _shift_char(ch: Column, by: Column, hexed: Column) -> Column:
+def _shift_char(ch: Column, by: Column, hexed: Column, alphabets: list[str]) -> Column:
     out = ch
-    for alphabet, on in [*((x, F.lit(True)) for x in ALPHABETS[::-1]), *((x, hexed) for x in HEX)]:
+    for alphabet, on in [*((x, F.lit(True)) for x in alphabets[::-1]), *((x, hexed) for x in HEX)]:
         at = F.instr(F.lit(alphabet), ch)
         out = F.when(on & (ch != "") & (at > 0), F.substr(F.lit(alphabet), F.pmod(at - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))).otherwise(out)
     return out
 
 
-def _shift(s: Column, seed: Column, hexed: Column) -> Column:
+def _shift(s: Column, seed: Column, hexed: Column, alphabets: list[str]) -> Column:
     """s with each character moved within its alphabet by a stream that the seed fixes."""
     stream = F.concat(F.sha2(F.concat(seed, F.lit("a")), 256), F.sha2(F.concat(seed, F.lit("b")), 256))
     by = lambda k, i: F.conv(F.substr(k, F.pmod(3 * i, F.lit(120)) + 1, F.lit(3)), 16, 10).cast("int")
-    moved = lambda k: F.transform(_chars(s), lambda ch, i: bind(by(k, i), lambda n: _shift_char(ch, n, hexed)))
+    moved = lambda k: F.transform(_chars(s), lambda ch, i: bind(by(k, i), lambda n: _shift_char(ch, n, hexed, alphabets)))
     return F.array_join(bind(stream, moved), "")
 
 
-def feistel(s: Column, key: str, salt: Column | str, hexed: Column | bool = False) -> Column:
+def feistel(s: Column, key: str, salt: Column | str, hexed: Column | bool = False, alphabets: list[str] = ALPHABETS) -> Column:
     """A keyed bijection of strings that keeps each character's alphabet; other characters stay.
 
     hexed: a-f and A-F are alphabets of their own."""
@@ -102,8 +111,8 @@ def feistel(s: Column, key: str, salt: Column | str, hexed: Column | bool = Fals
 
     def turn(r: int) -> Callable:
         if r % 2 == 0:
-            return lambda x: F.struct(_shift(x["a"], seed(r, x["b"]), hexed).alias("a"), x["b"].alias("b"))
-        return lambda x: F.struct(x["a"].alias("a"), _shift(x["b"], seed(r, x["a"]), hexed).alias("b"))
+            return lambda x: F.struct(_shift(x["a"], seed(r, x["b"]), hexed, alphabets).alias("a"), x["b"].alias("b"))
+        return lambda x: F.struct(x["a"].alias("a"), _shift(x["b"], seed(r, x["a"]), hexed, alphabets).alias("b"))
 
     for r in range(ROUNDS):
         out = bind(out, turn(r))
@@ -150,8 +159,6 @@ def _ip(e: Column, key: str) -> Column:
 
 def _known(key: str) -> Column:
     """A map from known first names to their surrogates: each list in the order of keyed hashes."""
-    import hashlib
-
     pairs = []
     for (gender, script), names in FIRST_NAMES.items():
         by = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{gender}{script}|{n}".encode()).hexdigest())
@@ -160,12 +167,17 @@ def _known(key: str) -> Column:
 
 
 def _name(e: Column, key: str) -> Column:
-    title = F.regexp_extract(e, rf"^(?:{TITLES_M}|{TITLES_F}) ", 0)
+    """The title stays; known first names go round in their list, others keep their last vowel, which tells gender."""
+    title = F.regexp_extract(e, rf"^(?:{TITLES_M}|{TITLES_F}|{TITLES}) ", 0)
     known = _known(key)
 
     def one(w: Column) -> Column:
-        step = lambda acc, i: F.when((i == 1) | known[acc].isNotNull(), feistel(acc, key, "name")).otherwise(acc)
-        return F.coalesce(known[w], F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), w, step))
+        def made(x: Column) -> Column:
+            step = lambda acc, i: F.when((i == 1) | known[F.concat(acc, x["end"])].isNotNull(), feistel(acc, key, "name", alphabets=SOUNDS)).otherwise(acc)
+            return F.concat(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x["body"], step), x["end"])
+
+        end = F.regexp_extract(w, "(?<=.)[aeiouаеиояαεηιο]$", 0)
+        return F.coalesce(known[w], bind(F.struct(F.substr(w, F.lit(1), F.length(w) - F.length(end)).alias("body"), end.alias("end")), made))
 
     return bind(title, lambda t: F.concat(t, F.array_join(F.transform(F.split(F.substr(e, F.length(t) + 1), " "), one), " ")))
 
@@ -220,26 +232,36 @@ def surrogate(e: Column, key: str) -> Column:
 def entities(text: Column) -> Column:
     """All entities of a text, in order; none for null."""
     some = text.rlike("[0-9@=:]")
-    for h in HINT_KEYS + HINT_NAMES:
+    for h in HINT_KEYS:
         some = some | F.contains(text, F.lit(h))
+    some = some | text.rlike(HINT_NAMES)
     return F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def named(ents: Column) -> Column:
-    """The pattern of a text's entities: ANY, and any of the names that stand behind a title, by themselves."""
+    """The pattern of a text's entities: ANY, and any of the names that stand behind a title or a known first name, by themselves."""
     titled = F.filter(ents, lambda e: e.rlike(f"^(?:{PATTERNS['name']})$"))
-    words = F.flatten(F.transform(titled, lambda e: F.split(F.regexp_replace(e, rf"^(?:{TITLES_M}|{TITLES_F}) ", ""), " ")))
+    words = F.flatten(F.transform(titled, lambda e: F.split(F.regexp_replace(e, rf"^(?:{TITLES_M}|{TITLES_F}|{TITLES}) ", ""), " ")))
     one = F.concat(F.lit("(?:"), F.array_join(F.array_distinct(words), "|"), F.lit(")"))
     bare = lambda w: F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_@+])"), w, F.lit("(?: "), w, F.lit(r")*(?![\p{L}\p{N}_])"))
     return F.when(F.size(words) > 0, bind(one, bare)).otherwise(F.lit(ANY))
 
 
-def replace_pii(docs: DataFrame, key: str = "tessera") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, check: bool = True) -> DataFrame:
     """docs with every entity in `text` replaced by its surrogate, and n_pii (how many; replaced if docs has it).
 
+    key: a secret; who has it can turn surrogates back.  check: the entities of all docs are looked at first, and
+    if two of them have one surrogate, the next key is derived and looked at (at most TRIES, then an error).
     A null text stays null with 0 entities; other columns are untouched.  The result of a
     row depends on its text and the key only, so repeated rows stay alike.
     """
+    if check:
+        for _ in range(TRIES):
+            if collisions(docs, key).isEmpty():
+                break
+            key = hashlib.sha256(f"{key}|next".encode()).hexdigest()
+        else:
+            raise ValueError("entities with one surrogate under every key tried")
     other = docs.drop("n_pii")
     cols = [other[c] for c in other.columns]
     first = F.coalesce(entities(F.col("text")), F.array().cast("array<string>"))
@@ -258,10 +280,17 @@ def replace_pii(docs: DataFrame, key: str = "tessera") -> DataFrame:
     return found.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in other.columns], F.col("_new.n").alias("n_pii"))
 
 
-def collisions(docs: DataFrame, key: str = "tessera") -> DataFrame:
-    """surrogate, entities of surrogates that more than one entity of docs has, or that are entities of docs themselves."""
+def collisions(docs: DataFrame, key: str) -> DataFrame:
+    """surrogate, entities of surrogates that more than one entity of docs has.
+
+    Case doesn't tell entities apart, nor do leading zeros of an address's numbers."""
+    found = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
+    same = F.when(F.col("entity").rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), F.regexp_replace("entity", r"(?<![0-9])0+(?=[0-9])", "")).otherwise(F.lower("entity"))
+    made = found.select(same.alias("entity"), F.lower(surrogate(F.col("entity"), key)).alias("surrogate")).distinct()
+    return made.groupBy("surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
+
+
+def meeting(docs: DataFrame, key: str) -> DataFrame:
+    """surrogate of those that are entities of docs themselves: a report, since a format may have no others left."""
     found = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
-    made = found.select(F.lower("entity").alias("entity"), F.lower(surrogate(F.col("entity"), key)).alias("surrogate")).distinct()
-    shared = made.groupBy("surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
-    real = made.select("surrogate").join(made.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("surrogate", F.lit(1).cast("long").alias("entities"))
-    return shared.unionByName(real)
+    return found.select(F.lower(surrogate(F.col("entity"), key)).alias("surrogate")).distinct().join(found.select(F.lower("entity").alias("surrogate")), "surrogate", "left_semi")

@@ -27,7 +27,7 @@ def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import replace_pii
 
-    return replace_pii(C.documents(spark, sf_dir)).select("doc_id", "text", "n_pii")
+    return replace_pii(C.documents(spark, sf_dir), C.secret(spark)).select("doc_id", "text", "n_pii")
 
 
 def op5_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
