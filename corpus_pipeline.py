@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, small_batches
+from tessera.llm.common import materialise, secret, small_batches
 from tessera.llm.langid import identify
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack_sequences
@@ -48,7 +48,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data."""
-    return replace_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return replace_pii(docs, secret(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
