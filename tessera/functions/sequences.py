@@ -146,9 +146,8 @@ def adaptive_kl(kls: Column, start: float, target: float, horizon: float, batch:
 
 def byte_tokens(text: Column) -> Column:
     """Ids of a text's UTF-8 bytes: the byte plus BYTES; smaller ids are special."""
-    pairs = F.hex(F.encode(text, "utf-8"))
-    places = F.slice(F.sequence(F.lit(0), F.floor(F.length(pairs) / 2).cast("int")), 2, F.length(pairs))
-    return F.transform(places, lambda i: F.conv(F.substr(pairs, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + BYTES)
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + BYTES)
 
 
 def byte_text(tokens: Column) -> Column:
