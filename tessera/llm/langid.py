@@ -5,7 +5,8 @@ word has a segmentation) get a probability in each language.  A word's
 probability is the sum over all its segmentations, by a forward pass; a text's
 is the product over its words, since no piece crosses a word's start.
 
-Learning is one expectation step over all training text: under a common prior
+A word of any length is scored as a whole.  Learning is one expectation step over all training text
+(words of over 48 bytes in parts): under a common prior
 that falls with a piece's rank, a forward-backward pass over each distinct word
 gives expected piece counts, summed by language.  A word is a run of ASCII
 letters and non-ASCII bytes, A-Z as a-z.
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 from tessera.llm.tokens import HashTable
 
-#: Bytes of a word that one lattice covers; a longer word is scored in parts.
+#: Bytes of a word that one lattice covers; a longer word is scored by lattices that overlap (long_logs).
 PART = 48
-#: Longest piece in bytes.
-REACH = 16
+#: Longest piece of letters in bytes; a vocabulary with longer ones is refused.
+REACH = 24
+#: Parts of long words whose lattices are filled together.
+ABREAST = 512
 #: Bytes after which alphas are rescaled: even eight pieces of 1e-30 in a row stay above 0.
 STRIDE = 8
 #: Words that one lattice pass handles.
@@ -62,7 +65,9 @@ class Vocabulary:
                 rank[i] = 1 / (100 + i)
                 if p.piece == MARK:
                     self.mark = i
-                elif led <= 1 and raw and len(raw) <= REACH and MARK not in p.piece.lstrip(MARK):
+                elif led <= 1 and raw and not _GAPS[np.frombuffer(raw, np.uint8)].any() and MARK not in p.piece.lstrip(MARK):
+                    if len(raw) > REACH:
+                        raise ValueError(f"a piece of {len(raw)} bytes is beyond REACH")
                     (leading if led else within)[raw] = i
         self.prior = rank / rank.sum()
         self.inner = self._table(within, C.U64(0))
@@ -174,8 +179,71 @@ class Lattice:
         return out
 
 
+def long_logs(v: Vocabulary, hashes: C.Windows, start: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log-probabilities of words of any length: words x languages, the same sums as one lattice over all bytes.
+
+    The alphas of the last REACH bytes before a part fix all that follows.  A part's lattice is filled once
+    from each of these places, which gives a matrix; a word is the product of its parts' matrices."""
+    most = 4 * ABREAST
+    if len(size) > most:
+        return np.concatenate([long_logs(v, hashes, start[a : a + most], size[a : a + most], p) for a in range(0, len(size), most)])
+    langs, back = p.shape[1], np.arange(REACH)
+    head = np.minimum(size, PART)
+    state, log = np.zeros((len(size), REACH, langs)), np.zeros((len(size), langs))
+    order = np.argsort(-head, kind="stable")
+    alpha = Lattice(v, hashes, start[order], head[order]).forward(p, scaled := _Scale(log.shape))
+    for j, w in enumerate(order.tolist()):
+        at = head[w] - REACH + 1 + back
+        state[w] = np.where((at >= 0)[:, None], alpha[np.maximum(at, 0), j], 0)
+    log[order] = scaled.log
+    later = -(-size // PART) - 1
+    word = np.repeat(np.arange(len(size)), later)
+    low = (C.spread(np.zeros(len(size), np.int64), later) + 1) * PART
+    for a in range(0, len(word), ABREAST):
+        rows, lo = word[a : a + ABREAST], low[a : a + ABREAST]
+        n = np.minimum(size[rows] - lo, PART)
+        base = start[rows] + lo - REACH + 1
+        m = np.zeros((REACH + int(n.max()), len(rows), REACH, langs))
+        m[back, :, back] = 1
+        scale = np.zeros((len(rows), REACH, langs))
+        for t in range(REACH - 1 + int(n.max())):
+            if t >= REACH and t % STRIDE == 0:
+                top = m[t - REACH + 1 :].max(axis=0)
+                top[top == 0] = 1
+                m /= top
+                scale += np.log(top)
+            for k in range(max(1, REACH - t), min(REACH, len(m) - 1 - t) + 1):
+                on = np.flatnonzero(t + k <= REACH - 1 + n)
+                at = base[on] + t
+                ids = v.inner.get(hashes(at, at + k))
+                on, ids = on[ids >= 0], ids[ids >= 0]
+                m[t + k, on] += m[t, on] * p[ids][:, None, :]
+        for j, w in enumerate(rows.tolist()):
+            most = scale[j].max(axis=0)
+            new = ((state[w] * np.exp(scale[j] - most))[None] * m[n[j] + back, j]).sum(axis=1)
+            top = new.max(axis=0)
+            top[top == 0] = 1
+            state[w], log[w] = new / top, log[w] + most + np.log(top)
+    with np.errstate(divide="ignore"):
+        return np.log(state[:, -1]) + log
+
+
+class _Scale:
+    """Keeps all alphas of a word at one scale, its log apart."""
+
+    def __init__(self, shape: tuple):
+        self.log = np.zeros(shape)
+
+    def __call__(self, alpha: np.ndarray, i: int) -> None:
+        if i and i % STRIDE == 0:
+            top = alpha[max(0, i - REACH + 1) :].max(axis=0)
+            top[top == 0] = 1
+            alpha /= top
+            self.log += np.log(top)
+
+
 def parts(w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, size, doc of words cut to at most PART bytes (cuts don't split characters' sums: bytes are pieces too)."""
+    """start, size, doc of words cut to at most PART bytes, for learning (bytes are pieces too, so each part has segmentations)."""
     size = w.end - w.start
     k = -(-size // PART)
     j = C.spread(np.zeros(len(k), np.int64), k)
@@ -237,9 +305,9 @@ _scores: dict[int, tuple] = {}
 
 
 def word_scores(model_id: int, model: dict, v: Vocabulary, w: C.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of word parts by language, and the text of each part."""
+    """Log-probabilities of words by language, and the text of each."""
     C.claim("langid", _scores.clear)
-    start, size, doc = parts(w)
+    start, size, doc = w.start, w.end - w.start, w.doc()
     hashes = C.Windows(C._BYTE_VALUES[w.data])
     keys = hashes(start, start + size) | C.U64(1)
     table, values, n = _scores.get(model_id, (None, None, 0))
@@ -252,8 +320,12 @@ def word_scores(model_id: int, model: dict, v: Vocabulary, w: C.Words) -> tuple[
         first = new[first]
         while n + len(first) > len(values):
             values = np.concatenate([values, np.zeros_like(values)])
-        for rows, lattice in lattices(v, hashes, start[first], size[first]):
-            values[n + rows] = lattice.logs(model["p"])
+        long = size[first] > PART
+        short = np.flatnonzero(~long)
+        for rows, lattice in lattices(v, hashes, start[first[short]], size[first[short]]):
+            values[n + short[rows]] = lattice.logs(model["p"])
+        if long.any():
+            values[n + np.flatnonzero(long)] = long_logs(v, hashes, start[first[long]], size[first[long]], model["p"])
         table.put(keys[first], np.arange(n, n + len(first), dtype=np.int32))
         n += len(first)
         index[new] = table.get(keys[new])

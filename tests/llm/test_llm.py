@@ -241,6 +241,36 @@ def test_rare_bytes_do_not_underflow():
     assert np.isfinite(logs).all() and (logs[:, 0] > logs[:, 1]).all() and logs[list(rows_).index(0), 0] < -1000
 
 
+def test_long_words_are_whole(monkeypatch):
+    """Words beyond one lattice have the sum over all segmentations, by a plain forward pass in logs."""
+    v = langid.vocabulary(tokens.default_path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    words = ["становништвоуниверситет" * 3, "internationalisation" * 9, "日本語の文章" * 20, "x" * 48 + "y", "thening" * 30 + "становни", "".join(rng.choice("abcdeé中") for _ in range(150))]
+    w = C.Words(pa.array(words), gaps=langid._GAPS)
+    start, size, hashes = w.start, w.end - w.start, C.Windows(C._BYTE_VALUES[w.data])
+    p = np.append(v.prior, 0.0)[:, None] * np.array([1.0, 0.5])
+    p[::3, 1] *= 1.7
+
+    def plain(a, n, lang):
+        alpha = np.full(n + 1, -np.inf)
+        alpha[0] = np.log(p[v.mark, lang])
+        for i in range(n):
+            for k in range(1, min(langid.REACH, n - i) + 1):
+                h = hashes(np.array([a + i]), np.array([a + i + k]))
+                for table, salt in ((v.inner, C.U64(0)), (v.first, langid._START))[: 2 if i == 0 else 1]:
+                    j = int(table.get(h ^ salt)[0])
+                    if j >= 0:
+                        alpha[i + k] = np.logaddexp(alpha[i + k], (alpha[i] if table is v.inner else 0) + np.log(p[j, lang]))
+        return alpha[n]
+
+    want = np.array([[plain(a, n, lang) for lang in range(2)] for a, n in zip(start.tolist(), size.tolist())])
+    assert size.min() > langid.PART and np.allclose(langid.long_logs(v, hashes, start, size, p), want, rtol=1e-9)
+    monkeypatch.setattr(langid, "ABREAST", 3)
+    assert np.allclose(langid.long_logs(v, hashes, start, size, p * 1e-9), langid.long_logs(v, hashes, start, size, p * 1e-9))
+    got, doc = langid.word_scores(1, {"langs": ["a", "b"], "p": p}, v, w)
+    assert np.allclose(got, want, rtol=1e-5) and doc.tolist() == list(range(6))
+
+
 def test_rare_script_has_a_score(spark):
     path = tokens.default_path("piece_bpe_32k.model")
     rows_ = [(i, "the cat and the dog " * 40000 if lang == "en" else "der hund und die katze " * 40000, lang) for i, lang in enumerate(["en", "de"] * 8)]
