@@ -40,8 +40,8 @@ def merges(proto) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
-def rebuild(proto) -> tokenizers.Tokenizer:
-    """A tokenizer with the model's pieces; the dummy prefix is left to the caller."""
+def rebuild(proto, prefix: bool = False) -> tokenizers.Tokenizer:
+    """A tokenizer with the model's pieces; the dummy prefix is left to the caller unless `prefix` is set."""
     unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
     kind, fallback = proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback
     if kind == UNIGRAM:
@@ -55,13 +55,29 @@ def rebuild(proto) -> tokenizers.Tokenizer:
     if proto.normalizer_spec.precompiled_charsmap:
         steps.append(normalizers.Precompiled(proto.normalizer_spec.precompiled_charsmap))
     if proto.normalizer_spec.remove_extra_whitespaces:
-        steps += [normalizers.Strip(), normalizers.Replace(tokenizers.Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(tokenizers.Regex(r"\A +| +\z"), ""), normalizers.Replace(tokenizers.Regex(" {2,}"), " ")]  # spaces alone
     steps.append(normalizers.Replace(" ", MARK))
+    if prefix and proto.normalizer_spec.add_dummy_prefix:
+        steps.append(normalizers.Prepend(MARK))
     t.normalizer = normalizers.Sequence(steps)
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
     return t
 
 
+class WholeTexts:
+    """ids of whole texts, in batches over the library's threads, each text checked against sentencepiece."""
+
+    def __init__(self, tokenizer: tokenizers.Tokenizer, other):
+        self.tokenizer, self.other = tokenizer, other
+        self.faults = np.zeros(0, bool)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        said = [x or "" for x in texts.to_pylist()]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(said, add_special_tokens=False)]
+        self.faults = np.array([a != b for a, b in zip(ids, self.other.encode(said, num_threads=1))], bool)
+        return np.array([x for one in ids for x in one], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
 class Codec:
     """Encoder, checked against sentencepiece, and decoder of a model file."""
 
@@ -78,10 +94,11 @@ class Codec:
         t = rebuild(proto)
         crossing = any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece for p in proto.pieces if p.type in (NORMAL, USER))
         plain = not proto.normalizer_spec.precompiled_charsmap and not proto.normalizer_spec.remove_extra_whitespaces
-        # cutting before spaces is safe if no piece has the marker after other characters
+        # cutting before spaces is safe if no piece has the marker after other characters; else texts go whole
         if crossing or not plain or not self.prefix:
-            raise ValueError("pieces of this model cross words")
-        self.encoder = T.PieceEncoder(t, spaced=True, prefix=True, check=self.same)
+            self.encoder = WholeTexts(rebuild(proto, prefix=True), self.other)
+        else:
+            self.encoder = T.PieceEncoder(t, spaced=True, prefix=True, check=self.same)
         text = [p.piece.replace(MARK, " ").encode() if p.type in (NORMAL, USER) else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" for p in proto.pieces]
         self.bytes = np.frombuffer(b"".join(text), np.uint8)
         self.size = np.fromiter(map(len, text), np.int64, len(text))
@@ -109,7 +126,7 @@ class Codec:
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
         full = np.flatnonzero(np.diff(ends))
         keep = np.ones(len(raw), bool)
-        keep[ends[full]] = raw[ends[full]] != 32
+        keep[ends[full]] = (raw[ends[full]] != 32) | (not self.prefix)
         lengths = np.diff(np.concatenate([[0], np.cumsum(keep)])[ends])
         return raw[keep], lengths
 
@@ -130,8 +147,9 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32"
 def encode(docs: DataFrame, path: str, threads: int = 2, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, parity, round_trip and (null if not wanted) ids of each row of docs.
 
-    parity: sentencepiece gives the same ids for each piece of the text; round_trip: decoding
-    the ids gives the text's bytes.  A null or empty text has no ids; both flags hold.
+    parity: sentencepiece gives the same ids for each piece of the text, or, for a model that normalises
+    texts or whose pieces cross words, for the whole text; round_trip: decoding
+    the ids gives the text's bytes, which a normaliser may change.  A null or empty text has no ids; both flags hold.
     """
     C.small_batches(docs.sparkSession)
 

@@ -205,6 +205,38 @@ def test_unigram_models_are_rebuilt():
     assert t.encode(" the cat").tokens and t.decode(t.encode(" the cat").ids) == " the cat"
 
 
+@pytest.mark.parametrize("kind", ["unigram", "spaces", "no_prefix", "map", "unigram_map"])
+def test_models_with_normalisers(spark, hand, local, tmp_path, kind):
+    """Models of other kinds, made from the public one by their flags: ids are those of sentencepiece."""
+    import sentencepiece as lib
+
+    proto = sentencepiece.parse(open(tokens.default_path("piece_bpe_32k.model"), "rb").read())
+    if "unigram" in kind:
+        proto.trainer_spec.model_type = sentencepiece.UNIGRAM
+        for i, x in enumerate(proto.pieces):  # merge ranks are whole numbers, whose sums tie; logs don't
+            if x.type == sentencepiece.NORMAL:
+                x.score = -math.log(2 + i)
+    if kind == "spaces":
+        proto.normalizer_spec.remove_extra_whitespaces = True
+    if kind == "no_prefix":
+        proto.normalizer_spec.add_dummy_prefix = False
+    if "map" in kind:
+        made = sentencepiece.parse(lib.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+        proto.normalizer_spec.precompiled_charsmap = made.normalizer_spec.precompiled_charsmap
+        proto.normalizer_spec.remove_extra_whitespaces = True
+        assert proto.normalizer_spec.precompiled_charsmap
+    path = str(tmp_path / "made.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    right = lib.SentencePieceProcessor(model_file=path)
+    odd = ["", None, "  lead  and trail  ", "ﬁne ①②", "a\u3000b", "日本語 テキスト", "x" * 3000, " ", "\n a"]
+    df = spark.createDataFrame(list(enumerate(odd + local.text.tolist()[:40])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sentencepiece.encode(df, path).collect()}
+    for i, t in enumerate(odd + local.text.tolist()[:40]):
+        same = list(got[i]["ids"]) == right.encode(t or "")
+        assert got[i]["parity"] == same and (same or ("unigram" in kind and t == "x" * 3000)), (kind, t)  # segmentations of one score
+
+
 # -- 2: language ---------------------------------------------------------------
 
 
