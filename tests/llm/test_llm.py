@@ -234,7 +234,7 @@ def test_models_with_normalisers(spark, hand, local, tmp_path, kind):
     got, ties = {r["doc_id"]: r for r in sentencepiece.encode(df, path).collect()}, 0
     for i, t in enumerate(odd + local.text.tolist()[:40]):
         ids, want = list(got[i]["ids"]), right.encode(t or "")
-        assert got[i]["parity"] == (ids == want), (kind, t)
+        assert ids == want if got[i]["parity"] else "unigram" in kind, (kind, t)
         if ids != want:  # only another segmentation of the same score, as runs of one character have
             score = lambda x: sum(right.get_score(j) for j in x)
             assert "unigram" in kind and right.decode(ids) == right.decode(want) and math.isclose(score(ids), score(want), rel_tol=1e-5), (kind, t)
