@@ -48,10 +48,29 @@ def secret(spark: SparkSession) -> str:
     return key
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder, which clean() deletes."""
+    path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}-{tag}"
+    _made.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what the operators wrote in this session; results that are read later need it no more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and return the written table: it survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}-{tag}"
+    path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -37,12 +37,10 @@ def op5_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from tessera.llm.tokenfile import read_tokens, write_tokens
     from tessera.llm.tokens import default_path
 
-    files = f"{C.shared_folder(spark)}/tessera/{uuid.uuid4().hex}-tokens"
+    files = C.new_path(spark, "tokens")
     write_tokens(C.documents(spark, sf_dir), default_path("byte_bpe_50k.json"), 0, files)
     return read_tokens(spark, files, with_ids=False).drop("ids")
 

@@ -252,5 +252,4 @@ def read_tokens(spark, files: str, with_ids: bool = True) -> DataFrame:
                 yield C.record(_DOCS, doc_id=pa.array(c["doc_ids"], mask=~c["valid"]), start=c["start"] + at[:-1], n_tokens=n, ids_crc32=T.crc32s(c["ids"], n), ids=lists)
 
     C.small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return C.map_arrow(spark.read.schema("bucket int, seq int, container binary").parquet(files), run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
