@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import direction, stars, strength
 
 
+#: Most distinct values whose ranks are broadcast (16 bytes each); beyond that adaptive execution splits hot ties.
+BROADCAST = 1_000_000
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz)."""
     tiny = 1e-300
@@ -95,6 +99,8 @@ def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     offset = F.element_at(F.create_map(*[F.lit(z) for p in before.items() for z in p]), F.col("_part")) if before else F.lit(0)
     within = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v"))
     ranks = ranged.select("_v", (offset + within - (F.col("_n") - 1) / 2).cast("double").alias(out))
+    if counts.limit(BROADCAST + 1).count() <= BROADCAST:  # a tie may hold any share of the rows
+        ranks = F.broadcast(ranks)
     return rows.join(ranks, rows[value].cast("double") == ranks["_v"]).drop("_v")
 
 

@@ -92,9 +92,9 @@ def dominant(matrices: DataFrame, n: int) -> DataFrame:
 
 
 def cycle_report(prefs: DataFrame, n: int) -> DataFrame:
-    """One row: judgments, cycles, their mean, judgments with cycles and with no, one or several dominant nodes."""
-    if n > 8:
-        raise ValueError("cycles are counted for at most 8 responses")
+    """One row: judgments, cycles, their mean, judgments with cycles and with no, one or several dominant nodes.
+
+    Paths are counted within each judgment's row; their number can grow as the factorial of n."""
     m = nodes(prefs, n)
     both = m.select("jid").join(simple_cycles(graph(m, n), n), "jid", "left").join(dominant(m, n), "jid")
     total = F.count("*")

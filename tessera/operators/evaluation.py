@@ -75,8 +75,11 @@ def best_response(packed: DataFrame, rewards: str) -> DataFrame:
 
 
 def length_statistics(rows: DataFrame, length: str) -> DataFrame:
-    """Mean, median, maximum and 95th and 99th percentiles (interpolated), and capacity advice."""
-    s = rows.agg(F.avg(length).alias("mean"), F.max(length).alias("most"), F.percentile(length, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
+    """Mean, median, maximum and 95th and 99th percentiles (interpolated), and capacity advice.
+
+    Rows are counted by length first, so what meets in one task is a count for each length."""
+    counts = rows.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("_l")).agg(F.count("*").alias("_n"))
+    s = counts.agg((F.sum(F.col("_l") * F.col("_n")) / F.sum("_n")).alias("mean"), F.max("_l").alias("most"), F.percentile("_l", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("_n")).alias("p"))
     return s.select("mean", "most", F.get("p", F.lit(0)).alias("median"), F.get("p", F.lit(1)).alias("p95"), F.get("p", F.lit(2)).alias("p99"), (F.col("most") + 5 * F.col("most")).alias("needed"), (6 * F.col("most") <= 2048).alias("fits_2048"))
 
 

@@ -455,16 +455,23 @@ def sntd(spark, d):
     return rounded(consistency.sntd(view(spark, d, "v_prefs3").withColumns({c: F.col(c).cast("double") for c in ("p01", "p02", "p12")})), "sntd")
 
 
+#: The models that are compared, in their order.
+_TYPES = ["view", "click", "purchase", "error"]
+
+
 def _pairs_of(spark, d, n: int) -> DataFrame:
-    users = table(spark, d, "events").select(F.col("user_id").alias("jid")).distinct()
-    ij = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(i + 1, n)]))
-    rows = users.select("jid", ij.alias("x")).select("jid", "x.i", "x.j")
-    return rows.withColumn("p", F.pmod(F.col("jid") * 7 + F.col("jid") * F.col("i") * F.col("j") + F.col("i") * 3 + F.col("j") * 5 + F.floor(F.col("jid") / (F.col("j") + 2)), F.lit(3)) / 2.0)
+    """jid, i, j, p: which of two event types a user has more of among the events that fall to this pair."""
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    count = lambda k, i, j: F.count_if((F.col("event_type") == _TYPES[k]) & (F.col("event_id") % 5 == (i + j) % 5))
+    sums = table(spark, d, "events").groupBy(F.col("user_id").alias("jid")).agg(*[count(k, i, j).alias(f"c{i}{j}{k}") for i, j in pairs for k in (i, j)])
+    p = lambda i, j: (F.signum(F.col(f"c{i}{j}{i}") - F.col(f"c{i}{j}{j}")) + 1) / 2
+    return sums.select("jid", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), p(i, j).alias("p")) for i, j in pairs])).alias("x")).select("jid", "x.i", "x.j", "x.p")
 
 
 def _cycles_sql(n: int) -> str:
-    return f"""WITH RECURSIVE u AS (SELECT DISTINCT user_id AS jid FROM events), ij AS (SELECT a.i AS i, b.j AS j FROM range({n}) a(i), range({n}) b(j) WHERE a.i < b.j),
-p AS (SELECT jid, i, j, ((jid * 7 + jid * i * j + i * 3 + j * 5 + jid // (j + 2)) % 3) / 2.0 AS p FROM u, ij),
+    count = lambda k, i, j: f"count(*) FILTER (WHERE event_type = '{_TYPES[k]}' AND event_id % 5 = {(i + j) % 5})"
+    one = lambda i, j: f"SELECT user_id AS jid, {i} AS i, {j} AS j, (sign({count(i, i, j)} - {count(j, i, j)}) + 1) / 2.0 AS p FROM events GROUP BY user_id"
+    return f"""WITH RECURSIVE u AS (SELECT DISTINCT user_id AS jid FROM events), p AS ({" UNION ALL ".join(one(i, j) for i in range(n) for j in range(i + 1, n))}),
 f AS (SELECT jid, i, j, p FROM p UNION ALL SELECT jid, j, i, 1 - p FROM p),
 tied AS (SELECT jid, k AS i, k AS j FROM u, range({n}) r(k) UNION SELECT t.jid, t.i, f.j FROM tied t JOIN f ON f.jid = t.jid AND f.i = t.j AND f.p = 0.5),
 rep AS (SELECT jid, i, min(j) AS g FROM tied GROUP BY ALL),
