@@ -20,7 +20,7 @@ import tokenizers
 from tessera.llm import common as C
 
 #: Pieces that a table holds; beyond that it starts anew.
-PIECES = 700_000
+PIECES = 1_200_000
 #: New pieces in one call's text.
 JOINED = 100
 _SPACED, _FOREIGN = (C.U64(x) for x in C.stream_of(41, 2))
@@ -86,7 +86,7 @@ class PieceEncoder:
         return (f" {word} ".encode(), ids[0]) if len(ids) == 1 else None
 
     def _clear(self) -> None:
-        self.table = HashTable(20)
+        self.table = HashTable(21)
         self.ids = np.zeros(1 << 20, np.int32)
         self.at = np.zeros(PIECES + 2, np.int64)
         self.odd = np.zeros(PIECES + 2, bool)
