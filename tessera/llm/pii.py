@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import common as C
 from tessera.llm.quality import bind
 
 ROUNDS = 4
@@ -56,6 +57,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"[\p{L}0-9._%+'-]*[\p{L}0-9_%+-]@(?:[\p{L}0-9-]+\.)+\p{L}{2,}"
 KNOWN = "|".join(n for names in FIRST_NAMES.values() for n in dict.fromkeys(names))
 SURNAME = r"\p{Lu}[\p{L}'-]+"
+NAMED = rf"(?:{TITLES_M}|{TITLES_F}|{TITLES}) {SURNAME}(?: {SURNAME})?"
 SECRET_LEAD = r"(?i:pass(?:word|wd)?|pwd|secret|token|(?:api|access|secret|auth)[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
     "secret": rf"{SECRET_LEAD}[A-Za-z0-9+/_.~-]{{6,}}",
@@ -70,13 +72,16 @@ PATTERNS = {
     "card": r"(?:3[47]\d{2}[ -]\d{6}[ -]\d{5}|[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:\+\d{9,15}|\+\d{1,3}(?:[ .-]\d{2,8}){2,5}|\+\d{1,3}[ .-]\d(?:[ .-]\d{2,4}){3,5}|0\d(?:[ .-]\d{2}){4}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|[2-9]\d{9}|[2-9]\d{2}-\d{4})(?![\w-])",
-    "name": rf"(?:(?:{TITLES_M}|{TITLES_F}|{TITLES}) {SURNAME}(?: {SURNAME})?|(?:{KNOWN}) {SURNAME}(?![\p{{L}}\p{{N}}_]))",
+    "name": rf"(?:{NAMED}|(?:{KNOWN}) {SURNAME}(?![\p{{L}}\p{{N}}_]))",
 }
 #: An entity starts where no word, dot-joined number or address goes on.
-ANY = r"(?<![\p{L}\p{N}_@+]|\d\.)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+START = r"(?<![\p{L}\p{N}_@+]|\d\.)"
+ANY = START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: The same without names that have no title: for texts that hold no known first name.
+TITLED = START + "(?:" + "|".join(f"(?:{p if k != 'name' else NAMED})" for k, p in PATTERNS.items()) + ")"
 #: Strings without which there is no entity, as a cheap first look.
 HINT_KEYS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "pk-", "xoxa-", "xoxb-", "xoxp-"]
-HINT_NAMES = rf"Mr|Ms|Miss |Herr |Frau |Monsieur |Mad|Señor|Sr|господин |госпожа |Dr|Prof|Doctor|(?<!\p{{L}})(?:{KNOWN}) "
+HINT_TITLES = ["Mr", "Ms", "Miss ", "Herr ", "Frau ", "Monsieur ", "Mad", "Señor", "Sr", "господин ", "госпожа ", "Dr", "Prof", "Doctor"]
 
 
 def _chars(s: Column) -> Column:
@@ -119,6 +124,12 @@ def feistel(s: Column, key: str, salt: Column | str, hexed: Column | bool = Fals
     return bind(out, lambda x: F.concat(x["a"], x["b"]))
 
 
+def walk(s: Column, bad: Callable, turn: Callable) -> Column:
+    """turn(s), and again while it is bad, at most WALK times: a bijection of what isn't bad."""
+    again = lambda v: F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), v, lambda acc, i: F.when(bad(acc), turn(acc)).otherwise(acc))
+    return bind(turn(s), lambda v: F.when(bad(v), again(v)).otherwise(v))
+
+
 def _reinsert(shape: Column, symbols: Column) -> Column:
     """The shape with its symbols replaced one by one: the same symbols in another format stay the same."""
     seen = lambda i: F.length(F.regexp_replace(F.substr(shape, F.lit(1), i + 1), OTHER, ""))
@@ -173,8 +184,8 @@ def _name(e: Column, key: str) -> Column:
 
     def one(w: Column) -> Column:
         def made(x: Column) -> Column:
-            step = lambda acc, i: F.when((i == 1) | known[F.concat(acc, x["end"])].isNotNull(), feistel(acc, key, "name", alphabets=SOUNDS)).otherwise(acc)
-            return F.concat(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x["body"], step), x["end"])
+            bad = lambda v: known[F.concat(v, x["end"])].isNotNull()
+            return F.concat(walk(x["body"], bad, lambda v: feistel(v, key, "name", alphabets=SOUNDS)), x["end"])
 
         end = F.regexp_extract(w, "(?<=.)[aeiouаеиояαεηιο]$", 0)
         return F.coalesce(known[w], bind(F.struct(F.substr(w, F.lit(1), F.length(w) - F.length(end)).alias("body"), end.alias("end")), made))
@@ -211,9 +222,8 @@ def _general(e: Column, kind: Column, key: str) -> Column:
         def walked(s: Column) -> Column:
             """Hex digits stay hex digits; other symbols walk on while they look like hex digits."""
             hexed = kind.isin("secret", "mac", "ipv6", "hex_key") & s.rlike(ONLY_HEX)
-            on = lambda i, v: (i == 1) | (~hexed & v.rlike(ONLY_HEX) & kind.isin("secret", "mac", "ipv6", "hex_key"))
-            step = lambda acc, i: F.when(on(i, acc), feistel(acc, key, salt, hexed)).otherwise(acc)
-            return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), s, step)
+            bad = lambda v: ~hexed & v.rlike(ONLY_HEX) & kind.isin("secret", "mac", "ipv6", "hex_key")
+            return walk(s, bad, lambda v: feistel(v, key, salt, hexed))
 
         return F.concat(x["lead"], _reinsert(x["body"], bind(symbols, walked)), x["tail"])
 
@@ -232,10 +242,14 @@ def surrogate(e: Column, key: str) -> Column:
 def entities(text: Column) -> Column:
     """All entities of a text, in order; none for null."""
     some = text.rlike("[0-9@=:]")
-    for h in HINT_KEYS:
+    for h in HINT_KEYS + HINT_TITLES:
         some = some | F.contains(text, F.lit(h))
-    some = some | text.rlike(HINT_NAMES)
-    return F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    first = F.lit(False)
+    for names in FIRST_NAMES.values():
+        for n in names:
+            first = first | F.contains(text, F.lit(n + " "))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(first, found(ANY)).when(some, found(TITLED)).otherwise(F.array().cast("array<string>"))
 
 
 def named(ents: Column) -> Column:
@@ -285,6 +299,7 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
 
     Case doesn't tell entities apart, nor do leading zeros of an address's numbers."""
     found = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
+    found = found.repartition(C.buckets_of(docs.sparkSession), "entity")  # few bytes but much work, so not for one task
     same = F.when(F.col("entity").rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), F.regexp_replace("entity", r"(?<![0-9])0+(?=[0-9])", "")).otherwise(F.lower("entity"))
     made = found.select(same.alias("entity"), F.lower(surrogate(F.col("entity"), key)).alias("surrogate")).distinct()
     return made.groupBy("surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
