@@ -70,25 +70,25 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of a matrix of symbols (-1 to the left fills short patterns): its interval of suffixes."""
+        length, lo, hi = self.statistics(patterns)
+        return lo, np.where(length == (patterns >= 0).sum(axis=1), hi, lo)
+
+    def statistics(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics at the rows' ends: the length of the longest suffix of each row that the index holds, and its interval."""
         m = len(patterns)
-        lo, hi = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
+        lo, hi, length = np.zeros(m, np.int64), np.full(m, self.n, np.int64), np.zeros(m, np.int64)
+        going = np.arange(m)
         for t in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, t]
-            use = np.flatnonzero((c >= 0) & (lo < hi))
-            c = c[use]
-            both = self.before[c] + self.bwt.rank(np.concatenate([c, c]), np.concatenate([lo[use], hi[use]])).reshape(2, -1)
-            lo[use], hi[use] = both
-        return lo, hi
+            going = going[patterns[going, t] >= 0]
+            c = patterns[going, t]
+            a, z = self.before[c] + self.bwt.rank(np.concatenate([c, c]), np.concatenate([lo[going], hi[going]])).reshape(2, -1)
+            on = a < z
+            going = going[on]
+            lo[going], hi[going], length[going] = a[on], z[on], length[going] + 1
+        return length, lo, hi
 
 
 def matching_statistics(index: FMIndex, pattern: np.ndarray) -> np.ndarray:
-    """Length of the longest prefix of each suffix of the pattern that occurs in the index, up to its depth."""
-    n = len(pattern)
-    out = np.zeros(n, np.int64)
-    for length in range(1, min(n, index.depth) + 1):
-        at = np.flatnonzero(out[: n - length + 1] == length - 1)
-        if not len(at):
-            break
-        lo, hi = index.search(pattern[at[:, None] + np.arange(length)[None, :]])
-        out[at[hi > lo]] = length
-    return out
+    """For each place of the pattern, the length of the longest run that ends there and occurs in the index, up to its depth."""
+    padded = np.concatenate([np.full(index.depth - 1, -1), pattern])
+    return index.statistics(np.lib.stride_tricks.sliding_window_view(padded, index.depth))[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm import quality, topk
+from tessera.llm import neardup, quality, substring, topk
 
 
 def op2_segmented_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk, op10_context_mixing)
 }
-ORACLE: dict[str, str] = {"op8_host_quality": quality.SQL, "op9_exact_topk": topk.SQL}
+ORACLE: dict[str, str] = {"op3_minmax_neardup": neardup.SQL, "op5_fm_substring": substring.SQL, "op8_host_quality": quality.SQL, "op9_exact_topk": topk.SQL}

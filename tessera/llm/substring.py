@@ -248,7 +248,8 @@ def shard_answers(t: pa.Table, width: int) -> pa.RecordBatch:
     lo, hi = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
     for a in range(0, len(one), 1 << 15):
         part = place[one[a : a + (1 << 15)]]
-        lo[a : a + len(part)], hi[a : a + len(part)] = index.search(seq[part[:, None] + np.arange(width)[None, :]])
+        length, lo[a : a + len(part)], hi[a : a + len(part)] = index.statistics(seq[part[:, None] + np.arange(width)[None, :]])
+        assert (length == width).all()  # the threshold; each window is in the index, so its interval tells where else it stands
     # earliest start of the words of each suffix, by the segment that it lies in
     far = np.iinfo(np.int64).max
     key = np.full(len(seq), far)
@@ -354,3 +355,22 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep_text: bool = True) ->
     done = C.map_arrow(stream, _cut(width, keep_text), f"doc_id long, rest {kind}, n_words long, n_removed long, kept_sha256 string, cut string")
     back = {c: F.col("rest")[c].alias(c) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("cut").alias("text")}
     return done.select(*[back[c] for c in docs.columns if c in back], *new)
+
+
+#: remove_repeats(width=20, keep_text=False) over documents whose doc_ids differ.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS u(i) WHERE len(w) >= 20
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM again, range(20) AS u(k)
+), words AS (
+  SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(i)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
