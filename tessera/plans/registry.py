@@ -657,6 +657,11 @@ def rouge_ngrams(spark, d):
     return rounded(rows.select("conv_id", T.rouge_n(F.col("a"), F.col("b"), 1).alias("rouge1"), T.rouge_n(F.col("a"), F.col("b"), 2).alias("rouge2")), "rouge1", "rouge2")
 
 
-@query()
+_ROW = "list_transform(m, lambda x, k: greatest(o[k], CASE WHEN x = 1 THEN coalesce(o[k - 1], 0) + 1 ELSE 0 END))"
+
+
+@query(f"""WITH p AS ({_ROUGE_PAIRS}), m AS (SELECT conv_id, a, b, list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda w: list_transform(b, lambda y: CASE WHEN y = w THEN 1 ELSE 0 END))) AS rows FROM p),
+l AS (SELECT conv_id, a, b, list_last(list_reduce(rows, lambda o, m: list_transform([{_ROW}], lambda c: list_transform(c, lambda x, k: list_max(c[1:k])))[1])) AS common FROM m)
+SELECT conv_id, round(2.0 * common / (len(a) + len(b)), 6) AS rouge_l FROM l""")
 def rouge_longest(spark, d):
     return rounded(_rouge_pairs(spark, d).select("conv_id", T.rouge_l("a", "b").alias("rouge_l")), "rouge_l")
