@@ -689,7 +689,7 @@ def test_decisions_are_a_distribution():
     assert np.allclose(10 ** logs(d.right) + 10 ** logs(~d.right), 1)
     w = C.Words(pa.array([chr(i) for i in range(33, 127)]))
     table = np.zeros(1 << mixing.SPELL, np.int64)
-    mixing.spell(table, w, np.arange(0, len(w), 3), np.ones(len(w), int))
+    mixing.spell(table, w, np.arange(0, len(w), 3), np.ones(len(range(0, len(w), 3)), int))
     table = table / mixing.ONCE
     first = mixing.Letters(w, np.arange(len(w)))
     p = np.full(len(first.slots[0][0]), 1 / 256)
