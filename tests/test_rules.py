@@ -253,3 +253,58 @@ def test_streaming_votes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["pref_majority"], r["n"]) for r in spark.table("votes").collect()] == [("A", 3)]
+
+
+def test_byte_tokens_go_back(spark):
+    texts = ["", "a", "naïve 日本 🙂", "x\x00y", None]
+    got = values(spark, [(t,) for t in texts], "t string", S.byte_tokens(F.col("t")), S.byte_text(S.pad_right(S.byte_tokens(F.col("t")), 30, S.PAD)))
+    assert [g[0] for g in got] == [None if t is None else [b + S.BYTES for b in t.encode()] for t in texts]
+    assert [g[1] for g in got] == texts
+
+
+def test_special_tokens_and_pads(spark):
+    got = values(spark, [([5, 0, 7, 0, 0],), ([],), (None,)], "t array<int>", S.without(F.col("t"), [5]), S.pads_to_end(F.col("t"), 0, 1))
+    assert got == [([0, 7, 0, 0], [5, 1, 7, 1, 1]), ([], []), (None, None)]
+
+
+def test_reward_text_keeps_the_right_end(spark):
+    rows = [("q one", "a </s> b"), ("q", "")]
+    whole = T.reward_text(F.col("q"), F.col("r"), "</s>", "END")
+    cut = T.reward_text(F.col("q"), F.col("r"), "</s>", "END", most=3)
+    assert values(spark, rows, "q string, r string", whole, cut) == [("q one a END b", "a END b"), ("q ", "q")]
+
+
+def test_batches_are_exact(spark):
+    rows = spark.range(1003).withColumnRenamed("id", "k").repartition(5)
+    one, two = ({r["k"]: r["batch_id"] for r in relational.batches(rows, "k", 64, epoch=e).collect()} for e in (0, 1))
+    for got in (one, two):
+        sizes = [list(got.values()).count(b) for b in range(16)]
+        assert sizes == [64] * 15 + [43] and set(got) == set(range(1003))
+    assert one != two and one == {r["k"]: r["batch_id"] for r in relational.batches(rows.repartition(2), "k", 64).collect()}
+    assert relational.batches(rows.limit(0), "k", 64).count() == 0
+
+
+def test_explanations_come_before_verdicts(spark):
+    rows = spark.createDataFrame([(1, "p"), (2, None)], "id int, prompt string")
+    got = inference.explained(rows, "prompt", "preference_ternary", 3).collect()
+    assert len(got) == 6 and {r["sample_idx"] for r in got} == {0, 1, 2}
+    assert all(r["explanation"].startswith("seen ") and r["verdict"] in ("A", "B", "Tie") for r in got)
+    with pytest.raises(ValueError):
+        inference.StructuredJudge("unheard of", 1)
+
+
+def test_correlation_against_a_list(spark):
+    rows = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0), (7, 9.0), (None, 1.0)], "k int, x double")
+    r = agreement.against(rows, "k", "x", [1.0, 2.0, 3.0]).first()
+    assert r["n"] == 3 and math.isclose(r["r"], 0.98198, abs_tol=1e-4)
+
+
+def test_report_files_come_back(spark, tmp_path):
+    table = spark.createDataFrame([("a", "a", 0.5), ("a", "b", 0.25), ("b", "a", 0.75), ("b", "b", 0.5)], "row_model string, col_model string, t1 double")
+    lines = io.win_table_report(table, ["a", "b"], {"t1": "Title"})
+    io.write_text(lines, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).count() == 3
+    assert io.write_with_fallback(table, "nowhere://x/y", str(tmp_path / "second")) == str(tmp_path / "second")
+    assert io.read_split(spark, {"test": str(tmp_path / "second")}).count() == 4
+    with pytest.raises(ValueError):
+        io.read_split(spark, {})
