@@ -28,6 +28,8 @@ from tessera.llm import common as C
 
 #: Classes in a block; a tile compares two blocks.
 BLOCK = 96
+#: A class of more members than HOT, and than one row in CLASSES, is broadcast: at most CLASSES rows of 32 bytes.
+HOT, CLASSES = 10_000, 500_000
 #: Bands that are connected together.
 STEP = 8
 #: Shingle columns that one product of a tile handles.
@@ -213,8 +215,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: i
     rows = C.materialise(C.map_arrow(docs, _classes(k, functions), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sets")
     key = ["n_shingles", "s1", "s2"]
     real = rows.where("n_shingles > 0")
-    rep = C.materialise(real.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    own = real.join(rep.withColumn("doc_id", F.col("rep")).hint("merge"), [*key, "doc_id"])  # no task gets all copies of a text
+    rep = C.materialise(real.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
+    own = real.join(rep.select(*key, "rep", F.col("rep").alias("doc_id")).hint("merge"), [*key, "doc_id"])  # no task gets all copies of a text
     own = own.select("rep", F.posexplode("bands").alias("nth", "band")).distinct()
     family = families(C.materialise(own, "bands"), functions // 2)
     size = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
@@ -227,8 +229,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: i
     if not large.isEmpty():
         more = links_of(docs, strays(large, comp), k, percent)
         comp = C.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), "links")
-    of_class = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
-    out = real.select("doc_id", *key).join(of_class.hint("merge"), key, "left").select("doc_id", "n_shingles", "comp")
+    of_class = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "members", F.coalesce("comp", "rep").alias("comp"))
+    # classes of very many copies are few, so they go to the rows; the rows of all others meet theirs in a shuffle
+    limit = max(HOT, rows.count() // CLASSES)
+    hot = of_class.where(F.col("members") > limit).select(*key, F.col("comp").alias("hot"))
+    told = real.select("doc_id", *key).join(F.broadcast(hot), key, "left")
+    cold = told.where("hot is null").join(of_class.where(F.col("members") <= limit).select(*key, "comp").hint("merge"), key, "left")
+    out = told.where("hot is not null").withColumnRenamed("hot", "comp").unionByName(cold.drop("hot")).select("doc_id", "n_shingles", "comp")
     out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("comp")))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

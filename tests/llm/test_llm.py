@@ -347,8 +347,9 @@ def brute_components(pairs, k, percent):
     return comp
 
 
-@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
-def test_near_duplicates(hand, empty, docs, local, k, percent):
+@pytest.mark.parametrize("k,percent,hot", [(3, 85, 1), (5, 80, 10_000)])
+def test_near_duplicates(hand, empty, docs, local, monkeypatch, k, percent, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
     for df, pairs in ((hand, [(r["doc_id"], r["text"]) for r in hand.collect()]), (docs, list(zip(local.doc_id, local.text)))):
         want = brute_components(pairs, k, percent)
         got = neardup.near_duplicates(df, k, percent).collect()
