@@ -36,7 +36,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 ALPHABETS = [DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK, GREEK.upper()]
-HEX = ["abcdef", "ABCDEF"]
+HEX = [DIGITS, "abcdef", "ABCDEF"]
 #: In made-up names vowels stay vowels and consonants consonants.
 SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 #: Characters that no alphabet holds.
@@ -88,28 +88,31 @@ def _chars(s: Column) -> Column:
     return F.split(s, "")
 
 
-def _shift_char(ch: Column, by: Column, hexed: Column, alphabets: list[str]) -> Column:
-    out = ch
-    for alphabet, on in [*((x, F.lit(True)) for x in alphabets[::-1]), *((x, hexed) for x in HEX)]:
-        at = F.instr(F.lit(alphabet), ch)
-        out = F.when(on & (ch != "") & (at > 0), F.substr(F.lit(alphabet), F.pmod(at - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))).otherwise(out)
-    return out
+def _shift_char(ch: Column, by: Column, alphabets: list[str]) -> Column:
+    """ch moved on in its alphabet; the alphabets lie one after another in one string."""
+    every = F.lit("".join(alphabets))
+    ends = [sum(map(len, alphabets[: k + 1])) for k in range(len(alphabets))]
+    first = F.array(*[F.lit(e - len(a) + 1) for e, a in zip(ends, alphabets) for _ in a])
+    size = F.array(*[F.lit(len(a)) for a in alphabets for _ in a])
+    moved = lambda i: F.get(first, i - 1) + F.pmod(i - F.get(first, i - 1) + by, F.get(size, i - 1))
+    return bind(F.instr(every, ch), lambda i: F.when((ch != "") & (i > 0), F.substr(every, moved(i), F.lit(1))).otherwise(ch))
 
 
-def _shift(s: Column, seed: Column, hexed: Column, alphabets: list[str]) -> Column:
+def _shift(s: Column, seed: Column, hexed: Column | None, alphabets: list[str]) -> Column:
     """s with each character moved within its alphabet by a stream that the seed fixes."""
     stream = F.concat(F.sha2(F.concat(seed, F.lit("a")), 256), F.sha2(F.concat(seed, F.lit("b")), 256))
     by = lambda k, i: F.conv(F.substr(k, F.pmod(3 * i, F.lit(120)) + 1, F.lit(3)), 16, 10).cast("int")
-    moved = lambda k: F.transform(_chars(s), lambda ch, i: bind(by(k, i), lambda n: _shift_char(ch, n, hexed, alphabets)))
+    plain = lambda ch, n: _shift_char(ch, n, alphabets)
+    move = plain if hexed is None else lambda ch, n: F.when(hexed, _shift_char(ch, n, HEX)).otherwise(plain(ch, n))
+    moved = lambda k: F.transform(_chars(s), lambda ch, i: bind(by(k, i), lambda n: move(ch, n)))
     return F.array_join(bind(stream, moved), "")
 
 
-def feistel(s: Column, key: str, salt: Column | str, hexed: Column | bool = False, alphabets: list[str] = ALPHABETS) -> Column:
+def feistel(s: Column, key: str, salt: Column | str, hexed: Column | None = None, alphabets: list[str] = ALPHABETS) -> Column:
     """A keyed bijection of strings that keeps each character's alphabet; other characters stay.
 
     hexed: a-f and A-F are alphabets of their own."""
     salt = F.lit(salt) if isinstance(salt, str) else salt
-    hexed = F.lit(hexed) if isinstance(hexed, bool) else hexed
     half = F.floor(F.length(s) / 2).cast("int")
     out = F.struct(F.substr(s, F.lit(1), half).alias("a"), F.substr(s, half + 1).alias("b"))
     seed = lambda r, x: F.concat(F.lit(f"{key}|{r}|"), salt, F.lit("|"), x, F.lit("|"))
@@ -126,8 +129,7 @@ def feistel(s: Column, key: str, salt: Column | str, hexed: Column | bool = Fals
 
 def walk(s: Column, bad: Callable, turn: Callable) -> Column:
     """turn(s), and again while it is bad, at most WALK times: a bijection of what isn't bad."""
-    again = lambda v: F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), v, lambda acc, i: F.when(bad(acc), turn(acc)).otherwise(acc))
-    return bind(turn(s), lambda v: F.when(bad(v), again(v)).otherwise(v))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), s, lambda acc, i: F.when((i == 1) | bad(acc), turn(acc)).otherwise(acc))
 
 
 def _reinsert(shape: Column, symbols: Column) -> Column:
