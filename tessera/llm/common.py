@@ -286,6 +286,10 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+#: Rows of a link table that one file may hold.
+FEW = 50_000
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, comp) of the nodes of the edges (a, b): comp is the smallest node that can be reached.
 
@@ -295,26 +299,29 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     keyed aggregates and joins on tables in the shared folder; only counts come to the driver.
     """
     lower = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    most = buckets_of(edges.sparkSession)
+    few = lambda df, n: df.coalesce(min(most, n // FEW + 1))  # noqa: E731  small tables in few files
     links = materialise(edges.where("a <> b").select(*lower("a", "b")).distinct(), f"{tag}-links")
-    hooks = []
-    while True:
-        hook = materialise(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), f"{tag}-hooks")
-        if hook.isEmpty():
-            break
+    hooks, n = [], links.count()
+    while n:
+        hook = materialise(few(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), n), f"{tag}-hooks")
         while True:  # to the roots
             up = hook.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
             if hook.join(up, "comp", "left_semi").isEmpty():
                 break
-            hook = materialise(hook.join(up, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), f"{tag}-hooks")
-        hooks.append(hook)
+            hook = materialise(few(hook.join(up, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), n), f"{tag}-hooks")
+        hooks.append((hook, n))
         x, y = hook.toDF("a", "x"), hook.toDF("b", "y")
         first = links.join(x, "a").where("b <> x").select("x", "b")  # the link that a node hooked by is settled
-        links = materialise(first.join(y, "b", "left").select("x", F.coalesce("y", "b").alias("y")).where("x <> y").select(*lower("x", "y")).distinct(), f"{tag}-links")
-    out = hook  # empty
-    for hook in reversed(hooks):  # roots of a round are nodes of the next
-        if hook is hooks[-1]:
+        links = materialise(few(first.join(y, "b", "left").select("x", F.coalesce("y", "b").alias("y")).where("x <> y").select(*lower("x", "y")).distinct(), n), f"{tag}-links")
+        n = links.count()
+    if not hooks:
+        return links.toDF("node", "comp")  # empty
+    out = None
+    for hook, n in reversed(hooks):  # roots of a round are nodes of the next
+        if out is None:
             out = hook
             continue
         far = hook.join(out.toDF("comp", "far"), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
-        out = materialise(far.unionByName(out), f"{tag}-labels")
-    return materialise(out.unionByName(out.select(F.col("comp").alias("node"), "comp")).distinct(), f"{tag}-labels")
+        out = materialise(few(far.unionByName(out), n), f"{tag}-labels")
+    return materialise(few(out.unionByName(out.select(F.col("comp").alias("node"), "comp")).distinct(), hooks[0][1]), f"{tag}-labels")
