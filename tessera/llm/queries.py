@@ -76,8 +76,14 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op12_cascading_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.cascade import hashed_faults, replay
+
+    return replay(spark.read.parquet(f"{sf_dir}/conversations.parquet"), **hashed_faults())
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk, op10_context_mixing)
+    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk, op10_context_mixing, op12_cascading_release)
 }
 ORACLE: dict[str, str] = {"op3_minmax_neardup": neardup.SQL, "op5_fm_substring": substring.SQL, "op8_host_quality": quality.SQL, "op9_exact_topk": topk.SQL}
