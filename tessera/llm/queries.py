@@ -76,6 +76,15 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bytebpe import encode
+
+    docs = C.documents(spark, sf_dir)
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
 def op12_cascading_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.cascade import hashed_faults, replay
 
@@ -84,6 +93,6 @@ def op12_cascading_release(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk, op10_context_mixing, op12_cascading_release)
+    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk, op10_context_mixing, op11_backtracking_bpe, op12_cascading_release)
 }
 ORACLE: dict[str, str] = {"op3_minmax_neardup": neardup.SQL, "op5_fm_substring": substring.SQL, "op8_host_quality": quality.SQL, "op9_exact_topk": topk.SQL}

@@ -37,7 +37,7 @@ def brute(rows):
                     continue
                 start = max(start, value[parent])
             at, n = start, 1
-            while h[1] % 101 < 50 and (at < 7 * p + h[2] % 101 or h[n + 2] % 3 == 0) and n < 7:
+            while n < 7 and h[1] % 101 < 50 and (at < 7 * p + h[2] % 101 or h[n + 2] % 3 == 0):
                 if n < 6:
                     at += 20 * 2 ** (n - 1)
                 n += 1
@@ -60,7 +60,7 @@ def told(df):
 def test_query(spark, small):
     t = ds.dataset(f"{small}/conversations.parquet").to_table(columns=["conv_id", "turn", "text"]).to_pydict()
     got = told(E.queries()["op12_cascading_release"](spark, small))
-    assert got == collections.Counter(brute(zip(*t.values()))) and {k[2] for k in got} >= {"delivered", "blocked"}
+    assert got == collections.Counter(brute(zip(*t.values()))) and any(k[2] == "delivered" and k[3] > 1 for k in got)
 
 
 @pytest.mark.parametrize("block", [4, 256])
