@@ -91,8 +91,14 @@ def op12_cascading_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(spark.read.parquet(f"{sf_dir}/conversations.parquet"), **hashed_faults())
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.variants import group_variants
+
+    return group_variants(C.documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk, op10_context_mixing, op11_backtracking_bpe, op12_cascading_release)
+    for f in (op1_huffman_tokens, op2_segmented_langid, op3_minmax_neardup, op4_pii_surrogates, op5_fm_substring, op6_cost_packing, op7_sentencepiece, op8_host_quality, op9_exact_topk, op10_context_mixing, op11_backtracking_bpe, op12_cascading_release, op13_spelling_variants)
 }
 ORACLE: dict[str, str] = {"op3_minmax_neardup": neardup.SQL, "op5_fm_substring": substring.SQL, "op8_host_quality": quality.SQL, "op9_exact_topk": topk.SQL}
