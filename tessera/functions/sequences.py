@@ -140,8 +140,12 @@ def masked_cross_entropy(logprobs: Column, labels: Column, ignore: int) -> Colum
 
 def adaptive_kl(kls: Column, start: float, target: float, horizon: float, batch: float) -> Column:
     """The coefficient after ordered updates by 1 + clip(kl / target - 1, -0.2, 0.2) batch / horizon."""
-    step = lambda c, k: c * (1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), k / target - 1)) * batch / horizon)
-    return F.aggregate(kls, F.lit(start), step)
+    return F.aggregate(kls, F.lit(start), lambda c, k: c * kl_factor(k, target, horizon, batch))
+
+
+def kl_factor(kl: Column, target: float, horizon: float, batch: float) -> Column:
+    """What one update multiplies the coefficient by; 1 where kl is null."""
+    return F.when(kl.isNull(), 1.0).otherwise(1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), kl / target - 1)) * batch / horizon)
 
 
 def byte_tokens(text: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import bind
+
 #: Least and greatest verdict of the numeric judge types.
-RANGES = {"reward": (0, 100), "preference_score": (0, 10), "preference_5score": (-1, 4)}
+RANGES = {"reward": (0, 100), "preference_score": (0, 10), "preference_5score": (-1, 4), "preference_5score_ver2": (-3, 2)}
+#: The verdict of a confused judge, which stays in the other order.
+SENTINELS = {"preference_5score": -1, "preference_5score_ver2": -3}
 LETTERS = {"preference_binary": ["A", "B"], "preference_ternary": ["A", "B", "Tie"]}
 
 
@@ -29,10 +32,12 @@ def is_valid(verdict: Column, judge: str, least: int | None = None) -> Column:
 def reverse_verdict(verdict: Column, judge: str, mode: str = "fixed") -> Column:
     """The verdict of the same pair in the other order, as text.
 
-    fixed: -1 stays, scores of 0 .. 10 turn to 10 - x; reference: text -1 turns to 5 and other scales stay."""
-    if judge == "preference_5score":
-        turned = (4 - whole_number(verdict)).cast("string")
-        return F.when(whole_number(verdict) == -1, F.lit("-1")).otherwise(turned) if mode == "fixed" else turned
+    0 .. 4 turn to 4 - x, -2 .. 2 of preference_5score_ver2 to -x.  fixed: sentinels stay, scores of 0 .. 10 turn to 10 - x;
+    reference: a sentinel turns as any number (text -1 to 5, text -3 to 3) and other scales stay."""
+    if judge in SENTINELS:
+        x = whole_number(verdict)
+        turned = (4 - x if judge == "preference_5score" else -x).cast("string")
+        return F.when(x == SENTINELS[judge], x.cast("string")).otherwise(turned) if mode == "fixed" else turned
     if judge in LETTERS:
         return F.when(verdict == "A", "B").when(verdict == "B", "A").otherwise("Tie")
     if judge == "preference_score" and mode == "fixed":
@@ -158,25 +163,77 @@ def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
     return F.coalesce(F.try_divide(2.0 * both, (F.size(a) + F.size(b)).cast("double")), F.lit(0.0))
 
 
+def rouge_tokens(text: Column) -> Column:
+    """Lower-cased runs of a-z and 0-9, as the usual scorer cuts texts."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+#: Places of a word array that one long of the matching masks holds: a sum of two masks and a carry stays below 2**63.
+_BITS = 62
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def _masks(words: Column) -> Column:
+    """Map of each word to its places: bit i % 62 of long i / 62."""
+    blocks = F.ceil(F.size(words) / _BITS).cast("int")
+    none = F.array_repeat(F.lit(0).cast("long"), blocks)
+    sorted_ = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    entry = "struct<w:string,m:array<bigint>>"
+    state = lambda last, m, done: F.struct(last.alias("w"), m.alias("m"), done.alias("done"))
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["w"].eqNullSafe(e["w"])
+        bit = lambda m: F.transform(m, lambda x, k: F.when(k == F.floor(e["i"] / _BITS).cast("int"), x.bitwiseOR(_bit(e["i"] % _BITS))).otherwise(x))
+        closed = F.when(s["w"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["w"].alias("w"), s["m"].alias("m")))))
+        return F.when(same, state(s["w"], bit(s["m"]), s["done"])).otherwise(state(e["w"], bit(none), closed))
+
+    last = lambda s: F.concat(s["done"], F.array(F.struct(s["w"].alias("w"), s["m"].alias("m"))))
+    start = state(F.lit(None).cast("string"), none, F.array().cast(f"array<{entry}>"))
+    return F.map_from_entries(F.aggregate(sorted_, start, step, last))
+
+
+def longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two word arrays without nulls; 0 where either is empty, null where null.
+
+    Bit-parallel: b's places lie in longs of 62 bits, and each word of a is a sum with carry and two masks for each long."""
+    full = (1 << _BITS) - 1
+
+    def of(both: Column) -> Column:
+        n, where = both["n"], both["where"]
+        blocks = F.ceil(n / _BITS).cast("int")
+        left = lambda k: F.least(F.lit(_BITS), n - k * _BITS)
+        ones = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: _bit(left(k)) - 1)
+
+        def word(row: Column, w: Column) -> Column:
+            def block(s: Column, k: Column) -> Column:
+                v, m = F.get(row, k), F.get(s["m"], k)
+                total = v + v.bitwiseAND(m) + s["carry"]
+                new = total.bitwiseAND(F.lit(full)).bitwiseOR(v.bitwiseAND(F.lit(full).bitwiseXOR(m)))
+                return F.struct(F.concat(s["out"], F.array(new)).alias("out"), F.shiftright(total, _BITS).alias("carry"), s["m"].alias("m"))
+
+            start = lambda m: F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("carry"), m.alias("m"))
+            after = lambda m: F.aggregate(F.sequence(F.lit(0), blocks - 1), start(m), block, lambda s: s["out"])
+            return bind(F.element_at(where, w), lambda m: F.when(m.isNull(), row).otherwise(after(m)))
+
+        final = F.aggregate(both["a"], ones, word)
+        kept = F.aggregate(F.zip_with(final, ones, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+        return n - kept
+
+    empty = (F.size(a) == 0) | (F.size(b) == 0)
+    packed = F.struct(F.size(b).alias("n"), a.alias("a"), _masks(b).alias("where"))
+    return F.when(a.isNull() | b.isNull(), None).when(empty, 0).otherwise(bind(packed, of))
+
+
 def rouge_l(candidate: Column | str, reference: Column | str) -> Column:
-    """F1 of the longest common subsequence of two word arrays: bit-parallel, a few operations on big
-    integers for each word; 0 where either is empty or null."""
-
-    def one(a, b) -> float:
-        if a is None or b is None or not len(a) or not len(b):
-            return 0.0
-        where: dict = {}
-        for i, w in enumerate(b):
-            where[w] = where.get(w, 0) | (1 << i)
-        full = (1 << len(b)) - 1
-        row = full
-        for w in a:
-            hit = row & where.get(w, 0)
-            row = ((row + hit) | (row - hit)) & full
-        common = len(b) - row.bit_count()
-        return 2.0 * common / (len(a) + len(b))
-
-    def scores(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    return F.pandas_udf(scores, "double")(candidate, reference)
+    """F1 of the longest common subsequence of two word arrays; 0 where either is empty or null."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (candidate, reference))
+    score = F.try_divide(2.0 * longest_common(a, b), (F.size(a) + F.size(b)).cast("double"))
+    return F.coalesce(score, F.lit(0.0))
+
+
+def rouge(candidate: Column, reference: Column) -> list[Column]:
+    """rouge1, rouge2 and rouge_l of two token arrays."""
+    return [rouge_n(candidate, reference, 1).alias("rouge1"), rouge_n(candidate, reference, 2).alias("rouge2"), rouge_l(candidate, reference).alias("rouge_l")]

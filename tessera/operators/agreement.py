@@ -4,63 +4,45 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import direction, stars, strength
+from tessera.operators import ordered
 
 
 #: Most distinct values whose ranks are broadcast (16 bytes each); beyond that adaptive execution splits hot ties.
 BROADCAST = 1_000_000
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return h
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def t_p_value(r: float | None, n: int) -> float | None:
-    """Two-sided p of a correlation of n pairs, Student's t with n - 2 degrees of freedom."""
-    if r is None or r != r or n < 3:
-        return None
-    if abs(r) >= 1:
-        return 0.0
-    df = n - 2
-    t2 = r * r * df / (1 - r * r)
-    return incomplete_beta(df / 2, 0.5, df / (df + t2))
+#: Points of the quadrature of p_value, and the share of the density (as a power of e) beyond which nothing is added.
+POINTS, FAR = 64, 40.0
 
 
 def p_value(r: Column | str, n: Column | str) -> Column:
-    """t_p_value by column; meant for result tables, not for data."""
+    """Two-sided p of a correlation of n pairs, Student's t with n - 2 degrees of freedom; null for r null or NaN, or n < 3.
 
-    def values(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([t_p_value(None if x is None or x != x else float(x), int(y)) for x, y in zip(a, b)], dtype="float64")
+    With r = sin(a) it is the share of cos(t) ** (n - 3) beyond |a|; both areas come from Gauss-Legendre
+    points between where they begin and where the density has fallen by e ** -FAR."""
+    r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
+    x, w = np.polynomial.legendre.leggauss(POINTS)
+    points = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("w")) for a, b in zip((x + 1) / 2, w / 2)])
+    m = (n - 3).cast("double")
 
-    return F.pandas_udf(values, "double")(r, n)
+    def area(s: Column) -> Column:
+        """Of cos ** m from asin(s) on, over cos(asin(s)) ** m."""
+        level = F.log1p(-s * s) / 2
+        low = F.when(s < 0.7, F.asin(s)).otherwise(F.acos(F.exp(level)))
+        log_cos = lambda t: F.when(t < 0.5, F.log1p(-F.pow(F.sin(t), 2)) / 2).otherwise(F.log(F.greatest(F.cos(t), F.lit(1e-300))))
+        width = F.acos(F.exp(level) * F.when(m > 0, F.exp(-FAR / m)).otherwise(0.0)) - low
+        height = lambda e: F.exp(m * (log_cos(low + e["x"] * width) - level))
+        return width * F.aggregate(points, F.lit(0.0), lambda t, e: t + e["w"] * height(e))
+
+    near = F.least(F.abs(r), F.lit(1 - 1e-15))
+    p = F.exp(m * F.log1p(-near * near) / 2) * area(near) / area(F.lit(0.0))
+    return F.when(r.isNull() | F.isnan(r) | (n < 3), None).when(F.abs(r) >= 1, 0.0).otherwise(F.least(p, F.lit(1.0)))
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:
@@ -83,23 +65,16 @@ def pearson(rows: DataFrame, x: str, y: str, keys: list[str] | None = None) -> D
 
 
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean, without a one-task window.
+    """Ranks with ties at their mean, without a one-task window; rows without a value go.
 
-    Distinct values are counted and fall into ranges between fixed splits; the ranges' sizes, summed on the
+    Distinct values are counted and written in ranges; the ranges' sizes, summed on the
     driver, are their offsets, and a running sum within each range does the rest."""
-    counts = rows.groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    splits = sorted(set(counts.approxQuantile("_v", [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
-    nth = F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < F.col("_v"))) if splits else F.lit(0)
-    ranged = counts.withColumn("_part", nth)
-    sums = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}
-    before, at = {}, 0
-    for p in sorted(sums):
-        before[p], at = at, at + sums[p]
-    offset = F.element_at(F.create_map(*[F.lit(z) for p in before.items() for z in p]), F.col("_part")) if before else F.lit(0)
-    within = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v"))
-    ranks = ranged.select("_v", (offset + within - (F.col("_n") - 1) / 2).cast("double").alias(out))
-    if counts.limit(BROADCAST + 1).count() <= BROADCAST:  # a tie may hold any share of the rows
+    counts = ordered.in_ranges(rows.groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")), "_v")
+    parts = ordered.totals(counts, n=F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)), k=F.count("*"))
+    offset = ordered.by_part(ordered.before(parts, "n", 0, lambda x, y: x + y), "long")
+    within = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).over(Window.partitionBy("_part").orderBy("_v"))
+    ranks = counts.select("_v", (offset + within - (F.col("_n") - 1) / 2).cast("double").alias(out))
+    if sum(p["k"] for p in parts) <= BROADCAST:  # a tie may hold any share of the rows
         ranks = F.broadcast(ranks)
     return rows.join(ranks, rows[value].cast("double") == ranks["_v"]).drop("_v")
 
@@ -131,6 +106,107 @@ def kendall(rows: DataFrame, x: str, y: str) -> DataFrame:
     return s.select(F.try_divide(F.col("s"), F.sqrt((n0 - tie("tx", pairs)) * (n0 - tie("ty", pairs)))).alias("tau"), "n", "s", F.try_divide(F.col("s"), F.sqrt(var)).alias("z"))
 
 
+#: Most ranges of one side of kendall_values; their joint counts, four times the square of this at most, reach the driver.
+RANGES = 256
+
+
+def inversions(y: np.ndarray, c: np.ndarray) -> int:
+    """The sum of c_i c_j over i < j with y_i > y_j: one stable parting of the places for each bit of the values' ranks."""
+    if len(y) < 2:
+        return 0
+    if float(c.sum()) ** 2 >= 2**62:
+        c = c.astype(object)  # products beyond 64 bits
+    rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    out = 0
+    for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
+        group = rank >> (bit + 1)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        start = np.repeat(first, np.diff(np.append(first, len(rank))))
+        one = (rank >> bit) & 1
+        ahead = np.cumsum(c * one) - c * one  # weight of ones before each place
+        out += int(((c * (1 - one)) * (ahead - ahead[start])).sum())
+        ones = np.cumsum(one) - one
+        ones = ones - ones[start]
+        zeros = np.arange(len(rank)) - start - ones
+        total = np.add.reduceat(1 - one, first)
+        to = start + np.where(one == 1, np.repeat(total, np.diff(np.append(first, len(rank)))) + ones, zeros)
+        moved, weights = np.empty_like(rank), np.empty_like(c)
+        moved[to], weights[to] = rank, c
+        rank, c = moved, weights
+    return out
+
+
+def _inverted(cells: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """s: the weighted inversions of y in each group, rows in order."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.select(group, "x", "y", "c", *[o for o in order if o not in ("x", "y")]).repartition(parts, group).sortWithinPartitions(group, *order)
+
+    def run(batches):
+        held, last = [], None
+
+        def done() -> pa.RecordBatch:
+            t = pa.concat_tables(held)
+            return pa.RecordBatch.from_pydict({"s": [str(inversions(t["y"].to_numpy(), t["c"].to_numpy()))]}, pa.schema([("s", pa.string())]))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]).select([group, "y", "c"])
+            g = t[group].to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for a, z in zip(cuts, cuts[1:]):
+                if held and g[a] != last:
+                    yield done()
+                    held = []
+                held.append(t.slice(a, z - a))
+                last = g[a]
+        if held:
+            yield done()
+
+    return dealt.mapInArrow(run, "s string").select(F.col("s").cast("decimal(38,0)").alias("s"))
+
+
+def kendall_values(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """tau, n, s and z as kendall() has them, for values of any number of levels; rows without both values go.
+
+    Distinct pairs are counted and written.  Both sides are cut into ranges, each split value a range of its own, so that a
+    tie of any size lies in one where nothing is inverted.  Pairs that differ in both ranges are counted from the ranges'
+    joint counts, pairs that share a range of x or one of y within it, by a task for each range."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = ordered.written(both.groupBy("x", "y").agg(F.count("*").alias("c")), "cells")
+    parts = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sides = {c: ordered.quantiles(cells, c, parts) for c in ("x", "y")}
+    placed = cells.withColumns({"a": ordered.place(F.col("x"), sides["x"]), "b": ordered.place(F.col("y"), sides["y"])})
+    joint = np.zeros((2 * len(sides["x"]) + 1, 2 * len(sides["y"]) + 1), object)
+    for r in placed.groupBy("a", "b").agg(F.sum("c").alias("c")).collect():
+        joint[r["a"], r["b"]] = r["c"]
+    later = np.zeros_like(joint)
+    later[:-1, 1:] = np.cumsum(np.cumsum(joint[::-1], 0)[::-1], 1)[1:, :-1]  # rows of larger x and smaller y
+    apart = int((joint * later).sum()) if joint.size else 0
+    within = ordered.union([_inverted(placed.where("a % 2 = 0"), "a", ["x", "y"]), _inverted(placed.where("b % 2 = 0"), "b", ["a", "y"])])
+    big = lambda c: c.cast("decimal(19,0)")
+    t = F.col("t")
+    d = t.cast("double")
+
+    def ties(column: str | None) -> DataFrame:
+        """Of one side's ties, or of both sides' together: pairs, and the sums that the variance needs."""
+        each = cells.select(F.col("c").alias("t")) if column is None else cells.groupBy(column).agg(F.sum("c").alias("t"))
+        return each.agg(F.sum((big(t) * big(t - 1) / 2).cast("decimal(38,0)")).alias("p"), F.sum("t").alias("n"), F.sum(d * (d - 1) * (2 * d + 5)).alias("u"), F.sum(d * (d - 1) * (d - 2)).alias("v"))
+
+    tx, ty, txy = (ties(c).first() for c in ("x", "y", None))
+    n = tx["n"] or 0
+    discordant = apart + int(within.agg(F.sum("s")).first()[0] or 0)
+    n0, n1, n2, n3 = n * (n - 1) // 2, int(tx["p"] or 0), int(ty["p"] or 0), int(txy["p"] or 0)
+    s = n0 - n1 - n2 + n3 - 2 * discordant
+    tau = s / math.sqrt((n0 - n1) * (n0 - n2)) if n0 > n1 and n0 > n2 else None
+    z = None
+    if n > 2:
+        f = float(n)
+        var = (f * (f - 1) * (2 * f + 5) - tx["u"] - ty["u"]) / 18 + 2.0 * n1 * n2 / (f * (f - 1)) + tx["v"] * ty["v"] / (9 * f * (f - 1) * (f - 2))
+        z = s / math.sqrt(var) if var > 0 else None
+    return rows.sparkSession.range(1).select(F.lit(tau).cast("double").alias("tau"), F.lit(n).cast("long").alias("n"), F.lit(float(s)).alias("s"), F.lit(z).cast("double").alias("z"))
+
+
 def exact_kendall_p(n: int, s: int) -> float:
     """Two-sided p of |S| or more for n values without ties: counts of permutations by inversions."""
     most = n * (n - 1) // 2

@@ -50,62 +50,71 @@ def sntd(prefs: DataFrame, mode: str = "fixed") -> DataFrame:
     return rows.agg((F.sum(terms[0] + terms[1] + terms[2]) / 3).alias("sntd"))
 
 
-def nodes(prefs: DataFrame, n: int) -> DataFrame:
-    """jid and an array of p(i over j), row by row, from rows (jid, i, j, p) with all pairs i < j < n; 0.5 on the diagonal."""
-    full = prefs.where((F.col("j") < n) & F.col("p").isNotNull()).groupBy("jid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * n + F.col("j"), "p"))).alias("m"), F.count("*").alias("k"))
-    cells = [F.lit(0.5).cast("double") if i == j else F.element_at("m", F.lit(i * n + j)) if i < j else 1 - F.element_at("m", F.lit(j * n + i)) for i in range(n) for j in range(n)]
-    return full.where(F.col("k") == n * (n - 1) // 2).select("jid", F.array(*cells).alias("p"))
-
-
-def graph(matrices: DataFrame, n: int) -> DataFrame:
-    """jid, src, dst: winner to loser between tied groups, each named by its smallest node; distinct.
-
-    A strict preference within a tied group is a loop of that group."""
-    rows = matrices.withColumn("_g", F.array(*[F.lit(i) for i in range(n)]))
-    for _ in range(n - 1):  # smallest label among tied nodes; n - 1 rounds reach everywhere
-        tied = lambda i: F.filter(F.transform("_g", lambda h, j: F.when((j == i) | (F.get("p", i * n + j) == 0.5), h)), lambda x: x.isNotNull())
-        rows = rows.withColumn("_g", F.transform("_g", lambda g, i: F.array_min(tied(i))))
-    edges = F.flatten(F.transform("_g", lambda g, i: F.transform("_g", lambda h, j: F.when((i != j) & (F.get("p", i * n + j) > 0.5), F.struct(g.alias("src"), h.alias("dst"))))))
-    kept = F.array_distinct(F.filter(edges, lambda e: e.isNotNull()))
-    return rows.select("jid", F.explode(kept).alias("e")).select("jid", "e.src", "e.dst")
-
-
-def simple_cycles(edges: DataFrame, n: int) -> DataFrame:
-    """jid and its number of simple cycles (loops included); judgments without any are absent.
-
-    Paths start at their smallest node, grow through larger ones and are counted when they close; at most n steps."""
-    adjacent = edges.groupBy("jid").agg(F.collect_set(F.struct("src", "dst")).alias("e"))
-    state = "array<struct<start:int,cur:int,path:array<int>>>"
-    start = F.expr("transform(filter(e, x -> x.dst > x.src), x -> struct(x.src as start, x.dst as cur, array(x.src, x.dst) as path))").cast(state)
-    rows = adjacent.withColumns({"paths": start, "cycles": F.expr("cast(size(filter(e, x -> x.src = x.dst)) as long)")})
-    for _ in range(n - 1):
-        closed = F.expr("size(filter(flatten(transform(paths, p -> filter(e, x -> x.src = p.cur and x.dst = p.start))), x -> true))")
-        longer = F.expr("flatten(transform(paths, p -> transform(filter(e, x -> x.src = p.cur and x.dst > p.start and not array_contains(p.path, x.dst)), x -> struct(p.start as start, x.dst as cur, concat(p.path, array(x.dst)) as path))))")
-        rows = rows.select("jid", "e", (F.col("cycles") + closed).alias("cycles"), longer.cast(state).alias("paths"))
-    return rows.where("cycles > 0").select("jid", "cycles")
-
-
-def dominant(matrices: DataFrame, n: int) -> DataFrame:
-    """jid and how many nodes no other beats (p >= 0.5 against all)."""
-    wins = F.array(*[F.forall(F.slice("p", i * n + 1, n), lambda x: x >= 0.5) for i in range(n)])
-    return matrices.select("jid", F.size(F.filter(wins, lambda x: x)).alias("dominant"))
+#: Most responses of a judgment: its subsets are listed in the row.
+MOST = 16
+
+
+def matrices(prefs: DataFrame, most: int) -> DataFrame:
+    """jid and p, the array of p(i over j) row by row for i, j < most, from rows (jid, i, j, p) with i < j; 0.5 on the
+    diagonal, null where there is no row.  The rows of a jid are one for each pair."""
+    if not 2 <= most <= MOST:
+        raise ValueError(f"2 to {MOST} responses")
+    known = prefs.where((F.col("j") < most) & F.col("p").isNotNull())
+    full = known.groupBy("jid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * most + F.col("j"), "p"))).alias("m"))
+    cells = [F.lit(0.5).cast("double") if i == j else F.element_at("m", F.lit(i * most + j)) if i < j else 1 - F.element_at("m", F.lit(j * most + i)) for i in range(most) for j in range(most)]
+    return full.select("jid", F.array(*cells).alias("p"))
+
+
+def by_size(judgments: DataFrame, most: int, sizes: list[int]) -> DataFrame:
+    """A row (jid, n, p) for each of the sizes at which all pairs of a judgment's first n responses are known."""
+    row = f"transform(sequence(0, {most - 1}), i -> size(filter(slice(p, i * {most} + 1, n), x -> x is not null)))"
+    rows = judgments.select("jid", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("n"), "p")
+    return rows.where(F.expr(f"forall(slice({row}, 1, n), k -> k = n)"))
+
+
+def cycles(rows: DataFrame, most: int) -> DataFrame:
+    """rows (jid, n, p) with `cycles`, the simple cycles of the graph of preferences, and `dominant`, how many responses no other beats.
+
+    Responses of equal preference are tied, ties reach on, and a tied group is one node, named by its smallest response; an
+    edge goes from winner to loser, and a strict preference within a group is a loop, which counts as a cycle.  Cycles are
+    counted over subsets of nodes: the paths that begin at a subset's smallest node, fill it and end at v come from those of the
+    subset without v.  Sets are bits of a long, all is local to the row; nodes on no cycle are taken off first."""
+    seq = "sequence(0, n - 1)"
+    at = f"p[i * {most} + j]"
+    step = lambda df, name, text: df.withColumn(name, F.expr(text))
+    rows = step(rows, "_t", f"transform({seq}, i -> aggregate({seq}, 0L, (m, j) -> if(i = j or {at} = 0.5, m | shiftleft(1L, j), m)))")
+    for _ in range(max(1, (most - 1).bit_length())):  # each round reaches twice as far
+        rows = step(rows, "_t", f"transform(_t, t -> aggregate({seq}, t, (m, j) -> if(getbit(t, j) = 1, m | _t[j], m)))")
+    rows = step(rows, "_g", "transform(_t, t -> bit_count((t & -t) - 1))")
+    rows = step(rows, "_w", f"transform({seq}, i -> aggregate({seq}, 0L, (m, j) -> if(i <> j and {at} > 0.5, m | shiftleft(1L, _g[j]), m)))")
+    rows = step(rows, "_o", f"transform({seq}, a -> aggregate({seq}, 0L, (m, i) -> if(_g[i] = a, m | _w[i], m)))")
+    left = f"aggregate({seq}, 0L, (m, a) -> if(getbit(r, a) = 1 and (_o[a] & r & ~shiftleft(1L, a)) <> 0, m | shiftleft(1L, a), m))"
+    rows = step(rows, "_r", f"aggregate(sequence(1, n), shiftleft(1L, n) - 1, (r, k) -> {left})")  # nodes from which one can go on for ever
+    on = f"aggregate({seq}, 0L, (s, u) -> if(u <> v and getbit(mask, u) = 1 and getbit(_o[u], v) = 1, s + acc[cast(mask ^ shiftleft(1L, v) as int)][u], s))"
+    ends = f"transform({seq}, v -> case when getbit(mask, v) = 0 then 0L when mask = shiftleft(1L, v) then 1L when (mask & -mask) = shiftleft(1L, v) then 0L else {on} end)"
+    none = "cast(null as array<bigint>)"
+    paths = f"aggregate(sequence(1L, shiftleft(1L, n) - 1), array({none}), (acc, mask) -> concat(acc, array(if((mask & ~_r) <> 0, {none}, {ends}))))"
+    rows = step(rows, "_h", f"if(_r = 0, array({none}), {paths})")
+    closed = f"aggregate({seq}, 0L, (q, v) -> if(getbit(_o[v], bit_count((mask & -mask) - 1)) = 1, q + _h[cast(mask as int)][v], q))"
+    rings = f"aggregate(sequence(1L, shiftleft(1L, n) - 1), 0L, (s, mask) -> if(bit_count(mask) < 2 or (mask & ~_r) <> 0, s, s + {closed}))"
+    loops = f"aggregate({seq}, 0L, (s, a) -> s + getbit(_o[a], a))"
+    rows = step(rows, "cycles", f"{loops} + if(_r = 0, 0L, {rings})")
+    rows = step(rows, "dominant", f"size(filter({seq}, i -> forall(slice(p, i * {most} + 1, n), x -> x >= 0.5)))")
+    return rows.drop("_t", "_g", "_w", "_o", "_r", "_h")
+
+
+def sweep(prefs: DataFrame, most: int, sizes: list[int] | None = None) -> DataFrame:
+    """A row for each number of responses, 2 .. most: judgments, cycles, their mean, judgments with cycles and with no, one
+    or several dominant responses.  prefs is read once; a size without a judgment has zeros and null means."""
+    sizes = sizes or list(range(2, most + 1))
+    each = cycles(by_size(matrices(prefs, most), most, sizes), most)
+    total, c, d = F.count("*"), F.col("cycles"), F.col("dominant")
+    out = each.groupBy("n").agg(total.alias("total_judgments"), F.sum(c).alias("total_cycles"), F.avg(c).alias("avg_cycles"), F.count_if(c > 0).alias("judgments_with_cycles"), (100.0 * F.count_if(c > 0) / total).alias("intransitivity_percentage"), F.count_if(d == 0).alias("no_dominant"), F.count_if(d == 1).alias("one_dominant"), F.count_if(d > 1).alias("multiple_dominant"), F.avg(d).alias("avg_dominant"))
+    all_ = prefs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in sizes])).alias("n_response"))
+    both = all_.join(out, F.col("n_response") == F.col("n"), "left").drop("n")
+    return both.withColumns({x: F.coalesce(x, F.lit(0)) for x in both.columns if x not in ("n_response", "avg_cycles", "avg_dominant")})
 
 
 def cycle_report(prefs: DataFrame, n: int) -> DataFrame:
-    """One row: judgments, cycles, their mean, judgments with cycles and with no, one or several dominant nodes.
-
-    Paths are counted within each judgment's row; their number can grow as the factorial of n."""
-    m = nodes(prefs, n)
-    both = m.select("jid").join(simple_cycles(graph(m, n), n), "jid", "left").join(dominant(m, n), "jid")
-    total = F.count("*")
-    c = F.coalesce("cycles", F.lit(0))
-    share = lambda x: F.coalesce(F.try_divide(100.0 * F.count_if(x), total), F.lit(0.0))
-    return both.agg(F.lit(n).alias("n_response"), total.alias("total_judgments"), F.coalesce(F.sum(c), F.lit(0)).alias("total_cycles"), F.avg(c).alias("avg_cycles"), F.count_if(c > 0).alias("judgments_with_cycles"), share(c > 0).alias("intransitivity_percentage"), F.count_if(F.col("dominant") == 0).alias("no_dominant"), F.count_if(F.col("dominant") == 1).alias("one_dominant"), F.count_if(F.col("dominant") > 1).alias("multiple_dominant"), F.avg("dominant").alias("avg_dominant"))
-
-
-def sweep(prefs: DataFrame, most: int) -> DataFrame:
-    """cycle_report for 2 .. most responses."""
-    out = cycle_report(prefs, 2)
-    for n in range(3, most + 1):
-        out = out.unionByName(cycle_report(prefs, n))
-    return out
+    """sweep() at n responses alone."""
+    return sweep(prefs, n, [n])

@@ -48,8 +48,8 @@ def _counts(list_: Column) -> Column:
     return F.transform(F.array_distinct(list_), lambda v: F.struct(F.size(F.filter(list_, lambda x: x == v)).alias("n"), F.array_position(list_, v).alias("at"), v.alias("v")))
 
 
-def numeric_mode(list_: Column, tie: str = "upper") -> Column:
-    """Most frequent value of an array; of k that are level the upper median, or (tie first) the one seen first."""
+def mode_of_counts(counts: Column, tie: str = "upper") -> Column:
+    """Most frequent value of an array of (n, at, v); of k that are level the upper median, or (tie first) the one of least at."""
 
     def upper(c: Column) -> Column:
         most = F.array_max(F.transform(c, lambda e: e["n"]))
@@ -59,18 +59,27 @@ def numeric_mode(list_: Column, tie: str = "upper") -> Column:
     def first(c: Column) -> Column:
         return F.get(F.array_sort(F.transform(c, lambda e: F.struct((-e["n"]).alias("n"), e["at"].alias("at"), e["v"].alias("v")))), F.lit(0))["v"]
 
-    return bind(_counts(list_), upper if tie == "upper" else first)
+    return bind(counts, upper if tie == "upper" else first)
 
 
-def vote_numeric(samples: DataFrame, keys: list[str], verdict: str, order: str, tie: str = "upper", sentinel_in_mean: bool = False, sentinel_in_mode: bool = False) -> DataFrame:
-    """pref_majority and pref_mean of numeric verdicts by keys; -1, the confused verdict, counts only where asked for."""
-    v = F.col(verdict).cast("int")
-    mean = F.avg(v if sentinel_in_mean else F.when(v != -1, v))
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), v.alias("v"))))
-    rows = samples.groupBy(*keys).agg(listed.alias("l"), mean.alias("pref_mean"))
-    values = F.transform("l", lambda e: e["v"])
-    values = values if sentinel_in_mode else F.filter(values, lambda x: x != -1)
-    return rows.select(*keys, numeric_mode(values, tie).alias("pref_majority"), "pref_mean")
+def numeric_mode(list_: Column, tie: str = "upper") -> Column:
+    """mode_of_counts of an array of values, which stand at their positions."""
+    return mode_of_counts(_counts(list_), tie)
+
+
+def vote_numeric(samples: DataFrame, keys: list[str], verdict: str, order: str, tie: str = "upper", sentinel_in_mean: bool = False, sentinel_in_mode: bool = False, sentinel: int = -1) -> DataFrame:
+    """pref_majority and pref_mean of numeric verdicts by keys; the sentinel, the confused verdict, counts only where asked for.
+
+    Samples are counted by keys and verdict first, with the first place of each, so a key's own row holds a number
+    for each verdict of the scale, however many samples it has.  Null verdicts count for nothing."""
+    v = F.col("_v")
+    counts = samples.groupBy(*keys, F.col(verdict).cast("int").alias("_v")).agg(F.count("*").alias("_n"), F.min(order).alias("_at"))
+    in_mean = v.isNotNull() if sentinel_in_mean else v != sentinel
+    in_mode = v.isNotNull() if sentinel_in_mode else v != sentinel
+    listed = F.collect_list(F.when(in_mode, F.struct(F.col("_n").alias("n"), F.col("_at").alias("at"), v.alias("v"))))
+    mean = F.try_divide(F.sum(F.when(in_mean, v * F.col("_n"))).cast("double"), F.sum(F.when(in_mean, F.col("_n"))))
+    rows = counts.groupBy(*keys).agg(listed.alias("_c"), mean.alias("pref_mean"))
+    return rows.select(*keys, mode_of_counts(F.col("_c"), tie).alias("pref_majority"), "pref_mean")
 
 
 def vote_label(samples: DataFrame, keys: list[str], label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.functions import arrays as A
 from tessera.functions import scalar as X
 from tessera.functions import sequences as S
 from tessera.functions import text as T
-from tessera.operators import agreement, consistency, evaluation, judging, relational, selection
+from tessera.operators import agreement, consistency, evaluation, judging, ordered, relational, selection
 from tessera.plans import boundary, files, pipelines, significance  # noqa: F401  their queries join these
 from tessera.plans.base import HASH_SQL as _H
 from tessera.plans.base import ORACLE, QUERIES, query, rounded  # noqa: F401
@@ -318,11 +318,13 @@ def verdict_parsing(spark, d):
 
 
 @query(f"""SELECT event_id, CASE WHEN {_K} % 6 = 0 THEN '-1' ELSE CAST(4 - ({_K} % 6 - 1) AS VARCHAR) END AS five, CASE {_K} % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'A' ELSE 'Tie' END AS letter,
-CAST(10 - {_K} % 11 AS VARCHAR) AS ten, CAST(4 - ({_K} % 6 - 1) AS VARCHAR) AS five_reference FROM events""")
+CAST(10 - {_K} % 11 AS VARCHAR) AS ten, CAST(4 - ({_K} % 6 - 1) AS VARCHAR) AS five_reference,
+CASE WHEN {_K} % 6 = 0 THEN '-3' ELSE CAST(3 - {_K} % 6 AS VARCHAR) END AS two, CAST(3 - {_K} % 6 AS VARCHAR) AS two_reference, {_K} % 6 > 0 AS two_valid FROM events""")
 def verdict_reversal(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
-    rows = table(spark, d, "events").select("event_id", (k % 6 - 1).cast("string").alias("v"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "B").otherwise("Tie").alias("l"), (k % 11).cast("string").alias("t"))
-    return rows.select("event_id", T.reverse_verdict(F.col("v"), "preference_5score").alias("five"), T.reverse_verdict(F.col("l"), "preference_ternary").alias("letter"), T.reverse_verdict(F.col("t"), "preference_score").alias("ten"), T.reverse_verdict(F.col("v"), "preference_5score", "reference").alias("five_reference"))
+    rows = table(spark, d, "events").select("event_id", (k % 6 - 1).cast("string").alias("v"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "B").otherwise("Tie").alias("l"), (k % 11).cast("string").alias("t"), (k % 6 - 3).cast("string").alias("w"))
+    two, ver2 = F.col("w"), "preference_5score_ver2"
+    return rows.select("event_id", T.reverse_verdict(F.col("v"), "preference_5score").alias("five"), T.reverse_verdict(F.col("l"), "preference_ternary").alias("letter"), T.reverse_verdict(F.col("t"), "preference_score").alias("ten"), T.reverse_verdict(F.col("v"), "preference_5score", "reference").alias("five_reference"), T.reverse_verdict(two, ver2).alias("two"), T.reverse_verdict(two, ver2, "reference").alias("two_reference"), T.is_valid(two, ver2, -2).alias("two_valid"))
 
 
 @query(f"""SELECT event_id, CASE WHEN {_K} % 3 = 2 THEN NULL ELSE CAST({_K} AS VARCHAR) END AS verdict, '{{"explanation":"' || event_type || '", "verdict":' AS repaired,
@@ -354,6 +356,16 @@ def random_swap(spark, d):
 
 # -- agreement ----------------------------------------------------------------------
 
+#: Kendall's coefficient by the bits of y's ranks: of places that agree in all higher bits, ones before zeros are inverted.
+INVERSIONS_SQL = """WITH e AS (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {source}), k AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS i, dense_rank() OVER (ORDER BY y) - 1 AS r FROM e WHERE x IS NOT NULL AND y IS NOT NULL),
+b AS (SELECT i, r, level, (r >> level) & 1 AS bit FROM k, range(28) t(level)), o AS (SELECT bit, sum(bit) OVER (PARTITION BY level, r >> (level + 1) ORDER BY i ROWS UNBOUNDED PRECEDING) AS ones FROM b),
+dis AS (SELECT coalesce(sum(ones), 0) AS d FROM o WHERE bit = 0), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM k),
+tx AS (SELECT sum(t * (t - 1) / 2) AS t, sum(t * (t - 1) * (2 * t + 5)) AS u, sum(t * (t - 1) * (t - 2)) AS v FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM k GROUP BY x)),
+ty AS (SELECT sum(t * (t - 1) / 2) AS t, sum(t * (t - 1) * (2 * t + 5)) AS u, sum(t * (t - 1) * (t - 2)) AS v FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM k GROUP BY y)),
+txy AS (SELECT sum(t * (t - 1) / 2) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM k GROUP BY x, y)),
+s AS (SELECT n, n * (n - 1) / 2 AS n0, n * (n - 1) / 2 - tx.t - ty.t + txy.t - 2 * CAST(d AS DOUBLE) AS s FROM n, tx, ty, txy, dis),
+z AS (SELECT CAST(n AS BIGINT) AS n, s, s / sqrt((n0 - tx.t) * (n0 - ty.t)) AS tau, s / sqrt((n * (n - 1) * (2 * n + 5) - tx.u - ty.u) / 18 + 2 * tx.t * ty.t / (n * (n - 1)) + tx.v * ty.v / (9 * n * (n - 1) * (n - 2))) AS z FROM s, tx, ty)"""
+
 
 @query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def pearson_by_group(spark, d):
@@ -376,6 +388,19 @@ def kendall(spark, d):
     return rounded(agreement.kendall(rows, "verdict", "y").drop("z"), "tau")
 
 
+@query(f"""{INVERSIONS_SQL.format(x='l_extendedprice', y='l_extendedprice * (1 - l_discount) * (1 + l_tax)', source='lineitem')} SELECT round(tau, 6) AS tau, n, s, round(z, 4) AS z FROM z""")
+def kendall_continuous(spark, d):
+    """Prices before and after discount and tax: both sides of very many values."""
+    rows = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("x"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y"))
+    return rounded(rounded(agreement.kendall_values(rows, "x", "y"), "tau"), "z", digits=4)
+
+
+@query(f"""{INVERSIONS_SQL.format(x='l_extendedprice', y='l_discount', source='lineitem')} SELECT round(tau, 6) AS tau, n, s, round(z, 6) AS z FROM z""")
+def kendall_tied(spark, d):
+    """One side of eleven levels, of which each holds a tenth of the rows."""
+    return rounded(agreement.kendall_values(table(spark, d, "lineitem"), "l_extendedprice", "l_discount"), "tau", "z")
+
+
 @query(sql_with("v_rewards") + """, k AS (SELECT prompt_id, corr(r0, r1) AS r, stddev_pop(r0) AS s, stddev_pop(r1) AS t FROM v_rewards GROUP BY prompt_id HAVING count(*) >= 2)
 SELECT round(avg(CASE WHEN s > 1e-9 AND t > 1e-9 THEN r END), 5) AS mean_r, count(*) AS arrays FROM k""")
 def mean_array_correlation(spark, d):
@@ -456,7 +481,7 @@ def sntd(spark, d):
 
 
 #: The models that are compared, in their order.
-_TYPES = ["view", "click", "purchase", "error"]
+_TYPES = ["view", "click", "purchase", "error", "signup"]
 
 
 def _pairs_of(spark, d, n: int) -> DataFrame:
@@ -485,14 +510,14 @@ SELECT {n} AS n_response, count(*) AS total_judgments, CAST(sum(c) AS BIGINT) AS
 CAST(count_if(d = 0) AS BIGINT) AS no_dominant, CAST(count_if(d = 1) AS BIGINT) AS one_dominant, CAST(count_if(d > 1) AS BIGINT) AS multiple_dominant, round(avg(d), 6) AS avg_dominant FROM b"""
 
 
-@query(_cycles_sql(4))
+@query(_cycles_sql(5))
 def cycle_report(spark, d):
-    return rounded(consistency.cycle_report(_pairs_of(spark, d, 4), 4), "avg_cycles", "intransitivity_percentage", "avg_dominant")
+    return rounded(consistency.cycle_report(_pairs_of(spark, d, 5), 5), "avg_cycles", "intransitivity_percentage", "avg_dominant")
 
 
-@query(" UNION ALL ".join(f"({_cycles_sql(n)})" for n in (2, 3, 4)))
+@query(" UNION ALL ".join(f"({_cycles_sql(n)})" for n in (2, 3, 4, 5)))
 def cycle_sweep(spark, d):
-    return rounded(consistency.sweep(_pairs_of(spark, d, 4), 4), "avg_cycles", "intransitivity_percentage", "avg_dominant")
+    return rounded(consistency.sweep(_pairs_of(spark, d, 5), 5), "avg_cycles", "intransitivity_percentage", "avg_dominant")
 
 
 # -- sequences -----------------------------------------------------------------------------
@@ -570,6 +595,15 @@ def adaptive_kl(spark, d):
     return rounded(view(spark, d, "v_packed").select("prompt_id", S.adaptive_kl(F.col("a0"), 0.05, 0.5, 1000.0, 32.0).alias("coefficient")), "coefficient", digits=8)
 
 
+@query("""WITH f AS (SELECT o_orderkey, o_orderdate, 1 + greatest(-0.2, least(0.2, o_totalprice / 240000 - 1)) * 0.05 AS f FROM orders)
+SELECT o_orderkey, round(0.05 * product(f) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 7) AS coefficient FROM f""")
+def running_coefficient(spark, d):
+    """The adaptive coefficient after each order, by date: the fold runs over the rows of the whole table."""
+    rows = table(spark, d, "orders").withColumn("kl", F.col("o_totalprice"))
+    out = ordered.adaptive_coefficient(rows, "kl", ["o_orderdate", "o_orderkey"], "coefficient", 0.05, 240000.0, 1000.0, 50.0)
+    return rounded(out.select("o_orderkey", "coefficient"), "coefficient", digits=7)
+
+
 @query("""SELECT o_orderkey, round(CASE WHEN o_orderkey < 100 THEN o_orderkey / 100 ELSE greatest(0.0, 0.5 * (1 + cos(3.141592653589793 * (o_orderkey - 100) / 19900))) END, 6) AS cosine, round(1 - (o_orderkey - 1) / 20000, 6) AS linear,
 CAST((o_orderkey % 8) * (o_custkey // 8) + least(o_orderkey % 8, o_custkey % 8) AS BIGINT) AS shard_start, CAST(o_orderkey AS BIGINT) AS exact, round(o_totalprice / 30 + 0.1, 4) AS rescaled FROM orders""")
 def schedules_and_shards(spark, d):
@@ -658,6 +692,28 @@ def rouge_ngrams(spark, d):
 
 
 _ROW = "list_transform(m, lambda x, k: greatest(o[k], CASE WHEN x = 1 THEN coalesce(o[k - 1], 0) + 1 ELSE 0 END))"
+#: Turns of a conversation and the ones after them, as the scorer cuts them.
+_SCORER = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+_TURNS = f"SELECT t.conv_id, t.turn, {_SCORER.format('t.text')} AS a, {_SCORER.format('u.text')} AS b FROM c t JOIN c u ON u.conv_id = t.conv_id AND u.turn = t.turn + 1"
+
+
+def _turn_pairs(spark, d) -> DataFrame:
+    """conv_id, turn and the scorer's tokens of each turn and the next; of repeated turns the least text."""
+    turns = table(spark, d, "conversations").where("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", T.rouge_tokens(F.col("text")).alias("a"), T.rouge_tokens(F.col("next")).alias("b"))
+
+
+def _turns_sql(tail: str) -> str:
+    parts = []
+    for n in (1, 2):
+        gram = lambda s: f"SELECT conv_id, turn, array_to_string({s}[i:i + {n - 1}], ' ') AS g, count(*) AS n FROM p, range(1, 100000) u(i) WHERE i <= len({s}) - {n - 1} GROUP BY ALL"
+        parts.append(f"a{n} AS ({gram('a')}), b{n} AS ({gram('b')}), m{n} AS (SELECT a{n}.conv_id, a{n}.turn, sum(least(a{n}.n, b{n}.n)) AS m FROM a{n} JOIN b{n} USING (conv_id, turn, g) GROUP BY ALL)")
+    score = lambda n: f"coalesce(2.0 * coalesce(m{n}.m, 0) / nullif(greatest(0, len(a) - {n - 1}) + greatest(0, len(b) - {n - 1}), 0), 0.0) AS rouge{n}"
+    return f"""WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL), p AS ({_TURNS}), {', '.join(parts)},
+m AS (SELECT conv_id, turn, list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda w: list_transform(b, lambda y: CASE WHEN y = w THEN 1 ELSE 0 END))) AS rows FROM p WHERE len(b) > 0),
+l AS (SELECT conv_id, turn, list_last(list_reduce(rows, lambda o, m: list_transform([{_ROW}], lambda c: list_transform(c, lambda x, k: list_max(c[1:k])))[1])) AS common FROM m),
+s AS (SELECT p.conv_id, p.turn, {score(1)}, {score(2)}, coalesce(2.0 * common / nullif(len(a) + len(b), 0), 0.0) AS rouge_l FROM p LEFT JOIN m1 USING (conv_id, turn) LEFT JOIN m2 USING (conv_id, turn) LEFT JOIN l USING (conv_id, turn)) {tail}"""
 
 
 @query(f"""WITH p AS ({_ROUGE_PAIRS}), m AS (SELECT conv_id, a, b, list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda w: list_transform(b, lambda y: CASE WHEN y = w THEN 1 ELSE 0 END))) AS rows FROM p),
@@ -665,3 +721,16 @@ l AS (SELECT conv_id, a, b, list_last(list_reduce(rows, lambda o, m: list_transf
 SELECT conv_id, round(2.0 * common / (len(a) + len(b)), 6) AS rouge_l FROM l""")
 def rouge_longest(spark, d):
     return rounded(_rouge_pairs(spark, d).select("conv_id", T.rouge_l("a", "b").alias("rouge_l")), "rouge_l")
+
+
+@query(_turns_sql("SELECT conv_id, turn, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rouge_l, 6) AS rouge_l FROM s"))
+def rouge_turns(spark, d):
+    """Each turn against the one after it."""
+    return rounded(_turn_pairs(spark, d).select("conv_id", "turn", *T.rouge(F.col("a"), F.col("b"))), "rouge1", "rouge2", "rouge_l")
+
+
+@query(_turns_sql("SELECT count(*) AS n, round(avg(rouge1), 6) AS rouge1, round(avg(rouge2), 6) AS rouge2, round(avg(rouge_l), 6) AS rouge_l FROM s"))
+def rouge_means(spark, d):
+    """The three scores over all pairs of turns, as a trainer reports them."""
+    scores = _turn_pairs(spark, d).select(*T.rouge(F.col("a"), F.col("b")))
+    return rounded(scores.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in scores.columns]), "rouge1", "rouge2", "rouge_l")

@@ -44,14 +44,14 @@ def spearman_significance(spark, d):
     return rounded(rounded(agreement.with_p(agreement.spearman(rows, "x", "y")), "r"), "p", digits=5)
 
 
-@query(sql_with("v_judge") + f""", p AS (SELECT verdict AS x, CASE letter WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 ELSE 0.5 END AS y FROM v_judge WHERE prompt_id % 2 = check_idx % 2), c AS (SELECT x, y, count(*) AS c FROM p GROUP BY ALL),
+@query(sql_with("v_judge") + f""", p AS (SELECT verdict AS x, CASE letter WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 ELSE 0.5 END AS y FROM v_judge), c AS (SELECT x, y, count(*) AS c FROM p GROUP BY ALL),
 s AS (SELECT sum(sign((a.x - b.x) * (a.y - b.y)) * a.c * b.c) / 2.0 AS s FROM c a, c b), n AS (SELECT CAST(sum(c) AS DOUBLE) AS n FROM c),
 tx AS (SELECT sum(t * (t - 1) / 2.0) AS t, sum(t * (t - 1) * (2.0 * t + 5)) AS u, sum(t * (t - 1) * (t - 2.0)) AS v FROM (SELECT CAST(sum(c) AS DOUBLE) AS t FROM c GROUP BY x)),
 ty AS (SELECT sum(t * (t - 1) / 2.0) AS t, sum(t * (t - 1) * (2.0 * t + 5)) AS u, sum(t * (t - 1) * (t - 2.0)) AS v FROM (SELECT CAST(sum(c) AS DOUBLE) AS t FROM c GROUP BY y)),
 z AS (SELECT n, s, s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)) AS tau, s / sqrt((n * (n - 1) * (2 * n + 5) - tx.u - ty.u) / 18 + 2 * tx.t * ty.t / (n * (n - 1)) + tx.v * ty.v / (9 * n * (n - 1) * (n - 2))) AS z FROM s, n, tx, ty)
 SELECT round(tau, 6) AS tau, CAST(n AS BIGINT) AS n, CAST(s AS DOUBLE) AS s, round(z, 6) AS z, round({z_sql('z')}, 5) AS p FROM z""")
 def kendall_significance(spark, d):
-    rows = view(spark, d, "v_judge").where("prompt_id % 2 = check_idx % 2").select("verdict", X.label_number(F.col("letter")).alias("y"))
+    rows = view(spark, d, "v_judge").select("verdict", X.label_number(F.col("letter")).alias("y"))
     return rounded(rounded(agreement.kendall(rows, "verdict", "y").withColumn("p", agreement.normal_p_value(F.col("z"))), "tau", "z"), "p", digits=5)
 
 
