@@ -36,10 +36,10 @@ def mean(a: Column) -> Column:
 
 
 def ordinal_ranks(a: Column) -> Column:
-    """0-based ranks by value, ties by position, divided by n - 1 (null for n = 1)."""
+    """0-based ranks by value, ties by position, divided by n - 1 (null for n = 1): sorted there and back."""
     by = F.array_sort(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    order = F.transform(by, lambda e: e["i"])
-    return F.transform(a, lambda x, i: F.try_divide((F.array_position(order, i) - 1).cast("double"), F.size(a) - 1))
+    back = F.array_sort(F.transform(by, lambda e, k: F.struct(e["i"].alias("i"), k.alias("k"))))
+    return F.transform(back, lambda e: F.try_divide(e["k"].cast("double"), F.size(a) - 1))
 
 
 def soft_best_of_two(r: Column, pool: Column, tau: float = TAU, plain: bool = False) -> Column:
@@ -89,14 +89,15 @@ def worst_dimension_pair(w: Column, m: int) -> Column:
 
 def log_sum_exp(a: Column, tau: float = 1.0) -> Column:
     """tau log sum exp(r / tau), shifted by the maximum."""
-    return F.array_max(a) + tau * F.log(total(F.transform(a, lambda x: F.exp((x - F.array_max(a)) / tau))))
+    return bind(F.array_max(a), lambda m: m + tau * F.log(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp((x - m) / tau))))
 
 
 def running_max(a: Column) -> Column:
-    return F.transform(a, lambda x, i: F.array_max(F.slice(a, 1, i + 1)))
+    """The greatest value so far at each place; nulls count for nothing."""
+    return F.aggregate(a, F.slice(a, 1, 0), lambda s, x: F.concat(s, F.array(F.greatest(F.try_element_at(s, F.lit(-1)), x))))
 
 
 def pairs(n: Column) -> Column:
-    """All (i, j) with i < j < n as an array of structs; n of at most 32."""
+    """All (i, j) with i < j < n as an array of structs, n (n - 1) / 2 in one row."""
     each = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))
     return F.when(n >= 2, F.flatten(each)).otherwise(F.array().cast("array<struct<i:int,j:int>>"))

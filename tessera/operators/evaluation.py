@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -107,8 +109,32 @@ def histogram(rows: DataFrame, value: str, bins: int = 64) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def observed(rows: DataFrame, scalars: dict[str, Column], histograms: dict[str, tuple[Column, float, float]] | None = None, bins: int = 64) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """rows, and a function that gives (metric, bin, value) of what passed, once an action has run over those rows.
+
+    scalars are aggregates (bin is null); a histogram counts a column's values in equal bins between two bounds, values
+    beyond them in the first and last bin, nulls in none.  The rows' own job gathers all of it; there is no second one."""
+    seen = Observation()
+    counts, edges = [], {}
+    for name, (value, low, high) in (histograms or {}).items():
+        place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((value - low) / ((high - low) / bins))))
+        place = F.when(value.isNotNull(), place)
+        counts += [F.count_if(place == k).alias(f"{name}|{k}") for k in range(bins)]
+        edges[name] = [f"{name}|{k}" for k in range(bins)]
+    out = rows.observe(seen, *[c.alias(n) for n, c in scalars.items()], *counts)
+    spark = rows.sparkSession
+
+    def metrics() -> DataFrame:
+        got = seen.get
+        number = lambda x: None if x is None else float(x)
+        found = [(n, None, number(got[n])) for n in scalars] + [(n, k, number(got[c])) for n, cs in edges.items() for k, c in enumerate(cs)]
+        return spark.createDataFrame(found, "metric string, bin int, value double")
+
+    return out, metrics
+
+
 def comparison_frame(scores: DataFrame, dims: list[str], models: list[str]) -> DataFrame:
-    """One row for each prompt, reward_{dim}_{model} for each model; 0.0 where there is none."""
-    wide = scores.groupBy("prompt_id").pivot("model", models).agg(*[F.first(d).alias(d) for d in dims])
+    """One row for each prompt, reward_{dim}_{model} for each model; 0.0 where there is none, the greatest where there are several."""
+    wide = scores.groupBy("prompt_id").pivot("model", models).agg(*[F.max(d).alias(d) for d in dims])
     names = {f"{m}_{d}" if len(dims) > 1 else m: f"reward_{d}_{m}" for m in models for d in dims}
     return wide.select("prompt_id", *[F.coalesce(F.col(f"`{a}`"), F.lit(0.0)).alias(b) for a, b in names.items()])

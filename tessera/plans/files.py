@@ -37,21 +37,21 @@ def written_csv(spark, d):
     return spark.read.csv(path, header=True)
 
 
-_MODELS = ["view", "click", "purchase"]
+_MODELS = ["view", "click", "purchase", "error", "signup"]
+_CELL = " + ".join(f"CAST(printf('%.3f', max(CASE WHEN y = '{m}' THEN CASE k WHEN 1 THEN t1 ELSE t2 END END)) AS DOUBLE)" for m in _MODELS)
 _IN = ", ".join(f"'{m}'" for m in _MODELS)
 _WIN = "round(avg(CASE WHEN a.{0} > b.{0} THEN 1 WHEN a.{0} = b.{0} THEN 0.5 ELSE 0 END), 6)"
 
 
 @query(sql_with("v_models") + f""", m AS (SELECT * FROM v_models WHERE model IN ({_IN})), t AS (SELECT a.model AS x, b.model AS y, {_WIN.format('helpfulness')} AS t1, {_WIN.format('correctness')} AS t2 FROM m a JOIN m b USING (prompt_id) WHERE a.model <> b.model GROUP BY ALL
 UNION ALL SELECT DISTINCT model, model, 0.5, 0.5 FROM m)
-SELECT CAST(k AS INTEGER) AS table_no, x AS row_model, round(CAST(printf('%.3f', max(CASE WHEN y = 'view' THEN CASE k WHEN 1 THEN t1 ELSE t2 END END)) AS DOUBLE) + CAST(printf('%.3f', max(CASE WHEN y = 'click' THEN CASE k WHEN 1 THEN t1 ELSE t2 END END)) AS DOUBLE)
-+ CAST(printf('%.3f', max(CASE WHEN y = 'purchase' THEN CASE k WHEN 1 THEN t1 ELSE t2 END END)) AS DOUBLE), 3) AS total FROM t, range(1, 3) u(k) GROUP BY k, x""")
+SELECT CAST(k AS INTEGER) AS table_no, x AS row_model, round({_CELL}, 3) AS total FROM t, range(1, 3) u(k) GROUP BY k, x""")
 def win_report_round_trip(spark, d):
     """The text report of a win table, written as lines and parsed again."""
     wins = rounded(evaluation.win_table(view(spark, d, "v_models").where(F.col("model").isin(_MODELS))), "t1", "t2")
     path = io.work_path(spark, "report")
     io.write_text(io.win_table_report(wins, _MODELS, {"t1": "Helpfulness", "t2": "Correctness"}), path)
-    back = io.read_win_tables(spark, path)
+    back = io.read_win_tables(spark, path, len(_MODELS))
     return back.select("table_no", "row_model", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 

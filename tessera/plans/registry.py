@@ -734,3 +734,6 @@ def rouge_means(spark, d):
     """The three scores over all pairs of turns, as a trainer reports them."""
     scores = _turn_pairs(spark, d).select(*T.rouge(F.col("a"), F.col("b")))
     return rounded(scores.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in scores.columns]), "rouge1", "rouge2", "rouge_l")
+
+
+from tessera.plans import layout  # noqa: E402, F401  some of its queries have the SQL of those above

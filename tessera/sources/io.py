@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Short templates of our own by judge type; read_templates() loads others.
@@ -19,16 +22,34 @@ TEMPLATES = {
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where none is set (one machine only)."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share, which clean() deletes; where none is set, in a
+    temporary folder of the session (one machine only)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tessera.io.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}-{name}"
+        spark.conf.set("spark.tessera.io.dir", base)
+    path = f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}-{name}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+_tables: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what was written under work paths in this session; results that are read later need it no more."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    while _made:
+        path = _hadoop(spark, _made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -53,43 +74,71 @@ def read_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame])
         return spark.read.parquet(path)
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, split, line_no (from 0) and line of text files of any size.
+
+    A file is read in splits.  Rows of a split have numbers one after another, so a line's place in its split is a
+    difference; the counts of a file's splits, a row for each, give what lies before."""
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    rows = spark.read.text(path).select(*where, F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = rows.groupBy("file", "split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    offsets = splits.select("file", "split", "_first", _sum_before("_n").alias("_before"))
+    return rows.join(offsets, ["file", "split"]).select("file", "split", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line")
+
+
+def _sum_before(count: str) -> Column:
+    """Over the splits of a file: the sum of those before."""
+    w = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(count).over(w), F.lit(0))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0) and line of text files: each file is one row until it is split, so order is certain."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return whole.select("file", "line_no", "line")
+    """file, line_no (from 0) and line of text files; no file has to fit into a task."""
+    return _split_lines(spark, path).drop("split")
 
 
 def read_annotations(spark: SparkSession, path: str, skip: int = 2) -> DataFrame:
     """array_idx and scores of files of integer lists: the first lines are skipped, lines that aren't lists are left out."""
-    lines = numbered_lines(spark, path).where(F.col("line_no") >= skip).select("file", "line_no", F.trim("line").alias("line"))
-    lists = lines.where(F.col("line").rlike(r"^\[.*\]$")).select("file", "line_no", F.from_json("line", "array<int>").alias("scores")).where(F.col("scores").isNotNull() & F.forall("scores", lambda x: x.isNotNull()))
-    return lists.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).alias("array_idx"), "scores")
+    lines = _split_lines(spark, path).where(F.col("line_no") >= skip).withColumn("line", F.trim("line"))
+    lists = lines.where(F.col("line").rlike(r"^\[.*\]$")).select("file", "split", "line_no", F.from_json("line", "array<int>").alias("scores")).where(F.col("scores").isNotNull() & F.forall("scores", lambda x: x.isNotNull()))
+    before = lists.groupBy("file", "split").agg(F.count("*").alias("_n")).select("file", "split", _sum_before("_n").alias("_before"))
+    place = F.row_number().over(Window.partitionBy("file", "split").orderBy("line_no")) - 1
+    return lists.withColumn("_at", place).join(before, ["file", "split"]).select("file", (F.col("_before") + F.col("_at")).alias("array_idx"), "scores")
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """model, helpfulness, correctness of evaluation reports."""
-    block = r"Model: (.+)\n\s+Helpfulness: ([0-9.]+)\n\s+Correctness: ([0-9.]+)"
-    whole = spark.read.text(path, wholetext=True)
-    zipped = F.arrays_zip(*[F.regexp_extract_all("value", F.lit(block), F.lit(g)).alias(n) for g, n in ((1, "model"), (2, "h"), (3, "c"))])
-    return whole.select(F.explode(zipped).alias("b")).select("b.model", F.col("b.h").cast("double").alias("helpfulness"), F.col("b.c").cast("double").alias("correctness"))
-
-
-def read_win_tables(spark: SparkSession, path: str) -> DataFrame:
-    """file, table_no, row_model, values of win-table reports: the three rows of numbers under each heading."""
+    """model, helpfulness, correctness of evaluation reports: a line that names the model and the two lines under it."""
     lines = numbered_lines(spark, path)
-    w = Window.partitionBy("file").orderBy("line_no")
-    heading = F.regexp_extract("line", r"^Table ([0-9]+):", 1)
-    under = lines.withColumn("table_no", F.last(F.nullif(heading, F.lit("")), ignorenulls=True).over(w).cast("int"))
+    found = lambda pattern, up, name: lines.where(F.col("line").rlike(pattern)).select("file", (F.col("line_no") - up).alias("line_no"), F.regexp_extract("line", pattern, 1).alias(name))
+    rows = found(r"^Model: (.+)$", 0, "model").join(found(r"^\s+Helpfulness: ([0-9.]+)$", 1, "h"), ["file", "line_no"]).join(found(r"^\s+Correctness: ([0-9.]+)", 2, "c"), ["file", "line_no"])
+    return rows.select("model", F.col("h").cast("double").alias("helpfulness"), F.col("c").cast("double").alias("correctness"))
+
+
+def read_win_tables(spark: SparkSession, path: str, models: int = 3) -> DataFrame:
+    """file, table_no, row_model, values of win-table reports: as many rows of numbers under each heading as there are models.
+
+    Each line has the heading last seen in its split, or else the last one of the splits before."""
+    lines = _split_lines(spark, path)
+    heading = F.regexp_extract("line", r"^Table ([0-9]+):", 1).try_cast("int")
+    own = lines.withColumn("_h", heading)
+    last = own.where("_h is not null").groupBy("file", "split").agg(F.max_by("_h", "line_no").alias("_l"))
+    splits = lines.select("file", "split").distinct().join(last, ["file", "split"], "left")
+    w = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.select("file", "split", F.last("_l", ignorenulls=True).over(w).alias("_c"))
+    within = F.last("_h", ignorenulls=True).over(Window.partitionBy("file", "split").orderBy("line_no"))
+    under = own.withColumn("_o", within).join(carried, ["file", "split"]).withColumn("table_no", F.coalesce("_o", "_c"))
     words = F.split(F.trim("line"), r"\s+")
-    numbers = F.transform(F.slice(words, 2, 10), lambda x: x.try_cast("double"))
-    rows = under.where(F.col("table_no").isNotNull() & (F.size(words) == 4)).withColumn("v", numbers).where(F.forall("v", lambda x: x.isNotNull()))
+    numbers = F.transform(F.slice(words, 2, models + 1), lambda x: x.try_cast("double"))
+    rows = under.where(F.col("table_no").isNotNull() & (F.size(words) == models + 1)).withColumn("v", numbers).where(F.forall("v", lambda x: x.isNotNull()))
     nth = F.row_number().over(Window.partitionBy("file", "table_no").orderBy("line_no"))
-    return rows.withColumn("_n", nth).where("_n <= 3").select("file", "table_no", F.get(words, F.lit(0)).alias("row_model"), F.col("v").alias("values"))
+    return rows.withColumn("_n", nth).where(F.col("_n") <= models).select("file", "table_no", F.get(words, F.lit(0)).alias("row_model"), F.col("v").alias("values"))
 
 
-def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
-    """Templates by file name without folder and ending: a handful of small files."""
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^.]*$", 1).alias("n"), "value").limit(1000).collect()
+def read_templates(spark: SparkSession, path: str, most: int = 1000) -> dict[str, str]:
+    """Templates by file name without folder and ending: small files, an error beyond `most` of them."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^.]*$", 1).alias("n"), "value").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates at {path}")
     return {r["n"]: r["value"] for r in rows}
 
 
@@ -113,15 +162,40 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def write_with_fallback(df: DataFrame, path: str, fallback: str) -> str:
-    """The path that was written: the first, or, where that fails, the second as Parquet and JSON."""
+def reachable(spark: SparkSession, path: str) -> bool:
+    """Can a folder be made at this path?"""
     try:
+        folder = _hadoop(spark, path)
+        return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    except Py4JJavaError:
+        return False
+
+
+def write_with_fallback(df: DataFrame, path: str, fallback: str) -> str:
+    """The path that was written: the first, or, where that can't be reached, the second as Parquet and JSON.
+
+    An error of the rows themselves is an error for either path."""
+    if reachable(df.sparkSession, path):
         write_dataset(df, path)
         return path
-    except Exception:
-        write_dataset(df, fallback)
-        df.write.mode("overwrite").json(f"{fallback}-json")
-        return fallback
+    write_dataset(df, fallback)
+    df.write.mode("overwrite").json(f"{fallback}-json")
+    return fallback
+
+
+def write_bucketed(df: DataFrame, key: str, buckets: int | None = None, sort: list[str] | None = None, name: str | None = None) -> str:
+    """The name of a table of df in buckets of a key, sorted in each: grouping, windows and joins on the key then move no rows.
+
+    Without a name it is one of this session, at a work path, and clean() drops it."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, key).write.bucketBy(n, key).sortBy(*(sort or [key]))
+    if name is None:
+        name = f"tessera_{uuid.uuid4().hex}"
+        _tables.append(name)
+        writer = writer.option("path", work_path(spark, name))
+    writer.saveAsTable(name)
+    return name
 
 
 def write_csv(df: DataFrame, path: str) -> None:
