@@ -257,8 +257,14 @@ def mean_of_array_correlations(rows: DataFrame, x: str, y: str, key: str, keep_n
     return per.agg(mean(F.col("r")).alias("mean_r"), *p, F.count("*").alias("arrays"))
 
 
+#: Columns up to which a matrix is a sum for each pair in one aggregate; beyond that it is made of blocks.
+FEW_COLUMNS = 16
+
+
 def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r for all ordered pairs of columns, 1 on the diagonal: one pass, a sum for each pair."""
+    """a, b, r, n for all ordered pairs of columns, 1 on the diagonal; n counts all rows, r those with both values."""
+    if len(columns) > FEW_COLUMNS:
+        return _matrix_of_blocks(rows, columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = rows.agg(F.count("*").alias("n"), *[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs for x, y in ((a, b), (b, a))]
@@ -266,6 +272,38 @@ def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select("n", F.explode(F.array(*cells)).alias("c")).select("c.a", "c.b", "c.r", "n")
 
 
+def _matrix_of_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each task sums outer products of its rows, batch by batch, as matrix products: counts, sums, squares and products of
+    pairs where both are there.  Values are shifted by their means, which a first pass finds, so that nothing cancels; a
+    task holds four matrices of the columns' number squared, and what is shuffled is a row of them for each column and task."""
+    k = len(columns)
+    first = rows.agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    middle = np.array([first[f"_{i}"] or 0.0 for i in range(k)])
+    middle[~np.isfinite(middle)] = 0.0
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches):
+        sums = np.zeros((4, k, k))
+        for batch in batches:
+            nulls = np.stack([np.asarray(c.is_null()) for c in batch.columns], 1)
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], 1) - middle
+            x[nulls] = 0.0
+            there = (~nulls).astype(float)
+            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        n, sx, sxx, sxy = sums
+        parts = {"n": n, "sx": sx, "sy": sx.T, "sxx": sxx, "syy": sxx.T, "sxy": sxy}
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(k), pa.int32()), **{c: pa.array(list(np.ascontiguousarray(parts[c]))) for c in names}})
+
+    doubles = rows.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    part = doubles.mapInArrow(run, "i int, " + ", ".join(f"{c} array<double>" for c in names))
+    cells = part.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "s")).groupBy("i", "j").agg(*[F.sum(f"s.{c}").alias(c) for c in names])
+    spread = lambda s, ss: F.col("n") * F.col(ss) - F.col(s) * F.col(s)
+    varies = (spread("sx", "sxx") > 1e-12 * F.col("n") * F.col("sxx")) & (spread("sy", "syy") > 1e-12 * F.col("n") * F.col("syy"))
+    r = F.when(varies | F.isnan("sxy"), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread("sx", "sxx")) / F.sqrt(spread("sy", "syy")))
+    name = lambda c: F.element_at(F.array(*[F.lit(x) for x in columns]), F.col(c) + 1)
+    return cells.select(name("i").alias("a"), name("j").alias("b"), F.when(F.col("i") == F.col("j"), 1.0).otherwise(r).alias("r"), F.lit(first["n"]).cast("long").alias("n"))
+
+
 def with_p(rows: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
     return rows.withColumn("p", p_value(F.col(r), F.col(n)))
 

@@ -13,7 +13,7 @@ from tessera.operators import agreement, consistency, evaluation, judging, order
 from tessera.plans import boundary, files, pipelines, significance  # noqa: F401  their queries join these
 from tessera.plans.base import HASH_SQL as _H
 from tessera.plans.base import ORACLE, QUERIES, query, rounded  # noqa: F401
-from tessera.plans.views import sql_with, table, view
+from tessera.plans.views import sql_with, table, view, vocabulary
 
 def doubles(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
@@ -238,6 +238,16 @@ def length_filter(spark, d):
     return selection.length_filter(rows.where(F.size("responses") > 0), "prompt", "responses", 60, 200).select("conv_id", F.size("responses").alias("n"))
 
 
+@query()
+def length_filter_tokens(spark, d):
+    """Conversations whose prompt and answers are short in tokens of a public vocabulary, five tokens of frame not counted."""
+    turns = table(spark, d, "conversations")
+    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text")))), lambda x: x["text"])
+    rows = turns.groupBy("conv_id").agg(said.alias("responses"), F.min(F.when(F.col("role") == "user", F.col("text"))).alias("prompt"))
+    short = selection.token_length_filter(rows, "prompt", "responses", 120, 400, vocabulary("word_bpe_49k.json"), header=5, response_frame=("assistant says: ", ""))
+    return short.select("conv_id", F.size("responses").alias("n"))
+
+
 # -- judging -----------------------------------------------------------------------
 
 _FAIR = "CASE WHEN switched AND verdict <> -1 THEN 4 - verdict ELSE verdict END"
@@ -408,6 +418,18 @@ def mean_array_correlation(spark, d):
     return rounded(agreement.mean_of_array_correlations(rows, "a0", "a1", "prompt_id", keep_nan=False), "mean_r", digits=5)
 
 
+#: Columns of lines, and others made of their keys.
+_WIDE = {c: c for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")} | {f"k{i}": f"CAST((l_orderkey * {i} + l_partkey) % {97 + i} AS DOUBLE)" for i in range(1, 21)} | {"gap": "CASE WHEN l_linenumber > 2 THEN l_tax + l_discount END"}
+
+
+@query(f"""WITH w AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _WIDE.items())} FROM lineitem), m AS (SELECT count(*) AS n, [{", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': {'1.0' if a == b else f'corr({a}, {b})'}}}" for a in _WIDE for b in _WIDE)}] AS l FROM w), u AS (SELECT n, unnest(l) AS x FROM m)
+SELECT x.a AS a, x.b AS b, round(x.r, 6) + 0.0 AS r, n FROM u""")
+def correlation_wide(spark, d):
+    """More columns than one aggregate takes, one of them with nulls."""
+    rows = table(spark, d, "lineitem").select(*[F.expr(e).alias(c) for c, e in _WIDE.items()])
+    return rounded(agreement.correlation_matrix(rows, list(_WIDE)), "r")
+
+
 _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

@@ -64,3 +64,10 @@ def pack(rewards: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("resp_idx", *columns)))
     packed = rewards.groupBy("prompt_id").agg(rows.alias("rows"))
     return packed.select("prompt_id", *[F.col("rows")[c].alias(n) for c, n in zip(columns, names)])
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
