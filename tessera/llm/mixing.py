@@ -2,24 +2,26 @@
 
 A text is its words (A-Z as a-z) and an end.  Each token is a few binary decisions:
 
-    1. is it the candidate of the order-3 context (the last three tokens, hashed)?
-    2. if not: is it the candidate of the order-2 context, where that is another token?
+    1. is it of the candidate class of the order-3 context (the last two tokens, and a hash of the third)?
+    2. if not: is it of the candidate class of the order-2 context, where that is another class?
     3. if not: is it a word of the training texts, or a new one?
 
-then the bits of a known word's code, whose probabilities multiply to its share of all
-training tokens, or the bytes of a new word under hashed contexts of 0 to 5 bytes.
+A class is the tokens that share 32 bits of a hash, nearly always one token; within it, and for a known word,
+follows the share of training tokens that the word has, for a new word its bytes as two nibbles each, under hashed
+contexts of 0 to 5 bytes.  All of these are shares of what is left, so a context's probabilities sum to one at most.
 
-A context's candidate is the token that mostly followed it; how often it did and
+A context's candidate is the class that mostly followed it; how often it did and
 didn't are the context's bit counts.  Each decision has three bit predictors (counts of this context,
 counts of the other context, how many tokens before were predicted), each a probability that is learned
 from outcomes.  Their logits are mixed by weights gated by the decision and the
 run of predicted tokens; a final table refines the mix.  Predictors, weights and table are
-learned from the decisions of the batch's training texts and go on adapting within each text.
-Counts are leave-one-out: a training text is scored by what all others teach.
+learned from the decisions of all training texts and go on adapting within each text.
+A training text is scored without its own occurrences, of contexts, words and spellings alike.
 
 Counts cover all training texts exactly and nothing that grows comes to the driver: texts are
 dealt out in batches of about BATCH bytes; a batch asks the shards of a hash space for its distinct words and
-its distinct (context, token) pairs once, with their numbers; shards add up and answer.
+its distinct (context, token) pairs once; a context that occurs several times in one training text is
+asked for by that text, with all that the text itself adds to it.  Shards add up and answer.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ from tessera.llm.substring import kept_words
 BATCH = 4 << 20
 #: Tokens between two updates within a text, the rate, and the weight of the refining table against the text's own record.
 SEGMENT, RATE, RECORD = 16, 0.02, 32.0
-#: Bits of a pair's number: order-2 context, last token of the order-3 context, token; the lowest tells training texts.
-KEY, THIRD, TOKEN = 34, 10, 13
+#: Bits of the names of an order-2 context, of the third token before within it, and of a token's class.
+NAME, THIRD, TOKEN = 40, 10, 32
 #: Levels of hits and of misses of a context, so values of its state (0: unknown); runs; values of the three predictors.
 HITS, MISSES, RUNS = 6, 4, 6
 STATES = 1 + HITS * MISSES
@@ -50,12 +52,11 @@ GATES = KINDS * RUNS
 CHUNK = 1 << 18
 #: Steps in which weights are fitted, of the refining table, and the greatest logit.
 FITTING, STEPS, LOGIT = 60, 33, 9.0
-#: Slot bits of the spelling table, its orders, and the weight of the next shorter context.
+#: Slot bits of the spelling table (rows of 16 nibbles), its orders, and the weight of the next shorter context.
 SPELL, ORDERS, BACK = 22, (0, 1, 2, 3, 5), 1.0
 FIELD = 1 << 16
-#: What a word adds to the spelling table, dealt over its occurrences; words of more occurrences add nothing, as
-#: new words are spelled like rare ones.
-ONCE = 1 << 6
+#: What a word adds to the spelling table over all its occurrences.
+ONCE = 1 << 32
 _SALT = C.stream_of(97, 8)
 _ODD = C.stream_of(101, 8) | C.U64(1)
 _ORDER = C.stream_of(103, 8)
@@ -81,26 +82,63 @@ class Tokens:
         out[self.place < k] = _SALT[1]
         return out
 
+    def classes(self) -> np.ndarray:
+        return class_of(self.hash)
+
     def words(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct tokens by shard, their shards, and which of them each token is."""
+        """Distinct tokens by shard (a class lies in one), their shards, and which of them each token is."""
         values, at = np.unique(self.hash, return_inverse=True)
-        return by_shard(values, C.mix(values) >> C.U64(32), at, shards)
+        return by_shard(values, class_of(values).astype(C.U64), at, shards)
 
-    def pairs(self, train: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of context and token, their shards, and which of them each token is; train: 0 or 1 for each text."""
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the order-2 and, within it, of the third token before."""
         two = C.mix(self.back(1) * _ODD[0] + self.back(2) * _ODD[1])
-        third = C.mix(self.back(3) * _ODD[2] + two) >> C.U64(64 - THIRD)
-        token = C.mix(self.hash + _SALT[2]) >> C.U64(64 - TOKEN)
-        number = ((two & C.U64((1 << KEY) - 1)) << C.U64(THIRD + TOKEN + 1)) | (third << C.U64(TOKEN + 1)) | (token << C.U64(1)) | train[self.doc].astype(C.U64)
-        shard = ((two >> C.U64(KEY)) % C.U64(shards)).astype(np.int32)
-        order = np.argsort(number, kind="stable")
-        order = order[np.argsort(shard[order].astype(np.uint16 if shards < 1 << 16 else np.int32), kind="stable")]
-        x, s = number[order], shard[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (s[1:] != s[:-1])
-        at = np.empty(len(x), np.int64)
-        at[order] = np.cumsum(new) - 1
-        return x[new], s[new], at
+        return two >> C.U64(64 - NAME), C.mix(self.back(3) * _ODD[2] + two) >> C.U64(64 - THIRD)
+
+    def pairs(self, train: np.ndarray, shards: int) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """Questions as (number, class, own, group, times), their shards, and which of them each token is.
+
+        number: context without what the shard says of it, then 1 for training texts (train, 0 or 1 for each text).
+        Questions of a context that a training text has once or that a held-out text has are asked once by the batch (group 0),
+        with own 1 or 0; other contexts by each text, all of its pairs in one group, own and times are how often it has them."""
+        two, third = self.contexts()
+        token, taught = self.classes(), train[self.doc].astype(C.U64)
+        part = (two % C.U64(shards)).astype(np.int64)
+        number = (two // C.U64(shards)) << C.U64(THIRD + 1) | third << C.U64(1) | taught
+        mine = np.flatnonzero(taught)
+        _, at, n = np.unique(two[mine] * C.U64(max(1, len(self.counts))) + self.doc[mine].astype(C.U64), return_inverse=True, return_counts=True)
+        often = np.zeros(len(two), bool)
+        often[mine] = n[at] > 1
+        few, many = np.flatnonzero(~often), np.flatnonzero(often)
+        few = few[np.lexsort((token[few], number[few], part[few]))]
+        many = many[np.lexsort((token[many], number[many], self.doc[many], number[many] >> C.U64(THIRD + 1), part[many]))]
+        rows = np.concatenate([few, many])
+        doc = np.where(often[rows], self.doc[rows], -1)
+        new = np.ones(len(rows), bool)
+        new[1:] = (number[rows[1:]] != number[rows[:-1]]) | (token[rows[1:]] != token[rows[:-1]]) | (part[rows[1:]] != part[rows[:-1]]) | (doc[1:] != doc[:-1])
+        first = rows[new]
+        turn = np.zeros(len(first), bool)  # a group begins
+        name = two[first] * C.U64(len(self.counts) + 1) + (doc[new] + 1).astype(C.U64)
+        turn[1:] = name[1:] != name[:-1]
+        group = np.where(often[first], np.cumsum(turn) + 1, 0)
+        times = np.diff(np.append(np.flatnonzero(new), len(rows)))
+        own = np.where(often[first], times, taught[first].astype(np.int64))
+        order = np.argsort(part[first], kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = np.empty(len(rows), np.int64)
+        at[rows] = rank[np.cumsum(new) - 1]
+        return tuple(x[order] for x in (number[first], token[first], own.astype(np.uint32), group.astype(np.uint32), times.astype(np.uint32))), part[first][order], at
+
+
+def class_of(hashes: np.ndarray) -> np.ndarray:
+    return (C.mix(hashes + _SALT[2]) >> C.U64(64 - TOKEN)).astype(np.uint32)
+
+
+def own_times(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """How often a token's text has its name."""
+    _, at, n = np.unique((doc.astype(C.U64) << C.U64(TOKEN)) | name.astype(C.U64), return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def by_shard(values: np.ndarray, dealt: np.ndarray, at: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,15 +169,6 @@ def ascending(x: np.ndarray) -> bytes:
 # -- shards --------------------------------------------------------------------
 
 
-def tops(group: np.ndarray, count: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each group (0, 1, ... in order): the sum of counts, and the highest and second highest (count, token) as one number."""
-    first = np.flatnonzero(np.diff(group, prepend=-1))
-    both = (count << np.int64(TOKEN)) | token
-    best = np.maximum.reduceat(both, first)
-    second = np.maximum.reduceat(np.where(both == best[group], 0, both), first)
-    return np.add.reduceat(count, first), best, second
-
-
 def state(hits: np.ndarray, misses: np.ndarray) -> np.ndarray:
     """The level of a context's counts, 0 for a context that no other text has."""
     h = np.searchsorted([2, 4, 8, 16, 64], hits, "right")
@@ -147,64 +176,104 @@ def state(hits: np.ndarray, misses: np.ndarray) -> np.ndarray:
     return np.where(hits > 0, 1 + h * MISSES + m, 0)
 
 
-def told(total: np.ndarray, best: np.ndarray, second: np.ndarray, own: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """state, is the candidate the token, candidate; own: occurrences of the token that don't count."""
-    mask = np.int64((1 << TOKEN) - 1)
-    mine = (best & mask) == token
-    left = best - (own << np.int64(TOKEN))
-    best = np.where(mine & (own > 0), np.maximum(left, second), best)
-    hits, who = best >> np.int64(TOKEN), best & mask
-    return state(hits, total - own - hits), who == token, who
-
-
-def level(names: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sum, best, second of each row's context; rows: at least one, sorted by (name, token)."""
-    first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (tokens[1:] != tokens[:-1])))
-    name = names[first]
-    group = np.cumsum(np.append(True, name[1:] != name[:-1])) - 1
-    at = np.repeat(group, np.diff(np.append(first, len(names))))
-    return tuple(v[at] for v in tops(group, np.add.reduceat(n, first), tokens[first]))
-
-
-def answers(pair: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """For each asked pair (any order), with how often training texts have it: what its contexts say of its token.
+class Level:
+    """Counts of the classes that followed each context of one order, from rows (context, class, n) in any order."""
+
+    def __init__(self, context: np.ndarray, token: np.ndarray, n: np.ndarray):
+        order = np.lexsort((token, context))
+        c, t = context[order], token[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (c[1:] != c[:-1]) | (t[1:] != t[:-1])
+        first = np.flatnonzero(new)
+        self.at = np.empty(len(order), np.int64)  # the pair of each row
+        self.at[order] = np.cumsum(new) - 1
+        self.n, self.token = np.add.reduceat(n[order], first), t[first].astype(np.int64)
+        c = c[first]
+        begin = np.append(True, c[1:] != c[:-1])
+        self.first = np.flatnonzero(begin)
+        self.of = np.cumsum(begin) - 1  # the context of each pair
+        self.size = np.diff(np.append(self.first, len(c)))
+        self.total = np.add.reduceat(self.n, self.first)
+        self.by = np.lexsort((self.token, -self.n, self.of))  # a context's pairs from the most frequent on
+        self.rank = np.empty(len(c), np.int64)
+        self.rank[self.by] = np.arange(len(c)) - np.repeat(self.first, self.size)
+
+    def _nth(self, context: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and class of a context's k-th pair, 0 where it has none."""
+        there = k < self.size[context]
+        pair = self.by[self.first[context] + np.where(there, k, 0)]
+        return np.where(there, self.n[pair], 0), self.token[pair]
+
+    def alone(self, pair: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State and candidate of the pair's context without own occurrences of the pair."""
+        context = self.of[pair]
+        return self._best(context, own, (self.rank[pair] == 0).astype(np.int64), self.n[pair] - own, self.token[pair])
+
+    def grouped(self, pair: np.ndarray, own: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without the own occurrences of all pairs of each row's group, which has one context."""
+        order = np.lexsort((self.rank[pair], group))
+        p, g, o = pair[order], group[order], own[order]
+        new = np.append(True, (p[1:] != p[:-1]) | (g[1:] != g[:-1]))
+        p, g, o = p[new], g[new], np.add.reduceat(o, np.flatnonzero(new))
+        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(begin, len(g)))
+        place = np.arange(len(g)) - np.repeat(begin, size)
+        gap = np.minimum.reduceat(np.where(self.rank[p] != place, place, len(g)), begin)  # the most frequent pair that isn't the group's
+        left = self.n[p] - o
+        most = np.maximum.reduceat(left, begin)
+        who = np.minimum.reduceat(np.where(left == np.repeat(most, size), self.token[p], 1 << 62), begin)
+        state_, who = self._best(self.of[p[begin]], np.add.reduceat(o, begin), np.minimum(gap, size), most, who)
+        at = np.searchsorted(g[begin], group)
+        return state_[at], who[at]
+
+    def _best(self, context: np.ndarray, own: np.ndarray, k: np.ndarray, left: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, other = self._nth(context, k)
+        first = (left > n) | ((left == n) & (token < other))
+        hits = np.where(first, left, n)
+        return state(hits, self.total[context] - own - hits), np.where(hits > 0, np.where(first, token, other), -1)
+
+
+def answers(number: np.ndarray, token: np.ndarray, own: np.ndarray, group: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """What the contexts of each question (any order) say of its class; rows of one group but 0 are one text's.
 
     Bits from the lowest: order 3's state (5) and right (1), order 2's (5, 1), same candidate (1).
     Contexts go some at a time, whole ones of about CHUNK rows."""
-    order = np.argsort(pair, kind="stable")
-    out = np.empty(len(pair), np.uint16)
+    order = np.argsort(number, kind="stable")
+    two = number[order] >> C.U64(THIRD + 1)
+    out = np.empty(len(number), np.uint16)
     a = 0
     while a < len(order):
         z = min(a + CHUNK, len(order))
-        two = pair[order[z - 1]] >> C.U64(THIRD + TOKEN + 1)
-        while z < len(order) and pair[order[z]] >> C.U64(THIRD + TOKEN + 1) == two:  # to the context's end
-            more = pair[order[z : z + CHUNK]] >> C.U64(THIRD + TOKEN + 1)
-            z += int(np.searchsorted(more, two, "right"))
+        z = int(np.searchsorted(two, two[z - 1], "right"))  # to the context's end
         rows = order[a:z]
-        out[rows] = _told(pair[rows], times[rows])
+        out[rows] = _told(number[rows], token[rows], own[rows].astype(np.int64), group[rows].astype(np.int64), times[rows].astype(np.int64))
         a = z
     return out
 
 
-def _told(x: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """answers() of sorted pairs."""
-    train = (x & C.U64(1)).astype(np.int64)
-    n = times * train
-    token = ((x >> C.U64(1)) & C.U64((1 << TOKEN) - 1)).astype(np.int64)
-    a3, r3, c3 = told(*level(x >> C.U64(TOKEN + 1), token, n), train, token)
-    two = x >> C.U64(THIRD + TOKEN + 1)
-    again = np.argsort((two << C.U64(TOKEN)) | token.astype(C.U64), kind="stable")
-    back = np.empty_like(again)
-    back[again] = np.arange(len(again))
-    a2, r2, c2 = told(*(v[back] for v in level(two[again], token[again], n[again])), train, token)
-    return (a3 | (r3.astype(np.int64) << 5) | (a2 << 6) | (r2.astype(np.int64) << 11) | ((c3 == c2).astype(np.int64) << 12)).astype(np.uint16)
+def _told(number: np.ndarray, token: np.ndarray, own: np.ndarray, group: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """answers() of whole contexts."""
+    n = times * (number & C.U64(1)).astype(np.int64)
+    one, many = np.flatnonzero(group == 0), np.flatnonzero(group)
+    _, text = np.unique(group[many], return_inverse=True)
+    said = []
+    for context in (number >> C.U64(1), number >> C.U64(THIRD + 1)):
+        level = Level(context, token, n)
+        state_, who = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        state_[one], who[one] = level.alone(level.at[one], own[one])
+        if len(many):
+            _, g = np.unique(text * (len(level.total) + 1) + level.of[level.at[many]], return_inverse=True)
+            state_[many], who[many] = level.grouped(level.at[many], own[many], g)
+        said.append((state_, who))
+    (a3, c3), (a2, c2) = said
+    return (a3 | (c3 == token) << 5 | a2 << 6 | (c2 == token) << 11 | (c3 == c2) << 12).astype(np.uint16)
 
 
 # -- spelling ------------------------------------------------------------------
 
 
 class Letters:
-    """The bytes of some words and their ends, with the slots of their contexts and of context and byte, by order."""
+    """The nibbles of some words and their ends: for each order the slots of a byte's high and low one, 16 to a row."""
 
     def __init__(self, w: C.Words, rows: np.ndarray):
         self.size = w.end[rows] - w.start[rows] + 1
@@ -212,6 +281,7 @@ class Letters:
         nth = C.spread(np.zeros(len(self.size), np.int64), self.size)
         data = np.append(w.data, np.uint8(32)).astype(C.U64)
         byte = np.where(nth == np.repeat(self.size, self.size) - 1, C.U64(32), data[np.minimum(at, len(data) - 1)])
+        high, low = byte >> C.U64(4), byte & C.U64(15)
         self.slots = []
         h = np.full(len(at), _SALT[3], C.U64)
         for k in range(max(ORDERS) + 1):
@@ -219,23 +289,28 @@ class Letters:
                 h = h * _ODD[3] + np.where(nth >= k, data[np.maximum(at - k, 0)] + C.U64(1), C.U64(0))
             if k in ORDERS:
                 of = C.mix(h + _ORDER[k])
-                self.slots.append(((of >> C.U64(64 - SPELL)).astype(np.int32), (C.mix(of + byte * _ODD[4]) >> C.U64(64 - SPELL)).astype(np.int32)))
+                row = lambda x: (x >> C.U64(64 - SPELL + 4)) << C.U64(4)
+                self.slots.append(((row(of) | high).astype(np.int32), (row(C.mix(of + (high + C.U64(1)) * _ODD[4])) | low).astype(np.int32)))
 
     def logs(self, table: np.ndarray, own: np.ndarray) -> np.ndarray:
         """log10 probability of each word; own: 1 for words that the table has from this text alone."""
         own = np.repeat(own, self.size)
-        p = np.full(len(own), 1 / 256)
-        for context, both in self.slots:
-            n = np.maximum(table[context] - own, 0).astype(np.float64)
-            p = (np.minimum(np.maximum(table[both] - own, 0), n) + BACK * p) / (n + BACK)
-        return np.add.reduceat(np.log10(p), np.cumsum(self.size) - self.size) if len(self.size) else p
+        sums = table.reshape(-1, 16).sum(1)
+        logs = np.zeros(len(own))
+        for half in (0, 1):
+            p = np.full(len(own), 1 / 16)
+            for slots in self.slots:
+                n = table[slots[half]].astype(np.float64)
+                mine = np.minimum(own, n)
+                p = (n - mine + BACK * p) / (sums[slots[half] >> 4] - mine + BACK)
+            logs += np.log10(p)
+        return np.add.reduceat(logs, np.cumsum(self.size) - self.size) if len(self.size) else logs
 
 
 def spell(table: np.ndarray, w: C.Words, rows: np.ndarray, counts: np.ndarray) -> None:
-    """Adds words to the spelling table, one of `counts` occurrences each: over all texts a word of up to ONCE occurrences counts about once."""
-    rows, counts = rows[counts <= ONCE], counts[counts <= ONCE]
+    """Adds words to the spelling table, one of `counts` occurrences each: over all texts each word counts ONCE."""
     _, first, times = np.unique(w.hash[rows], return_index=True, return_counts=True)
-    share = times * (ONCE // counts[first])
+    share = times * ONCE // np.maximum(counts[first], 1)
     rows = rows[first]
     for a in range(0, len(rows), 1 << 16):
         letters = Letters(w, rows[a : a + (1 << 16)])
@@ -252,13 +327,13 @@ class Decisions:
     """The binary decisions of some tokens in order: token, outcome, cell (kind and values of the three predictors)."""
 
     def __init__(self, t: Tokens, code: np.ndarray, known: np.ndarray):
-        """code: answers of each token's pair; known: do other training texts have the token?"""
+        """code: answers of each token's pair; known: do other training texts have the token?  (Else its class is another token's.)"""
         a3, r3, a2, r2, same = code & 31, (code >> 5) & 1, (code >> 6) & 31, (code >> 11) & 1, (code >> 12) & 1
         a3, a2, same = (v.astype(np.int64) for v in (a3, a2, same))
         one = a3 > 0
-        right = one & (r3 == 1)
+        right = one & (r3 == 1) & known
         two = ~right & (a2 > 0) & ~(one & (same == 1))
-        right2 = two & (r2 == 1)
+        right2 = two & (r2 == 1) & known
         self.hit = right | right2
         three = ~self.hit
         i = np.arange(len(code))
@@ -370,14 +445,14 @@ def decided(cells: np.ndarray, right: np.ndarray, doc: np.ndarray, place: np.nda
     return back
 
 
-def plain_logs(t: Tokens, d: Decisions, own: np.ndarray, counts: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+def plain_logs(t: Tokens, d: Decisions, left: np.ndarray, of_class: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of what the decisions leave open, for each token but new words, and which words are new.
 
-    own: 1 for tokens of training texts; counts: of each token in training texts, of `tokens` tokens."""
-    left = counts - own
-    out = np.zeros(len(own))
-    known = np.flatnonzero(~d.hit & (left > 0))
-    out[known] = np.log10(left[known] / np.maximum(tokens - own[known], 1))
+    left, of_class, tokens: of training texts but the token's own, the occurrences of the token, of its class and of all."""
+    out = np.zeros(len(left))
+    hit, known = np.flatnonzero(d.hit), np.flatnonzero(~d.hit & (left > 0))
+    out[hit] = np.log10(left[hit] / of_class[hit])
+    out[known] = np.log10(left[known] / tokens[known])
     new = ~d.hit & (left <= 0)
     out[new & t.is_end] = -np.log10(256)  # an end that training texts don't have
     return out, np.flatnonzero(new[~t.is_end])
@@ -442,50 +517,73 @@ def _ask(shards: int):
                 _, t, train = _texts(r["words"])
                 word, of_word, at = t.words(shards)
                 often = np.bincount(at, weights=train[t.doc], minlength=len(word)).astype(np.uint32)
-                pair, of_pair, at = t.pairs(train, shards)
-                times = np.bincount(at, minlength=len(pair)).astype(np.uint32)
+                question, of_pair, _ = t.pairs(train, shards)
                 cut_w, cut_p = (np.searchsorted(s, np.arange(shards + 1)).tolist() for s in (of_word, of_pair))
                 for s in range(shards):
                     w, p = slice(cut_w[s], cut_w[s + 1]), slice(cut_p[s], cut_p[s + 1])
                     if w.start < w.stop or p.start < p.stop:
-                        yield _row(r["batch"], ASKED, s, w.stop - w.start, two(ascending(word[w]), shrink(often[w])), two(ascending(pair[p]), shrink(times[p])))
+                        yield _row(r["batch"], ASKED, s, w.stop - w.start, packed(ascending(word[w]), shrink(often[w])), packed(ascending(question[0][p]), *(shrink(x[p]) for x in question[1:])))
 
     return run
 
 
-def two(a: bytes, b: bytes) -> bytes:
-    return len(a).to_bytes(8, "little") + a + b
+def packed(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
 
-def halves(raw: bytes) -> tuple[bytes, bytes]:
-    n = int.from_bytes(raw[:8], "little")
-    return raw[8 : 8 + n], raw[8 + n :]
+def unpacked(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
 
 
-def one_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a, b = halves(raw)
-    return np.cumsum(grow(a, C.U64), dtype=C.U64), grow(b, np.uint32)
+def one_of(raw: bytes) -> list[np.ndarray]:
+    first, *rest = unpacked(raw)
+    return [np.cumsum(grow(first, C.U64), dtype=C.U64), *(grow(x, np.uint32) for x in rest)]
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each batch's question to a shard: counts of its words and what contexts say of its pairs; then the shard's number of words."""
+    """For each batch's question to a shard: counts of its words and of their classes, and what contexts say of its pairs; then the shard's number of words."""
     for t in C.stream_groups(batches, ["shard"]):
         shard = t["shard"][0].as_py()
         names = t["batch"].to_pylist()
         words, pairs = ([one_of(x.as_buffer().to_pybytes()) for x in t[c]] for c in ("words", "pairs"))
-        ends = [np.concatenate([[0], np.cumsum([len(x) for x, _ in q])]).tolist() for q in (words, pairs)]
+        ends = [np.concatenate([[0], np.cumsum([len(x[0]) for x in q])]).tolist() for q in (words, pairs)]
         values, at = np.unique(np.concatenate([x for x, _ in words]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([n for _, n in words]), minlength=len(values)).astype(np.int64)
+        counts = np.zeros(len(values), np.int64)
+        np.add.at(counts, at, np.concatenate([n for _, n in words]).astype(np.int64))
         yield _row(-1 - shard, TYPES, shard, int((counts > 0).sum()), None, None)
-        counts = np.minimum(counts, 2**32 - 1).astype(np.uint32)[at]
-        code = answers(np.concatenate([x for x, _ in pairs]), np.concatenate([n for _, n in pairs]))
+        _, of = np.unique(class_of(values), return_inverse=True)
+        class_counts = np.zeros(int(of.max(initial=-1)) + 1, np.int64)
+        np.add.at(class_counts, of, counts)
+        more = (class_counts[of] - counts)[at]
+        counts = counts[at]
+        column = lambda k: np.concatenate([x[k] for x in pairs])
+        lists = np.repeat(np.arange(len(pairs)), np.diff(ends[1]))
+        group = column(3).astype(np.int64)
+        group = np.where(group > 0, (lists << 32) | group, 0)
+        code = answers(column(0), column(1), column(2), group, column(4))
         for i, name in enumerate(names):
-            yield _row(name, ANSWERED, shard, 0, shrink(counts[ends[0][i] : ends[0][i + 1]]), shrink(code[ends[1][i] : ends[1][i + 1]]))
+            w = slice(ends[0][i], ends[0][i + 1])
+            yield _row(name, ANSWERED, shard, 0, packed(shrink(counts[w]), shrink(more[w])), shrink(code[ends[1][i] : ends[1][i + 1]]))
 
 
 _TEXT = pa.schema([("doc_id", pa.int64()), ("train", pa.uint8()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("new", pa.large_string())])
 
 
+def without_own(t: Tokens, train: np.ndarray, word: np.ndarray, counts: np.ndarray, more: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences of each token, of its class and of all tokens in training texts but its own; more: of its class beyond its own.
+
+    word: a number below 2**32 of each token's word."""
+    taught = train[t.doc]
+    left = counts - taught * own_times(t.doc, word)
+    of_class = counts + more - taught * own_times(t.doc, t.classes())
+    return left, of_class, np.maximum(tokens - taught * t.counts[t.doc], 1)
+
+
 def _decide(shards: int, tokens: int):
     """For each batch: its texts' sums, training flags and new words (words), the cells and outcomes of its decisions
     in order (pairs: the different ones by number, then which it is); then the task's spelling counts in fields."""
@@ -500,13 +598,14 @@ def _decide(shards: int, tokens: int):
                 continue
             b, t, train = _texts(g["words"][0].as_buffer().to_pybytes())  # texts come first, then answers by shard
             said = g.slice(1)
-            grown = lambda c, kind: np.concatenate([grow(x.as_buffer().to_pybytes(), kind) for x in said[c]])
-            counts = grown("words", np.uint32)[t.words(shards)[2]].astype(np.int64)
-            code = grown("pairs", np.uint16)[t.pairs(train, shards)[2]]
-            own = train[t.doc]
-            d = Decisions(t, code, counts > own)
-            plain, new = plain_logs(t, d, own, counts, tokens)
-            word = np.flatnonzero(own[~t.is_end])
+            at = t.words(shards)[2]
+            counts, more = (np.concatenate(x)[at] for x in zip(*([grow(x, np.int64) for x in unpacked(x.as_buffer().to_pybytes())] for x in said["words"])))
+            code = np.concatenate([grow(x.as_buffer().to_pybytes(), np.uint16) for x in said["pairs"]])[t.pairs(train, shards)[2]]
+            taught = train[t.doc]
+            left, of_class, others = without_own(t, train, at, counts, more, tokens)
+            d = Decisions(t, code, left > 0)
+            plain, new = plain_logs(t, d, left, of_class, others)
+            word = np.flatnonzero(taught[~t.is_end])
             spell(table, t.w, word, counts[~t.is_end][word])
             total = lambda x: np.bincount(t.doc, weights=x, minlength=len(t.counts))
             fresh = np.zeros(len(t.w), bool)
@@ -517,7 +616,7 @@ def _decide(shards: int, tokens: int):
             by = np.argsort(-n, kind="stable")
             place = np.empty(len(by), np.uint32)
             place[by] = np.arange(len(by))
-            yield _row(int(g["batch"][0].as_py()), TEXTS, 0, 0, sealed(texts), two(shrink(names[by].astype(np.uint32)), shrink(place[rank])))
+            yield _row(int(g["batch"][0].as_py()), TEXTS, 0, 0, sealed(texts), packed(shrink(names[by].astype(np.uint32)), shrink(place[rank])))
         for i in range(0, len(table), FIELD):
             some = np.flatnonzero(table[i : i + FIELD])
             if len(some):
@@ -530,7 +629,7 @@ def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Texts, tokens, cells and outcomes of the decisions of each batch."""
     for b in batches:
         for words, pairs in zip(C.column(b, "words"), C.column(b, "pairs")):
-            names, place = (grow(x, np.uint32).astype(np.int64) for x in halves(pairs.as_buffer().to_pybytes()))
+            names, place = (grow(x, np.uint32).astype(np.int64) for x in unpacked(pairs.as_buffer().to_pybytes()))
             cells, right = names[place] >> 1, names[place] & 1
             last = (cells >= 2 * (CELLS // KINDS)) | (right == 1)  # a token's last decision: one that came true, or the third
             yield pa.ipc.open_stream(words.as_buffer()).read_next_batch(), np.cumsum(last) - last, cells, right
@@ -605,7 +704,8 @@ def score_texts(docs: DataFrame, train: Column | bool = True) -> DataFrame:
 
     Learns from rows for which `train` holds (null: it doesn't); a null text is empty (one token, its end).
     base_score is the add-one unigram score over training counts.  score is the model's log10
-    probability; a training row is scored by what the other rows teach, so a text that stands twice helps its copy.
+    probability; a training row is scored by what the other rows teach, without anything that it adds itself, so a text that
+    stands twice helps its copy and no text helps itself.  Scores don't depend on how rows are dealt out.
     Without training rows every count is 0.  Repeated rows are scored and learned from as often as they stand.
     bits_per_byte is null for an empty text.  An empty table gives no rows.
     """
