@@ -6,7 +6,7 @@ A text is its words (A-Z as a-z) and an end.  Each token is a few binary decisio
     2. if not: is it of the candidate class of the order-2 context, where that is another class?
     3. if not: is it a word of the training texts, or a new one?
 
-A class is the tokens that share 32 bits of a hash, nearly always one token; within it, and for a known word,
+A class is the tokens that share TOKEN bits of a hash, mostly one token; within it, and for a known word,
 follows the share of training tokens that the word has, for a new word its bytes as two nibbles each, under hashed
 contexts of 0 to 5 bytes.  All of these are shares of what is left, so a context's probabilities sum to one at most.
 
@@ -41,8 +41,10 @@ from tessera.llm.substring import kept_words
 BATCH = 4 << 20
 #: Tokens between two updates within a text, the rate, and the weight of the refining table against the text's own record.
 SEGMENT, RATE, RECORD = 16, 0.02, 32.0
-#: Bits of the names of an order-2 context, of the third token before within it, and of a token's class.
-NAME, THIRD, TOKEN = 40, 10, 32
+#: Bits of the third token before within an order-2 context, and of a token's class.
+THIRD, TOKEN = 10, 24
+#: Bits of an order-2 context's name: so many more than training tokens need, between these bounds.
+SPARE, NAMES = 9, (34, 52 - THIRD)
 #: Levels of hits and of misses of a context, so values of its state (0: unknown); runs; values of the three predictors.
 HITS, MISSES, RUNS = 6, 4, 6
 STATES = 1 + HITS * MISSES
@@ -90,45 +92,61 @@ class Tokens:
         values, at = np.unique(self.hash, return_inverse=True)
         return by_shard(values, class_of(values).astype(C.U64), at, shards)
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the order-2 and, within it, of the third token before."""
+    def contexts(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the order-2 context, of so many bits, and of the third token before within it."""
         two = C.mix(self.back(1) * _ODD[0] + self.back(2) * _ODD[1])
-        return two >> C.U64(64 - NAME), C.mix(self.back(3) * _ODD[2] + two) >> C.U64(64 - THIRD)
+        return two >> C.U64(64 - bits), C.mix(self.back(3) * _ODD[2] + two) >> C.U64(64 - THIRD)
 
-    def pairs(self, train: np.ndarray, shards: int) -> tuple[tuple, np.ndarray, np.ndarray]:
-        """Questions as (number, class, own, group, times), their shards, and which of them each token is.
+    def pairs(self, train: np.ndarray, shards: int, bits: int) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """Questions as (number, class, group, times), their shards, and which of them each token is.
 
         number: context without what the shard says of it, then 1 for training texts (train, 0 or 1 for each text).
         Questions of a context that a training text has once or that a held-out text has are asked once by the batch (group 0),
-        with own 1 or 0; other contexts by each text, all of its pairs in one group, own and times are how often it has them."""
-        two, third = self.contexts()
+        times is how many texts have them; other contexts by each text, all of its pairs in one group, times is how often it has them."""
+        two, third = self.contexts(bits)
         token, taught = self.classes(), train[self.doc].astype(C.U64)
-        part = (two % C.U64(shards)).astype(np.int64)
+        part = two % C.U64(shards)
         number = (two // C.U64(shards)) << C.U64(THIRD + 1) | third << C.U64(1) | taught
         mine = np.flatnonzero(taught)
         _, at, n = np.unique(two[mine] * C.U64(max(1, len(self.counts))) + self.doc[mine].astype(C.U64), return_inverse=True, return_counts=True)
         often = np.zeros(len(two), bool)
         often[mine] = n[at] > 1
         few, many = np.flatnonzero(~often), np.flatnonzero(often)
-        few = few[np.lexsort((token[few], number[few], part[few]))]
-        many = many[np.lexsort((token[many], number[many], self.doc[many], number[many] >> C.U64(THIRD + 1), part[many]))]
+        whole = part * C.U64((1 << bits) // shards + 1) << C.U64(THIRD + 1)
+        few = few[sorted_pairs((whole + number)[few], token[few])]
+        many = many[np.lexsort((token[many], number[many], self.doc[many], (whole + number)[many] >> C.U64(THIRD + 1)))]
         rows = np.concatenate([few, many])
         doc = np.where(often[rows], self.doc[rows], -1)
+        key, of = (whole + number)[rows], token[rows]
         new = np.ones(len(rows), bool)
-        new[1:] = (number[rows[1:]] != number[rows[:-1]]) | (token[rows[1:]] != token[rows[:-1]]) | (part[rows[1:]] != part[rows[:-1]]) | (doc[1:] != doc[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])
         first = rows[new]
         turn = np.zeros(len(first), bool)  # a group begins
-        name = two[first] * C.U64(len(self.counts) + 1) + (doc[new] + 1).astype(C.U64)
-        turn[1:] = name[1:] != name[:-1]
+        name, doc = two[first], doc[new]
+        turn[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
         group = np.where(often[first], np.cumsum(turn) + 1, 0)
         times = np.diff(np.append(np.flatnonzero(new), len(rows)))
-        own = np.where(often[first], times, taught[first].astype(np.int64))
-        order = np.argsort(part[first], kind="stable")
+        part = part[first].astype(np.int32)
+        order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         at = np.empty(len(rows), np.int64)
         at[rows] = rank[np.cumsum(new) - 1]
-        return tuple(x[order] for x in (number[first], token[first], own.astype(np.uint32), group.astype(np.uint32), times.astype(np.uint32))), part[first][order], at
+        return (number[first][order], token[first][order], group.astype(np.uint32)[order], times.astype(np.uint32)[order]), part[order], at
+
+
+def sorted_pairs(number: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """An order by number, then token: two sorts of one number each, the second of places in the first."""
+    order = np.argsort(number)
+    x = number[order]
+    rank = np.zeros(len(x), C.U64)
+    rank[1:] = np.cumsum(x[1:] != x[:-1])
+    return order[np.argsort(rank << C.U64(32) | token[order].astype(C.U64))]
+
+
+def name_bits(tokens: int) -> int:
+    """Bits of a context's name for so many training tokens."""
+    return min(max(int(tokens).bit_length() + SPARE, NAMES[0]), NAMES[1])
 
 
 def class_of(hashes: np.ndarray) -> np.ndarray:
@@ -180,7 +198,7 @@ class Level:
     """Counts of the classes that followed each context of one order, from rows (context, class, n) in any order."""
 
     def __init__(self, context: np.ndarray, token: np.ndarray, n: np.ndarray):
-        order = np.lexsort((token, context))
+        order = sorted_pairs(context, token)
         c, t = context[order], token[order]
         new = np.ones(len(order), bool)
         new[1:] = (c[1:] != c[:-1]) | (t[1:] != t[:-1])
@@ -194,51 +212,61 @@ class Level:
         self.of = np.cumsum(begin) - 1  # the context of each pair
         self.size = np.diff(np.append(self.first, len(c)))
         self.total = np.add.reduceat(self.n, self.first)
-        self.by = np.lexsort((self.token, -self.n, self.of))  # a context's pairs from the most frequent on
-        self.rank = np.empty(len(c), np.int64)
-        self.rank[self.by] = np.arange(len(c)) - np.repeat(self.first, self.size)
+        self.top = self._most(self.n)  # a context's most frequent pair, and the next one or -1
+        left = self.n.copy()
+        left[self.top] = -1
+        self.next = np.where(self.size > 1, self._most(left), -1)
 
-    def _nth(self, context: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and class of a context's k-th pair, 0 where it has none."""
-        there = k < self.size[context]
-        pair = self.by[self.first[context] + np.where(there, k, 0)]
-        return np.where(there, self.n[pair], 0), self.token[pair]
+    def _most(self, n: np.ndarray) -> np.ndarray:
+        """The pair of each context with the greatest n, of several that of the smallest class."""
+        most = np.maximum.reduceat(n, self.first)
+        return np.minimum.reduceat(np.where(n == most[self.of], np.arange(len(n)), len(n)), self.first)  # classes are in order
 
     def alone(self, pair: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """State and candidate of the pair's context without own occurrences of the pair."""
         context = self.of[pair]
-        return self._best(context, own, (self.rank[pair] == 0).astype(np.int64), self.n[pair] - own, self.token[pair])
+        return self._best(context, own, np.where(self.top[context] == pair, self.next[context], self.top[context]), self.n[pair] - own, self.token[pair])
 
     def grouped(self, pair: np.ndarray, own: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same without the own occurrences of all pairs of each row's group, which has one context."""
-        order = np.lexsort((self.rank[pair], group))
+        asked = np.zeros(len(self.total), bool)
+        asked[self.of[pair]] = True
+        some = np.flatnonzero(asked[self.of])
+        by = some[np.lexsort((self.token[some], -self.n[some], self.of[some]))]  # a context's pairs from the most frequent on
+        start = np.cumsum(np.where(asked, self.size, 0)) - self.size  # where a context's begin
+        rank = np.zeros(len(self.n), np.int64)
+        rank[by] = np.arange(len(by)) - start[self.of[by]]
+        order = np.lexsort((rank[pair], group))
         p, g, o = pair[order], group[order], own[order]
         new = np.append(True, (p[1:] != p[:-1]) | (g[1:] != g[:-1]))
         p, g, o = p[new], g[new], np.add.reduceat(o, np.flatnonzero(new))
         begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         size = np.diff(np.append(begin, len(g)))
         place = np.arange(len(g)) - np.repeat(begin, size)
-        gap = np.minimum.reduceat(np.where(self.rank[p] != place, place, len(g)), begin)  # the most frequent pair that isn't the group's
+        gap = np.minimum(np.minimum.reduceat(np.where(rank[p] != place, place, len(g)), begin), size)  # the most frequent pair that isn't the group's
+        context = self.of[p[begin]]
+        other = np.where(gap < self.size[context], by[np.minimum(start[context] + gap, len(by) - 1)], -1)
         left = self.n[p] - o
         most = np.maximum.reduceat(left, begin)
         who = np.minimum.reduceat(np.where(left == np.repeat(most, size), self.token[p], 1 << 62), begin)
-        state_, who = self._best(self.of[p[begin]], np.add.reduceat(o, begin), np.minimum(gap, size), most, who)
+        state_, who = self._best(context, np.add.reduceat(o, begin), other, most, who)
         at = np.searchsorted(g[begin], group)
         return state_[at], who[at]
 
-    def _best(self, context: np.ndarray, own: np.ndarray, k: np.ndarray, left: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, other = self._nth(context, k)
-        first = (left > n) | ((left == n) & (token < other))
+    def _best(self, context: np.ndarray, own: np.ndarray, other: np.ndarray, left: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State and candidate: the other pair (-1: none), or the class with what is left of it."""
+        n, rival = np.where(other >= 0, self.n[other], 0), self.token[other]
+        first = (left > n) | ((left == n) & (token < rival))
         hits = np.where(first, left, n)
-        return state(hits, self.total[context] - own - hits), np.where(hits > 0, np.where(first, token, other), -1)
+        return state(hits, self.total[context] - own - hits), np.where(hits > 0, np.where(first, token, rival), -1)
 
 
-def answers(number: np.ndarray, token: np.ndarray, own: np.ndarray, group: np.ndarray, times: np.ndarray) -> np.ndarray:
+def answers(number: np.ndarray, token: np.ndarray, group: np.ndarray, times: np.ndarray) -> np.ndarray:
     """What the contexts of each question (any order) say of its class; rows of one group but 0 are one text's.
 
     Bits from the lowest: order 3's state (5) and right (1), order 2's (5, 1), same candidate (1).
     Contexts go some at a time, whole ones of about CHUNK rows."""
-    order = np.argsort(number, kind="stable")
+    order = np.argsort(number)
     two = number[order] >> C.U64(THIRD + 1)
     out = np.empty(len(number), np.uint16)
     a = 0
@@ -246,24 +274,25 @@ def answers(number: np.ndarray, token: np.ndarray, own: np.ndarray, group: np.nd
         z = min(a + CHUNK, len(order))
         z = int(np.searchsorted(two, two[z - 1], "right"))  # to the context's end
         rows = order[a:z]
-        out[rows] = _told(number[rows], token[rows], own[rows].astype(np.int64), group[rows].astype(np.int64), times[rows].astype(np.int64))
+        out[rows] = _told(number[rows], token[rows], group[rows].astype(np.int64), times[rows].astype(np.int64))
         a = z
     return out
 
 
-def _told(number: np.ndarray, token: np.ndarray, own: np.ndarray, group: np.ndarray, times: np.ndarray) -> np.ndarray:
+def _told(number: np.ndarray, token: np.ndarray, group: np.ndarray, times: np.ndarray) -> np.ndarray:
     """answers() of whole contexts."""
-    n = times * (number & C.U64(1)).astype(np.int64)
+    taught = (number & C.U64(1)).astype(np.int64)
+    n = times * taught
     one, many = np.flatnonzero(group == 0), np.flatnonzero(group)
     _, text = np.unique(group[many], return_inverse=True)
     said = []
     for context in (number >> C.U64(1), number >> C.U64(THIRD + 1)):
         level = Level(context, token, n)
         state_, who = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        state_[one], who[one] = level.alone(level.at[one], own[one])
+        state_[one], who[one] = level.alone(level.at[one], taught[one])
         if len(many):
             _, g = np.unique(text * (len(level.total) + 1) + level.of[level.at[many]], return_inverse=True)
-            state_[many], who[many] = level.grouped(level.at[many], own[many], g)
+            state_[many], who[many] = level.grouped(level.at[many], times[many], g)
         said.append((state_, who))
     (a3, c3), (a2, c2) = said
     return (a3 | (c3 == token) << 5 | a2 << 6 | (c2 == token) << 11 | (c3 == c2) << 12).astype(np.uint16)
@@ -290,7 +319,7 @@ class Letters:
             if k in ORDERS:
                 of = C.mix(h + _ORDER[k])
                 row = lambda x: (x >> C.U64(64 - SPELL + 4)) << C.U64(4)
-                self.slots.append(((row(of) | high).astype(np.int32), (row(C.mix(of + (high + C.U64(1)) * _ODD[4])) | low).astype(np.int32)))
+                self.slots.append(((row(of) | high).astype(np.int32), (row((of + (high + C.U64(1)) * _ODD[4]) * _ODD[5]) | low).astype(np.int32)))
 
     def logs(self, table: np.ndarray, own: np.ndarray) -> np.ndarray:
         """log10 probability of each word; own: 1 for words that the table has from this text alone."""
@@ -510,14 +539,14 @@ def _texts(raw: bytes) -> tuple[pa.RecordBatch, Tokens, np.ndarray]:
     return b, Tokens(C.column(b, "text")), _flags(b)
 
 
-def _ask(shards: int):
+def _ask(shards: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 _, t, train = _texts(r["words"])
                 word, of_word, at = t.words(shards)
                 often = np.bincount(at, weights=train[t.doc], minlength=len(word)).astype(np.uint32)
-                question, of_pair, _ = t.pairs(train, shards)
+                question, of_pair, _ = t.pairs(train, shards, bits)
                 cut_w, cut_p = (np.searchsorted(s, np.arange(shards + 1)).tolist() for s in (of_word, of_pair))
                 for s in range(shards):
                     w, p = slice(cut_w[s], cut_w[s + 1]), slice(cut_p[s], cut_p[s + 1])
@@ -563,9 +592,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts[at]
         column = lambda k: np.concatenate([x[k] for x in pairs])
         lists = np.repeat(np.arange(len(pairs)), np.diff(ends[1]))
-        group = column(3).astype(np.int64)
+        group = column(2).astype(np.int64)
         group = np.where(group > 0, (lists << 32) | group, 0)
-        code = answers(column(0), column(1), column(2), group, column(4))
+        code = answers(column(0), column(1), group, column(3))
         for i, name in enumerate(names):
             w = slice(ends[0][i], ends[0][i + 1])
             yield _row(name, ANSWERED, shard, 0, packed(shrink(counts[w]), shrink(more[w])), shrink(code[ends[1][i] : ends[1][i + 1]]))
@@ -584,7 +613,7 @@ def without_own(t: Tokens, train: np.ndarray, word: np.ndarray, counts: np.ndarr
     return left, of_class, np.maximum(tokens - taught * t.counts[t.doc], 1)
 
 
-def _decide(shards: int, tokens: int):
+def _decide(shards: int, bits: int, tokens: int):
     """For each batch: its texts' sums, training flags and new words (words), the cells and outcomes of its decisions
     in order (pairs: the different ones by number, then which it is); then the task's spelling counts in fields."""
 
@@ -600,7 +629,7 @@ def _decide(shards: int, tokens: int):
             said = g.slice(1)
             at = t.words(shards)[2]
             counts, more = (np.concatenate(x)[at] for x in zip(*([grow(x, np.int64) for x in unpacked(x.as_buffer().to_pybytes())] for x in said["words"])))
-            code = np.concatenate([grow(x.as_buffer().to_pybytes(), np.uint16) for x in said["pairs"]])[t.pairs(train, shards)[2]]
+            code = np.concatenate([grow(x.as_buffer().to_pybytes(), np.uint16) for x in said["pairs"]])[t.pairs(train, shards, bits)[2]]
             taught = train[t.doc]
             left, of_class, others = without_own(t, train, at, counts, more, tokens)
             d = Decisions(t, code, left > 0)
@@ -715,9 +744,10 @@ def score_texts(docs: DataFrame, train: Column | bool = True) -> DataFrame:
     flag = F.coalesce(F.lit(True) if train is True else train, F.lit(False))
     texts = C.materialise(C.map_arrow(docs.select("doc_id", flag.alias("train"), "text"), _prepare, _ROW), "texts")
     tokens = texts.agg(F.sum("n")).first()[0] or 0
-    asked = C.map_arrow(texts, _ask(shards), _ROW).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "batch")
+    bits = name_bits(tokens)
+    asked = C.map_arrow(texts, _ask(shards, bits), _ROW).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "batch")
     said = C.map_arrow(asked, _answer, _ROW).unionByName(texts).repartition(shards, "batch").sortWithinPartitions("batch", "kind", "shard")
-    rows = C.materialise(C.map_arrow(said, _decide(shards, tokens), _ROW), "decisions")
+    rows = C.materialise(C.map_arrow(said, _decide(shards, bits, tokens), _ROW), "decisions")
     types = rows.where(f"kind = {TYPES}").agg(F.sum("n")).first()[0] or 0
     table = spelling_table(rows.where(f"kind = {SPELLED}"))
     rows = rows.where(f"kind = {TEXTS}").select("words", "pairs")
