@@ -206,8 +206,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: i
     Words are lower-cased in A-Z only.  Two documents are linked if 100 times
     the size of the intersection of their sets of k-word shingles is at least
     `percent` times the size of the union.  component_id is the smallest doc_id that
-    links reach.  A null or blank text has no shingles and no links.  Rows
-    that share a doc_id are one vertex.  A null doc_id is never linked and has
+    links reach.  A null or blank text has no shingles and no links.  A doc_id is
+    meant to name one text; rows that share one and have several texts are linked by their texts
+    alone, each row with the component of its text.  A null doc_id is never linked and has
     component_id null; such rows are kept.  An empty table gives no rows.
     """
     C.small_batches(docs.sparkSession)

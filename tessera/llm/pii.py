@@ -7,7 +7,9 @@ of a format get different ones (distinctness) without any table.
 
 The bijection is a Feistel network of ROUNDS rounds over the symbols: one half
 is shifted, each symbol within its own alphabet, by a keystream that the other
-half fixes.  Cards keep the distance of their last digit from the check digit,
+half fixes; then all symbols take one step, and the rounds go back, so that nothing
+stays as it was.  Letters of any script below U+10000 move among those of their script and
+case; of others (and marks) an entity keeps what it has.  Cards keep the distance of their last digit from the check digit,
 addresses run over all 32-bit numbers, known first names are permuted within
 their gender and script; a made-up name that happens to be a known one is
 shifted again.
@@ -16,6 +18,7 @@ shifted again.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 from tessera.llm.quality import bind
 
-ROUNDS = 4
+#: Rounds there and rounds back; those of addresses.
+ROUNDS, IP_ROUNDS = 2, 4
 #: Most applications of the bijection to one entity until it leaves a forbidden set; each is needed with
 #: probability below 1/4, so a walk of this length never ends early in practice (below 1e-38).
 WALK = 64
@@ -33,14 +37,43 @@ TRIES = 8
 ONLY_HEX = "^[0-9a-fA-F]+$"
 DIGITS = "0123456789"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 ALPHABETS = [DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK, GREEK.upper()]
 HEX = [DIGITS, "abcdef", "ABCDEF"]
 #: In made-up names vowels stay vowels and consonants consonants.
-SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
-#: Characters that no alphabet holds.
-OTHER = "[^0-9A-Za-zа-яА-Яα-ωΑ-Ω]"
+SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
+#: Characters that no alphabet holds: all but digits and the letters below U+10000.
+OTHER = r"(?:[^0-9\p{L}]|[\x{10000}-\x{10FFFF}])"
+#: Letters of a script and case from which they are an alphabet of code points, not a string.
+MANY = 500
+
+
+def _other_letters() -> tuple[list[str], list[tuple[int, int]]]:
+    """All other letters below U+10000 by script and case (the first word of their names, and their category), and runs of very many."""
+    groups: dict[tuple, list[int]] = {}
+    for c in range(0x80, 0x10000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "L" and chr(c) not in "".join(ALPHABETS):
+            ch, script = chr(c), unicodedata.name(chr(c), "?").split()[0].split("-")[0]
+            there = ch.upper() if kind == "Ll" else ch.lower()
+            back = len(there) == 1 and (there.lower() if kind == "Ll" else there.upper()) == ch  # its case can be turned and turned back
+            groups.setdefault((script, kind, back, c < 0x180, c >= 0xF900), []).append(c)
+    small, runs = [], []
+    for letters in groups.values():
+        cuts = [0, *(i for i in range(1, len(letters)) if letters[i] != letters[i - 1] + 1), len(letters)]
+        rest = []
+        for a, z in zip(cuts, cuts[1:]):
+            if z - a >= MANY:
+                runs.append((letters[a], letters[z - 1]))
+            else:
+                rest += letters[a:z]
+        if rest:
+            small.append("".join(map(chr, rest)))
+    return small, runs
+
+
+LETTERS, RUNS = _other_letters()
 
 #: First names by gender and script; a known name stays within its list.
 FIRST_NAMES = {
@@ -89,41 +122,63 @@ def _chars(s: Column) -> Column:
 
 
 def _shift_char(ch: Column, by: Column, alphabets: list[str]) -> Column:
-    """ch moved on in its alphabet; the alphabets lie one after another in one string."""
-    every = F.lit("".join(alphabets))
-    ends = [sum(map(len, alphabets[: k + 1])) for k in range(len(alphabets))]
-    first = F.array(*[F.lit(e - len(a) + 1) for e, a in zip(ends, alphabets) for _ in a])
-    size = F.array(*[F.lit(len(a)) for a in alphabets for _ in a])
-    moved = lambda i: F.get(first, i - 1) + F.pmod(i - F.get(first, i - 1) + by, F.get(size, i - 1))
-    return bind(F.instr(every, ch), lambda i: F.when((ch != "") & (i > 0), F.substr(every, moved(i), F.lit(1))).otherwise(ch))
+    """ch moved on in its alphabet.  The alphabets (and, but for hex digits, all other letters by script and case) lie one
+    after another in one string; at the same places of two others stand, as code points, where an alphabet begins and its size."""
+    groups = alphabets if alphabets is HEX else alphabets + LETTERS
+    begins = [sum(map(len, groups[:k])) + 1 for k in range(len(groups))]
+    every, first, size = (F.lit("".join(x)) for x in (groups, [chr(a) * len(g) for a, g in zip(begins, groups)], [chr(len(g)) * len(g) for g in groups]))
+    number = lambda text, i: F.ascii(F.substr(text, i, F.lit(1)))
+    moved = lambda i: bind(number(first, i), lambda a: F.substr(every, a + F.pmod(i - a + by, number(size, i)), F.lit(1)))
+    other = ch if alphabets is HEX else F.when(ch.rlike(r"\p{L}"), bind(F.ascii(ch), lambda c: _shift_code(ch, c, by))).otherwise(ch)
+    return bind(F.instr(every, ch), lambda i: F.when(ch == "", ch).when(i > 0, moved(i)).otherwise(other))
+
+
+def _shift_code(ch: Column, code: Column, by: Column) -> Column:
+    """A letter of one of the RUNS, moved on within it."""
+    low, size = F.lit(None).cast("int"), F.lit(1)
+    for a, z in RUNS:
+        low, size = F.when(code.between(a, z), a).otherwise(low), F.when(code.between(a, z), z - a + 1).otherwise(size)
+    new = F.decode(F.unhex(F.lpad(F.hex((low + F.pmod(code - low + by, size)).cast("long")), 4, "0")), "UTF-16BE")
+    return F.coalesce(new, ch)
+
+
+def _moves(s: Column, by: Callable, hexed: Column | None, alphabets: list[str]) -> Column:
+    """s with its i-th character moved by(i) places within its alphabet."""
+    plain = lambda ch, n: _shift_char(ch, n, alphabets)
+    move = plain if hexed is None else lambda ch, n: F.when(hexed, _shift_char(ch, n, HEX)).otherwise(plain(ch, n))
+    return F.array_join(F.transform(_chars(s), lambda ch, i: bind(by(i), lambda n: move(ch, n))), "")
 
 
-def _shift(s: Column, seed: Column, hexed: Column | None, alphabets: list[str]) -> Column:
-    """s with each character moved within its alphabet by a stream that the seed fixes."""
+def _shift(s: Column, seed: Column, hexed: Column | None, alphabets: list[str], sign: int) -> Column:
+    """s with each character moved (sign 1) or moved back (-1) by a stream that the seed fixes."""
     stream = F.concat(F.sha2(F.concat(seed, F.lit("a")), 256), F.sha2(F.concat(seed, F.lit("b")), 256))
-    by = lambda k, i: F.conv(F.substr(k, F.pmod(3 * i, F.lit(120)) + 1, F.lit(3)), 16, 10).cast("int")
-    plain = lambda ch, n: _shift_char(ch, n, alphabets)
-    move = plain if hexed is None else lambda ch, n: F.when(hexed, _shift_char(ch, n, HEX)).otherwise(plain(ch, n))
-    moved = lambda k: F.transform(_chars(s), lambda ch, i: bind(by(k, i), lambda n: move(ch, n)))
-    return F.array_join(bind(stream, moved), "")
+    by = lambda k, i: F.conv(F.substr(k, F.pmod(3 * i, F.lit(120)) + 1, F.lit(3)), 16, 10).cast("int") * sign
+    return bind(stream, lambda k: _moves(s, lambda i: by(k, i), hexed, alphabets))
 
 
 def feistel(s: Column, key: str, salt: Column | str, hexed: Column | None = None, alphabets: list[str] = ALPHABETS) -> Column:
-    """A keyed bijection of strings that keeps each character's alphabet; other characters stay.
+    """A keyed bijection of strings that keeps each character's alphabet, and no string that has a symbol; other characters stay.
 
+    The rounds, a step of all symbols in their alphabets (by 1 to 4, as the key says), and the rounds back: as the step
+    keeps nothing, the whole keeps nothing.
     hexed: a-f and A-F are alphabets of their own."""
     salt = F.lit(salt) if isinstance(salt, str) else salt
     half = F.floor(F.length(s) / 2).cast("int")
     out = F.struct(F.substr(s, F.lit(1), half).alias("a"), F.substr(s, half + 1).alias("b"))
     seed = lambda r, x: F.concat(F.lit(f"{key}|{r}|"), salt, F.lit("|"), x, F.lit("|"))
 
-    def turn(r: int) -> Callable:
+    def turn(r: int, sign: int) -> Callable:
         if r % 2 == 0:
-            return lambda x: F.struct(_shift(x["a"], seed(r, x["b"]), hexed, alphabets).alias("a"), x["b"].alias("b"))
-        return lambda x: F.struct(x["a"].alias("a"), _shift(x["b"], seed(r, x["a"]), hexed, alphabets).alias("b"))
+            return lambda x: F.struct(_shift(x["a"], seed(r, x["b"]), hexed, alphabets, sign).alias("a"), x["b"].alias("b"))
+        return lambda x: F.struct(x["a"].alias("a"), _shift(x["b"], seed(r, x["a"]), hexed, alphabets, sign).alias("b"))
 
     for r in range(ROUNDS):
-        out = bind(out, turn(r))
+        out = bind(out, turn(r, 1))
+    by = 1 + hashlib.sha256(f"{key}|step".encode()).digest()[0] % 4
+    parted = lambda v: F.struct(F.substr(v, F.lit(1), half).alias("a"), F.substr(v, half + 1).alias("b"))
+    out = bind(bind(out, lambda x: _moves(F.concat(x["a"], x["b"]), lambda i: F.lit(by), hexed, alphabets)), parted)
+    for r in reversed(range(ROUNDS)):
+        out = bind(out, turn(r, -1))
     return bind(out, lambda x: F.concat(x["a"], x["b"]))
 
 
@@ -161,7 +216,7 @@ def _ip(e: Column, key: str) -> Column:
     part = lambda i: F.element_at(F.split(e, r"\."), i).cast("int")
     out = F.struct((part(1) * 256 + part(2)).alias("a"), (part(3) * 256 + part(4)).alias("b"))
     f = lambda r, x: F.conv(F.substr(F.sha2(F.concat(F.lit(f"{key}|ip{r}|"), x.cast("string")), 256), F.lit(1), F.lit(4)), 16, 10).cast("int")
-    for r in range(ROUNDS):
+    for r in range(IP_ROUNDS):
         if r % 2 == 0:
             out = bind(out, lambda x, r=r: F.struct(F.pmod(x["a"] + f(r, x["b"]), F.lit(65536)).alias("a"), x["b"].alias("b")))
         else:
@@ -197,8 +252,8 @@ def _name(e: Column, key: str) -> Column:
 
 def _capitals(e: Column, new: Column) -> Column:
     """new with capitals where e has them."""
-    capital = lambda i: F.substr(e, i + 1, F.lit(1)).rlike("[A-Z]")
-    return F.array_join(F.transform(_chars(new), lambda ch, i: F.when(capital(i), F.upper(ch)).otherwise(ch)), "")
+    capital = lambda i: F.substr(e, i + 1, F.lit(1)).rlike(r"\p{Lu}")
+    return F.array_join(F.transform(_chars(new), lambda ch, i: F.when(capital(i) & (F.length(F.upper(ch)) == 1), F.upper(ch)).otherwise(ch)), "")
 
 
 #: What stays at the head of an entity: field names, key prefixes, countries.
@@ -210,7 +265,7 @@ def _general(e: Column, kind: Column, key: str) -> Column:
     lead = F.lit("")
     for k, pattern in LEADS.items():
         lead = F.when(kind == k, F.regexp_extract(e, f"^(?:{pattern})", 0)).otherwise(lead)
-    tail = F.when(kind == "email", F.regexp_extract(e, r"\.[A-Za-z]+$", 0)).otherwise("")
+    tail = F.when(kind == "email", F.regexp_extract(e, r"\.\p{L}+$", 0)).otherwise("")
 
     def of(x: Column) -> Column:
         body = F.substr(e, F.length(x["lead"]) + 1, F.length(e) - F.length(x["lead"]) - F.length(x["tail"]))
@@ -230,7 +285,7 @@ def _general(e: Column, kind: Column, key: str) -> Column:
         return F.concat(x["lead"], _reinsert(x["body"], bind(symbols, walked)), x["tail"])
 
     new = bind(bind(F.struct(lead.alias("lead"), tail.alias("tail")), of), made)
-    return F.when((kind == "email") & e.rlike("[A-Z]"), _capitals(e, new)).otherwise(new)
+    return F.when((kind == "email") & e.rlike(r"\p{Lu}"), _capitals(e, new)).otherwise(new)
 
 
 def surrogate(e: Column, key: str) -> Column:

@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 
 from tessera.llm import common as C
@@ -277,6 +278,28 @@ class WholeEncoder:
         return np.array([x for one in ids for x in one], np.int32), counts
 
 
+class WithAdded:
+    """ids of texts as the library gives them by default: a text that holds the string of an added token goes to it whole."""
+
+    def __init__(self, inner, plain: tokenizers.Tokenizer, added: list[str]):
+        self.inner, self.plain, self.added = inner, plain, added
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        holds = np.zeros(len(texts), bool)
+        for x in self.added:
+            holds |= pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self.inner(texts)
+        ids, counts = self.inner(pc.if_else(pa.array(holds), pa.scalar(None, texts.type), texts))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(holds).tolist():
+            parts[i] = np.array(self.plain.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32)
+            counts[i] = len(parts[i])
+        return np.concatenate(parts), counts
+
+
 _encoders: dict = {}
 
 
@@ -284,10 +307,11 @@ def encoder(path: str):
     """The encoder of a tokenizer file, kept by this worker."""
     C.claim("tokens", _encoders.clear)
     if path not in _encoders:
-        t = tokenizers.Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        t.no_padding()
-        t.no_truncation()
+        t, plain = (tokenizers.Tokenizer.from_file(path) for _ in range(2))
+        t.encode_special_tokens = True  # pieces hold no string of an added token
+        for x in (t, plain):
+            x.no_padding()
+            x.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -301,6 +325,9 @@ def encoder(path: str):
             _encoders[path] = PieceEncoder(t, bool(spaced))
         else:
             _encoders[path] = WholeEncoder(t)
+        added = [x["content"] for x in spec.get("added_tokens") or []]
+        if added:
+            _encoders[path] = WithAdded(_encoders[path], plain, added)
     return _encoders[path]
 
 

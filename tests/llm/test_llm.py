@@ -99,9 +99,10 @@ def test_piece_encoder_parity(name, local):
     odd += ["gobbledygook a", "\x1c b\x1d", "a\u2028b c\u3000", "\u0301a e\u0301 'S 's", "ｆｕｌｌ ǆ ß ﬁ"]
     longest = max((w for w in tokenizers.Tokenizer.from_file(tokens.default_path(name)).get_vocab() if w.isascii()), key=len)
     odd += [longest.removesuffix("</w>") + " x", " ".join(sorted(tokenizers.Tokenizer.from_file(tokens.default_path(name)).get_vocab(), key=len)[-300:])]
-    texts = odd + local.text.tolist()
     t = tokenizers.Tokenizer.from_file(tokens.default_path(name))
-    t.encode_special_tokens = True
+    for x in [a.content for a in t.get_added_tokens_decoder().values()]:
+        odd += [x, f"hello {x} world", f"a{x}b", f"{x}{x}", f" {x} ", x.upper(), x[:-1], f"one\ntwo {x}\n", "long " * 3000 + x]
+    texts = odd + local.text.tolist()
     for _ in range(2):
         ids, n = tokens.encoder(tokens.default_path(name))(pa.array(texts))
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
@@ -140,7 +141,6 @@ def test_container_round_trip(n):
 
 def test_token_files(spark, hand, empty):
     t = tokenizers.Tokenizer.from_file(tokens.default_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for df in (hand, empty):
         files = f"{C.shared_folder(spark)}/{uuid.uuid4().hex}"
         tokenfile.write_tokens(df, tokens.default_path("byte_bpe_50k.json"), 0, files)

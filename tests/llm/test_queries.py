@@ -26,7 +26,6 @@ def run(spark, small):
 
 def coded(name, texts, end):
     t = tokenizers.Tokenizer.from_file(tokens.default_path(name))
-    t.encode_special_tokens = True
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
