@@ -49,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of PASSAGE words or more that start earlier; documents left without a word go.
 
-    A null text has no passages and stays null; rows of a null doc_id come before all others; repeated rows are repeats of the first."""
+    A null text has no passages and comes back empty; rows of a null doc_id come before all others; repeated rows are repeats of the first."""
     out = remove_repeats(docs, width=PASSAGE)
     return out.where("n_removed = 0 or n_removed < n_words").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

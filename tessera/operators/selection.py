@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.functions import vocabulary
 
 
 def best_worst_pair(packed: DataFrame, rewards: str = "a0", selection: int = 2, tau: float = A.TAU, plain: bool = False) -> DataFrame:
@@ -69,33 +69,11 @@ def length_filter(rows: DataFrame, prompt: str, responses: str, longest_prompt:
     return rows.where((F.size(F.split(prompt, " ")) <= longest_prompt) & F.forall(some, lambda r: F.size(F.split(r, " ")) <= longest))
 
 
-_tokenizers: dict = {}
-
-
-def token_counts(texts: Column | str, path: str, before: str = "", after: str = "") -> Column:
-    """Token counts of an array of texts by a tokenizers file, each text put between two others, without special tokens;
-    null for null.  Whole Arrow batches go to the library at once; each worker reads the file once."""
-
-    def counts(batch: pd.Series) -> pd.Series:
-        if path not in _tokenizers:
-            import tokenizers
-
-            t = tokenizers.Tokenizer.from_file(path)
-            t.no_truncation()
-            t.no_padding()
-            _tokenizers[path] = t
-        flat = [x for one in batch if one is not None for x in one if x is not None]
-        sizes = iter([len(e.ids) for e in _tokenizers[path].encode_batch_fast([before + x + after for x in flat], add_special_tokens=False)])
-        return pd.Series([None if one is None else [None if x is None else next(sizes) for x in one] for one in batch], dtype=object)
-
-    return F.pandas_udf(counts, "array<int>")(texts)
-
-
 def token_length_filter(rows: DataFrame, prompt: str, responses: str, longest_prompt: int, longest: int, path: str, header: int = 0, prompt_frame: tuple[str, str] = ("", ""), response_frame: tuple[str, str] = ("", ""), pool: int | None = None) -> DataFrame:
     """length_filter in tokens of a tokenizers file: prompt and responses stand in their frames (a chat template's texts),
     and `header` tokens of a response's frame aren't counted.  A row with a null prompt or response is left out."""
     some = F.col(responses) if pool is None else F.slice(responses, 1, pool)
-    sized = rows.withColumns({"_p": token_counts(F.array(prompt), path, *prompt_frame), "_r": token_counts(some, path, *response_frame)})
+    sized = rows.withColumns({"_p": vocabulary.counts(F.array(prompt), path, *prompt_frame), "_r": vocabulary.counts(some, path, *response_frame)})
     fits = (F.get("_p", F.lit(0)) <= longest_prompt) & F.forall("_r", lambda n: F.coalesce(n - header <= longest, F.lit(False)))
     return sized.where(fits).drop("_p", "_r")
 

@@ -9,6 +9,7 @@ from tessera.functions import arrays as A
 from tessera.functions import scalar as X
 from tessera.functions import sequences as S
 from tessera.functions import text as T
+from tessera.functions import vocabulary as V
 from tessera.operators import agreement, consistency, evaluation, judging, ordered, relational, selection
 from tessera.plans import boundary, files, pipelines, significance  # noqa: F401  their queries join these
 from tessera.plans.base import HASH_SQL as _H
@@ -248,6 +249,15 @@ def length_filter_tokens(spark, d):
     return short.select("conv_id", F.size("responses").alias("n"))
 
 
+@query("SELECT conv_id, turn, text, true AS fits FROM conversations")
+def vocabulary_round_trip(spark, d):
+    """Ids of a public byte-level vocabulary, and back; no turn has more ids than bytes."""
+    path = vocabulary("byte_bpe_50k.json")
+    coded = table(spark, d, "conversations").withColumn("ids", V.encode("text", path))
+    fits = F.coalesce(F.size("ids") <= F.octet_length("text"), F.lit(True))
+    return coded.select("conv_id", "turn", V.decode("ids", path).alias("text"), fits.alias("fits"))
+
+
 # -- judging -----------------------------------------------------------------------
 
 _FAIR = "CASE WHEN switched AND verdict <> -1 THEN 4 - verdict ELSE verdict END"

@@ -185,6 +185,23 @@ def test_lengths_in_tokens(spark):
     assert {r["k"] for r in pooled.collect()} == {k for k, p, rs in rows[:60] if all(count(x) <= 8 for x in rs[:1]) and count(p) <= 99}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_vocabulary_columns(spark, name):
+    import tokenizers
+
+    from tessera.functions import vocabulary as V
+
+    path = vocabulary(name)
+    t = tokenizers.Tokenizer.from_file(path)
+    texts = ["", "plain words, and more", None, "naïve 日本 🙂", "<|endoftext|> is a token", "x " * 5000]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").repartition(2)
+    rows = df.withColumn("ids", V.encode("t", path)).select("i", "ids", V.decode("ids", path).alias("some"), V.decode("ids", path, skip_special=False).alias("all")).orderBy("i").collect()
+    for x, r in zip(texts, rows):
+        ids = None if x is None else t.encode(x, add_special_tokens=False).ids
+        assert r["ids"] == ids and r["some"] == (None if x is None else t.decode(ids)) and r["all"] == (None if x is None else t.decode(ids, skip_special_tokens=False))
+    assert rows[3]["all"] == texts[3] or name != "byte_bpe_50k.json"
+
+
 def test_ranks_and_running_maximum(spark):
     rows = [([3.0, 1.0, 3.0, 2.0],), ([5.0],), ([],), (None,)]
     df = spark.createDataFrame(rows, "a array<double>").select(A.ordinal_ranks(F.col("a")), A.running_max(F.col("a")))
