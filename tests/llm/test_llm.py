@@ -940,3 +940,22 @@ def test_pipeline(spark, hand, tmp_path):
     assert set(tokens_) == {d for d, _ in after}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "substring_dedup", "pii", "packing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows; then null doc_ids, blank and null texts, repeated rows and a text of a megabyte."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(["the", "house", "garden", "over", "quiet", "morning", "walks", "and"]) + rng.choice(["", "s", "ing"]) for _ in range(n))
+    long = say(150_000)
+    rows_ = [(i, say(60), "en", "s", 1) for i in range(40)] + [(None, say(60), "en", None, None), (None, None, None, None, None), (50, " ", "en", "s", 1), (51, None, "en", "s", 1), (52, long, "en", "s", 1), (3, "x", None, "s", 1)]
+    rows_ += [rows_[5], rows_[40]]
+    spark.createDataFrame(rows_, schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert len(long) > 1_000_000 and {r["doc_id"] for r in pieces} >= {*range(40), None, 52} - {3} and not {50, 51} & {r["doc_id"] for r in pieces}
+    used = collections.Counter()
+    for r in pieces:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 2048 and sum(r["length"] for r in pieces if r["doc_id"] == 52) == max(r["doc_tokens"] for r in pieces)
