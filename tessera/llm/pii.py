@@ -45,12 +45,12 @@ HEX = [DIGITS, "abcdef", "ABCDEF"]
 SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 #: Characters that no alphabet holds: all but digits and the letters below U+10000.
 OTHER = r"(?:[^0-9\p{L}]|[\x{10000}-\x{10FFFF}])"
-#: Letters of a script and case from which they are an alphabet of code points, not a string.
-MANY = 500
+#: Letters of a script and case in a row from which they are an alphabet of code points, not a string.
+MANY = 20
 
 
 def _other_letters() -> tuple[list[str], list[tuple[int, int]]]:
-    """All other letters below U+10000 by script and case (the first word of their names, and their category), and runs of very many."""
+    """All other letters below U+10000 by script and case (the first word of their names, and their category), and runs of many in a row."""
     groups: dict[tuple, list[int]] = {}
     for c in range(0x80, 0x10000):
         kind = unicodedata.category(chr(c))
@@ -135,11 +135,15 @@ def _shift_char(ch: Column, by: Column, alphabets: list[str]) -> Column:
 
 def _shift_code(ch: Column, code: Column, by: Column) -> Column:
     """A letter of one of the RUNS, moved on within it."""
-    low, size = F.lit(None).cast("int"), F.lit(1)
-    for a, z in RUNS:
-        low, size = F.when(code.between(a, z), a).otherwise(low), F.when(code.between(a, z), z - a + 1).otherwise(size)
-    new = F.decode(F.unhex(F.lpad(F.hex((low + F.pmod(code - low + by, size)).cast("long")), 4, "0")), "UTF-16BE")
-    return F.coalesce(new, ch)
+    lows, highs = (F.split(F.lit(",".join(str(r[k]) for r in sorted(RUNS))), ",").cast("array<int>") for k in (0, 1))
+
+    def of(x: Column) -> Column:
+        low, high = F.get(x["lows"], x["k"] - 1), F.get(x["highs"], x["k"] - 1)
+        new = F.decode(F.unhex(F.lpad(F.hex((low + F.pmod(code - low + by, high - low + 1)).cast("long")), 4, "0")), "UTF-16BE")
+        return F.when(code <= high, new).otherwise(ch)
+
+    at = bind(lows, lambda x: F.struct(x.alias("lows"), highs.alias("highs"), F.size(F.filter(x, lambda e: e <= code)).alias("k")))
+    return bind(at, of)
 
 
 def _moves(s: Column, by: Callable, hexed: Column | None, alphabets: list[str]) -> Column:
@@ -356,7 +360,7 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
 
     Case doesn't tell entities apart, nor do leading zeros of an address's numbers."""
     found = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
-    found = found.repartition(C.buckets_of(docs.sparkSession), "entity")  # few bytes but much work, so not for one task
+    found = found.repartition(C.buckets_of(docs.sparkSession), F.xxhash64("entity"))  # few bytes but much work, so not for one task; a plain key would be merged into the shuffle of distinct()
     same = F.when(F.col("entity").rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), F.regexp_replace("entity", r"(?<![0-9])0+(?=[0-9])", "")).otherwise(F.lower("entity"))
     made = found.select(same.alias("entity"), F.lower(surrogate(F.col("entity"), key)).alias("surrogate")).distinct()
     return made.groupBy("surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
