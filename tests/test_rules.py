@@ -241,7 +241,7 @@ def test_backends(spark):
 
 def test_report_files(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("rows= [0,8]\n\n[2,1,3]\nnot a list\n[4,4]\n[1,x]\n")
-    assert [(r["array_idx"], r["scores"]) for r in io.read_annotations(spark, f"{tmp_path}/notes.txt").collect()] == [(0, [2, 1, 3]), (1, [4, 4])]
+    assert sorted((r["array_idx"], r["scores"]) for r in io.read_annotations(spark, f"{tmp_path}/notes.txt").collect()) == [(0, [2, 1, 3]), (1, [4, 4])]
     (tmp_path / "eval.txt").write_text("Results\n====\n\nModel: org/base\n  Helpfulness: 0.7861\n  Correctness: 0.7843\n\nModel: org/ours\n  Helpfulness: 0.8153\n  Correctness: 0.8103\n")
     assert sorted(map(tuple, io.read_evaluation(spark, f"{tmp_path}/eval.txt").collect())) == [("org/base", 0.7861, 0.7843), ("org/ours", 0.8153, 0.8103)]
     table = "Tables\n=====\n\n" + "".join(f"Table {k}: title\nRows: Row model (y), Columns: model\n\nBase       0.500   0.4{k}0   0.332\nX      0.519   0.500   0.377\nOurs       0.668   0.624   0.500\n\n" for k in (1, 2, 3))
