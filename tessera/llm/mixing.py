@@ -38,7 +38,7 @@ from tessera.llm import common as C
 from tessera.llm.substring import kept_words
 
 #: Bytes of text in a batch.
-BATCH = 6 << 20
+BATCH = 5 << 20
 #: Tokens between two updates within a text, the rate, and the weight of the refining table against the text's own record.
 SEGMENT, RATE, RECORD = 16, 0.02, 32.0
 #: Bits of the third token before within an order-2 context, and of a token's class.
