@@ -7,6 +7,7 @@ range one row of totals reaches the driver, never a row of data.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,13 +54,20 @@ def before(parts: Sequence[dict], name: str, start, combine: Callable) -> dict[i
 
 
 def prefix_product(rows: DataFrame, factor: str, order: Sequence[str], out: str, start: float = 1.0) -> DataFrame:
-    """rows with `out`, start times the factors of all rows so far in order: products of ranges, their
-    offsets, then running products within each range.  A null factor counts as 1; order has to name each row once."""
-    at = F.coalesce(F.col(factor).cast("double"), F.lit(1.0))
-    ranged = in_ranges(rows.withColumn("_f", at), *order)
-    ahead = before(totals(ranged, p=F.product("_f")), "p", float(start), lambda x, y: x * y)
+    """rows with `out`, start times the product of the factors of all rows so far in order: running products within
+    ranges, which are written, and offsets of the ranges' products.  A null factor counts as 1; order has to name each row once.
+
+    As in a fold along the rows, a product that has become infinite or zero stays so, whatever factors follow; start
+    comes last, as in SQL's start * product(f)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_f", F.coalesce(F.col(factor).cast("double"), F.lit(1.0))).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     running = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.withColumn(out, by_part(ahead, "double") * F.product("_f").over(running)).drop("_f", "_part")
+    ranged = written(dealt.withColumn("_run", F.product("_f").over(running)), "products")
+    ahead = before(totals(ranged, p=F.product("_f")), "p", 1.0, lambda x, y: x * y)
+    whole = ranged.withColumns({"_c": by_part(ahead, "double") * F.col("_run"), "_at": F.struct(*order)})
+    gone = whole.where((F.col("_c") == 0) | (F.abs("_c") == math.inf)).agg(F.min(F.struct("_at", "_c")).alias("_gone"))
+    stays = F.when(F.col("_at") >= F.col("_gone._at"), F.col("_c") * F.abs("_gone._c")).otherwise(F.col("_c"))
+    return whole.crossJoin(F.broadcast(gone)).withColumn(out, F.lit(float(start)) * stays).drop("_f", "_part", "_run", "_c", "_at", "_gone")
 
 
 def adaptive_coefficient(rows: DataFrame, kl: str, order: Sequence[str], out: str, start: float, target: float, horizon: float, batch: float) -> DataFrame:
