@@ -5,6 +5,9 @@ One row holds all rewards of a prompt, so none of these moves rows.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,14 +68,55 @@ def penalties(first: Column, second: Column, beta: float) -> Column:
     return F.transform(second, lambda i: F.exp(-share(i)))
 
 
-def worst_dimension(dims: list[Column], m: int, beta: float) -> Column:
-    """Struct of A (sum of penalties for each dimension), j (its first arg-max), e and rewards of that dimension.
+def worst_penalties(dims: list[Column], m: int, beta: float) -> Column:
+    """Struct of A (sum of penalties for each dimension) and e (its penalties).
 
     Each dimension's array holds m responses y', m responses y_k, and the rest z."""
     e = F.array(*[penalties(F.slice(d, m + 1, m), F.slice(d, 1, m), beta) for d in dims])
-    a = lambda x: F.transform(x, total)
-    step = bind(e, lambda x: F.struct(a(x).alias("A"), x.alias("e")))
-    return bind(step, lambda x: F.struct(x["A"].alias("A"), arg_max(x["A"]).alias("j"), F.get(x["e"], arg_max(x["A"])).alias("e"), F.get(F.array(*dims), arg_max(x["A"])).alias("r")))
+    return bind(e, lambda x: F.struct(F.transform(x, total).alias("A"), x.alias("e")))
+
+
+#: Relative distance of two sums of penalties below which rounding may decide which one is greater.
+NEAR = 1e-12
+
+
+def near_tie(a: Column) -> Column:
+    """Does another value lie within rounding of the greatest one?"""
+    return F.size(F.filter(a, lambda x: x >= F.array_max(a) * (1 - NEAR))) > 1
+
+
+def _library_exp(x: float) -> float:
+    return math.exp(x) if x < 709 else math.inf
+
+
+def _arg_max_of_penalties(dims, m: int, beta: float) -> int | None:
+    sums = []
+    for d in dims:
+        if d is None or any(x is None for x in d[: 2 * m]):
+            return None
+        first, second, total_ = d[m : 2 * m], d[:m], 0.0
+        for i in second:
+            share = 0.0
+            for k in first:
+                share += 1 / (1 + _library_exp(i - k))
+            total_ += _library_exp(-(share / beta / len(first)))
+        sums.append(total_)
+    return sums.index(max(sums)) if all(x == x for x in sums) else None
+
+
+def arg_max_by_library(dims: Column, m: int, beta: float) -> Column:
+    """The first arg-max of A with the C library's exp, which is nearer to the true value than Java's: ties that rounding
+    decides come out as they do in SQL engines.  For an array of the dimensions' arrays; null for null."""
+
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else _arg_max_of_penalties(d, m, beta) for d in batch], dtype="Int32")
+
+    return F.pandas_udf(run, "int")(dims)
+
+
+def worst_of(dims: list[Column], penalties_: Column, j: Column) -> Column:
+    """Struct of A, j, e and rewards of dimension j."""
+    return F.struct(penalties_["A"].alias("A"), j.alias("j"), F.get(penalties_["e"], j).alias("e"), F.get(F.array(*dims), j).alias("r"))
 
 
 def worst_dimension_pair(w: Column, m: int) -> Column:

@@ -45,9 +45,13 @@ def weighted_difference(targets: DataFrame, weights: list[float], prefix: str =
 
 
 def worst_dimension_pairs(packed: DataFrame, dims: list[str], m: int = 2, beta: float = 1.0) -> DataFrame:
-    """Pair and targets by the dimension in which the pool does worst (its first arg-max of A)."""
-    w = A.worst_dimension([F.col(d) for d in dims], m, beta)
-    rows = packed.where(F.size(dims[0]) > 2 * m).select("prompt_id", w.alias("w"))
+    """Pair and targets by the dimension in which the pool does worst (its first arg-max of A).
+
+    Where sums A lie within rounding of one another, and only there, Python tasks find the arg-max."""
+    columns = [F.col(d) for d in dims]
+    rows = packed.where(F.size(dims[0]) > 2 * m).select("prompt_id", *dims, A.worst_penalties(columns, m, beta).alias("s"))
+    tied = A.arg_max_by_library(F.when(A.near_tie(F.col("s.A")), F.array(*columns)), m, beta)
+    rows = rows.withColumn("j", F.coalesce(tied, A.arg_max(F.col("s.A")))).select("prompt_id", A.worst_of(columns, F.col("s"), F.col("j")).alias("w"))
     rows = rows.select("prompt_id", F.col("w.j").alias("j_star"), F.get(F.col("w.A"), F.col("w.j")).alias("a_star"), A.worst_dimension_pair(F.col("w"), m).alias("p"))
     return rows.select("prompt_id", "j_star", "a_star", "p.chosen", "p.reject", "p.g_chosen", "p.g_reject")
 

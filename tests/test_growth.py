@@ -2,7 +2,7 @@
 
 import duckdb
 
-from tessera.operators import ordered
+from tessera.operators import ordered, selection
 
 
 def test_product_is_infinite_where_sql_says_so(spark):
@@ -11,3 +11,10 @@ def test_product_is_infinite_where_sql_says_so(spark):
     want = duckdb.sql("SELECT i, 0.05 * product(f) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM (VALUES (0, 1e307::DOUBLE), (1, 20.0::DOUBLE), (2, 0.01::DOUBLE), (3, 0.5::DOUBLE)) t(i, f) ORDER BY i").fetchall()
     out = ordered.prefix_product(spark.createDataFrame(rows, "i int, f double"), "f", ["i"], "c", 0.05).orderBy("i").select("i", "c")
     assert [tuple(r) for r in out.collect()] == want
+
+
+def test_worst_dimension_where_rounding_decides(spark):
+    """Order 49684 of sf0.1: two sums of penalties are one and the same but for rounding."""
+    row = (49684, [0.86, 0.26, 0.66, 0.62, 0.4, 1.0], [0.8999999999999999, 0.5, 0.7000000000000001, 0.8, 0.3, 0.5], [0.1, 0.5, 0.4, 0.3, 0.3, 0.0])
+    out = selection.worst_dimension_pairs(spark.createDataFrame([row], "prompt_id long, a0 array<double>, a1 array<double>, a2 array<double>"), ["a0", "a1", "a2"]).first()
+    assert (out["j_star"], out["chosen"], out["reject"]) == (1, 1, 0)
