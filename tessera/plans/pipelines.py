@@ -19,9 +19,16 @@ def preference_pairs(prompts: DataFrame, prompt: str, responses: int, dims: list
     return selection.best_worst_pair(pack(scored, ["r0"], ["a0"]), "a0", selection_size)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows by prompt_id over many tasks: a prompt's row is short, but becomes many long ones, which then stay where they are."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, "prompt_id")
+
+
 def checklist_judging(pairs: DataFrame, template: str, n: int = 5) -> DataFrame:
     """prompt_id, prompt, response_0, response_1, requirements -> a row for each prompt with aligned lists of votes."""
-    items = judging.explode_requirements(pairs, "requirements")
+    items = judging.explode_requirements(dealt(pairs), "requirements")
     fields = lambda a, b: T.fill_template(template, prompt=F.col("prompt"), response_a=F.col(a), response_b=F.col(b), check=F.col("check"))
     orders = F.array(F.struct(F.lit(False).alias("switched"), fields("response_0", "response_1").alias("ask")), F.struct(F.lit(True).alias("switched"), fields("response_1", "response_0").alias("ask")))
     asked = items.select("prompt_id", "check_idx", "check", "importance", F.explode(orders).alias("o")).select("prompt_id", "check_idx", "check", "importance", "o.switched", "o.ask")
@@ -37,7 +44,8 @@ def all_pairs_judging(rows: DataFrame, template: str, responses: list[str], n: i
     both orders judged n times by letter, switched ones reversed, one vote."""
     pairs = [(i, j) for i in range(len(responses)) for j in range(i + 1, len(responses))]
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(responses[i]).alias("response_0"), F.col(responses[j]).alias("response_1")) for i, j in pairs])
-    one = judging.explode_requirements(rows.select("prompt_id", "prompt", "requirements", F.explode(cells).alias("p")).select("prompt_id", "prompt", "requirements", "p.*"), "requirements")
+    items = judging.explode_requirements(dealt(rows), "requirements")
+    one = items.select("prompt_id", "prompt", "check_idx", "check", F.explode(cells).alias("p")).select("prompt_id", "prompt", "check_idx", "check", "p.*")
     ask = lambda a, b: T.fill_template(template, prompt=F.col("prompt"), response_a=F.col(a), response_b=F.col(b), check=F.col("check"))
     orders = F.array(F.struct(F.lit(False).alias("switched"), ask("response_0", "response_1").alias("ask")), F.struct(F.lit(True).alias("switched"), ask("response_1", "response_0").alias("ask")))
     asked = one.select("prompt_id", "i", "j", "check_idx", F.explode(orders).alias("o")).select("prompt_id", "i", "j", "check_idx", "o.switched", "o.ask")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from test_agreement import exact_p
 from tessera.operators import agreement, ordered, selection
+from tessera.plans import pipelines
 
 
 def test_product_is_infinite_where_sql_says_so(spark):
@@ -35,3 +36,14 @@ def test_p_of_few_pairs_is_a_finite_sum(spark):
     start = time.perf_counter()
     spark.range(300_000).select(agreement.p_value(F.col("id") / 400_000, F.lit(7)).alias("p")).agg(F.sum("p")).collect()
     assert time.perf_counter() - start < 15
+
+
+def test_judged_prompts_are_dealt_out(spark):
+    """A short table comes in one split; what a prompt becomes is judged in many tasks, each with a share."""
+    columns = [F.lit("p").alias("prompt"), *[F.lit(f"r{k}").alias(f"response_{k}") for k in range(3)], F.lit("1) a (importance: 1/100)\n2) b (importance: 2/100)").alias("requirements")]
+    rows = spark.range(0, 2000, 1, 1).select(F.col("id").alias("prompt_id"), *columns)
+    parts = {r["part"]: r["count"] for r in pipelines.dealt(rows).groupBy(F.spark_partition_id().alias("part")).count().collect()}
+    assert len(parts) >= 4 * spark.sparkContext.defaultParallelism and max(parts.values()) < 400
+    for out in (pipelines.checklist_judging(rows, "{prompt}{check}", n=1), pipelines.all_pairs_judging(rows, "{prompt}{check}", ["response_0", "response_1", "response_2"])):
+        assert "RepartitionByExpression" in out._jdf.queryExecution().analyzed().toString()
+        assert out.select("prompt_id").distinct().count() == 2000
