@@ -7,6 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from test_agreement import exact_p
+from tessera.functions import vocabulary as V
 from tessera.operators import agreement, ordered, selection
 from tessera.plans import pipelines
 
@@ -47,3 +48,23 @@ def test_judged_prompts_are_dealt_out(spark):
     for out in (pipelines.checklist_judging(rows, "{prompt}{check}", n=1), pipelines.all_pairs_judging(rows, "{prompt}{check}", ["response_0", "response_1", "response_2"])):
         assert "RepartitionByExpression" in out._jdf.queryExecution().analyzed().toString()
         assert out.select("prompt_id").distinct().count() == 2000
+
+
+def test_the_library_gets_bounded_slices(monkeypatch):
+    """However many texts a batch has, only some of their characters are with the library at once; results keep their places."""
+    calls = []
+
+    class Library:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            calls.append(sum(map(len, texts)))
+            return [type("E", (), {"ids": [len(t)], "__len__": lambda self: 1})() for t in texts]
+
+        def decode_batch(self, ids, skip_special_tokens):
+            calls.append(sum(map(len, ids)))
+            return [str(len(x)) for x in ids]
+
+    monkeypatch.setattr(V, "_tokenizer", lambda path: Library())
+    texts = ["x" * (1 + k % 5000) for k in range(1000)]
+    assert [e.ids for e in V._encoded("", texts)] == [[len(t)] for t in texts]
+    assert len(calls) > 1 and max(calls) <= V.AT_ONCE
+    assert [len(s) for s in V._slices(["x" * (V.AT_ONCE + 1), "y", "z"])] == [1, 2] and list(V._slices([])) == []
