@@ -10,6 +10,7 @@ from test_agreement import exact_p
 from tessera.functions import vocabulary as V
 from tessera.operators import agreement, ordered, selection
 from tessera.plans import pipelines
+from tessera.plans.registry import QUERIES
 
 
 def test_product_is_infinite_where_sql_says_so(spark):
@@ -68,3 +69,9 @@ def test_the_library_gets_bounded_slices(monkeypatch):
     assert [e.ids for e in V._encoded("", texts)] == [[len(t)] for t in texts]
     assert len(calls) > 1 and max(calls) <= V.AT_ONCE
     assert [len(s) for s in V._slices(["x" * (V.AT_ONCE + 1), "y", "z"])] == [1, 2] and list(V._slices([])) == []
+
+
+def test_flattened_sides_share_one_packing(spark, small):
+    """The lines are packed once; both sides, with their splits and sizes, read what was written."""
+    out = QUERIES["flattened_correlation"](spark, small)
+    assert out.inputFiles() and not any("lineitem.parquet" in f for f in out.inputFiles())
