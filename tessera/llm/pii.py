@@ -121,16 +121,25 @@ def _chars(s: Column) -> Column:
     return F.split(s, "")
 
 
-def _shift_char(ch: Column, by: Column, alphabets: list[str]) -> Column:
-    """ch moved on in its alphabet.  The alphabets (and, but for hex digits, all other letters by script and case) lie one
-    after another in one string; at the same places of two others stand, as code points, where an alphabet begins and its size."""
-    groups = alphabets if alphabets is HEX else alphabets + LETTERS
-    begins = [sum(map(len, groups[:k])) + 1 for k in range(len(groups))]
-    every, first, size = (F.lit("".join(x)) for x in (groups, [chr(a) * len(g) for a, g in zip(begins, groups)], [chr(len(g)) * len(g) for g in groups]))
-    number = lambda text, i: F.ascii(F.substr(text, i, F.lit(1)))
-    moved = lambda i: bind(number(first, i), lambda a: F.substr(every, a + F.pmod(i - a + by, number(size, i)), F.lit(1)))
-    other = ch if alphabets is HEX else F.when(ch.rlike(r"\p{L}"), bind(F.ascii(ch), lambda c: _shift_code(ch, c, by))).otherwise(ch)
-    return bind(F.instr(every, ch), lambda i: F.when(ch == "", ch).when(i > 0, moved(i)).otherwise(other))
+def _tables(alphabets: list[str], hexed: Column | None) -> Column:
+    """The alphabets (and, but for hex digits, all other letters by script and case), one after another in one string; at the
+    same places of two others stand, as code points, where an alphabet begins and its size.  Those of hex digits where hexed."""
+
+    def of(groups: list[str], more: bool) -> Column:
+        begins = [sum(map(len, groups[:k])) + 1 for k in range(len(groups))]
+        parts = {"every": groups, "first": [chr(a) * len(g) for a, g in zip(begins, groups)], "size": [chr(len(g)) * len(g) for g in groups]}
+        return F.struct(*[F.lit("".join(x)).alias(k) for k, x in parts.items()], F.lit(more).alias("more"))
+
+    plain = of(alphabets + LETTERS, True)
+    return plain if hexed is None else F.when(hexed, of(HEX, False)).otherwise(plain)
+
+
+def _shift_char(ch: Column, by: Column, tables: Column) -> Column:
+    """ch moved on in its alphabet."""
+    number = lambda k, i: F.ascii(F.substr(tables[k], i, F.lit(1)))
+    moved = lambda i: bind(number("first", i), lambda a: F.substr(tables["every"], a + F.pmod(i - a + by, number("size", i)), F.lit(1)))
+    other = F.when(tables["more"] & ch.rlike(r"\p{L}"), bind(F.ascii(ch), lambda c: _shift_code(ch, c, by))).otherwise(ch)
+    return bind(F.instr(tables["every"], ch), lambda i: F.when(ch == "", ch).when(i > 0, moved(i)).otherwise(other))
 
 
 def _shift_code(ch: Column, code: Column, by: Column) -> Column:
@@ -146,44 +155,33 @@ def _shift_code(ch: Column, code: Column, by: Column) -> Column:
     return bind(at, of)
 
 
-def _moves(s: Column, by: Callable, hexed: Column | None, alphabets: list[str]) -> Column:
-    """s with its i-th character moved by(i) places within its alphabet."""
-    plain = lambda ch, n: _shift_char(ch, n, alphabets)
-    move = plain if hexed is None else lambda ch, n: F.when(hexed, _shift_char(ch, n, HEX)).otherwise(plain(ch, n))
-    return F.array_join(F.transform(_chars(s), lambda ch, i: bind(by(i), lambda n: move(ch, n))), "")
-
-
-def _shift(s: Column, seed: Column, hexed: Column | None, alphabets: list[str], sign: int) -> Column:
-    """s with each character moved (sign 1) or moved back (-1) by a stream that the seed fixes."""
-    stream = F.concat(F.sha2(F.concat(seed, F.lit("a")), 256), F.sha2(F.concat(seed, F.lit("b")), 256))
-    by = lambda k, i: F.conv(F.substr(k, F.pmod(3 * i, F.lit(120)) + 1, F.lit(3)), 16, 10).cast("int") * sign
-    return bind(stream, lambda k: _moves(s, lambda i: by(k, i), hexed, alphabets))
-
-
 def feistel(s: Column, key: str, salt: Column | str, hexed: Column | None = None, alphabets: list[str] = ALPHABETS) -> Column:
     """A keyed bijection of strings that keeps each character's alphabet, and no string that has a symbol; other characters stay.
 
     The rounds, a step of all symbols in their alphabets (by 1 to 4, as the key says), and the rounds back: as the step
-    keeps nothing, the whole keeps nothing.
+    keeps nothing, the whole keeps nothing.  All turns are one expression within a fold: written out, they made plans of
+    which the driver needs several hundred MB.
     hexed: a-f and A-F are alphabets of their own."""
     salt = F.lit(salt) if isinstance(salt, str) else salt
     half = F.floor(F.length(s) / 2).cast("int")
-    out = F.struct(F.substr(s, F.lit(1), half).alias("a"), F.substr(s, half + 1).alias("b"))
-    seed = lambda r, x: F.concat(F.lit(f"{key}|{r}|"), salt, F.lit("|"), x, F.lit("|"))
+    step = 1 + hashlib.sha256(f"{key}|step".encode()).digest()[0] % 4
+    parted = lambda v: F.struct(F.substr(v, F.lit(1), half).alias("a"), F.substr(v, half + 1).alias("b"))
 
-    def turn(r: int, sign: int) -> Callable:
-        if r % 2 == 0:
-            return lambda x: F.struct(_shift(x["a"], seed(r, x["b"]), hexed, alphabets, sign).alias("a"), x["b"].alias("b"))
-        return lambda x: F.struct(x["a"].alias("a"), _shift(x["b"], seed(r, x["a"]), hexed, alphabets, sign).alias("b"))
+    def turn(x: Column, t: Column, tables: Column) -> Column:
+        """Turn t: rounds 0, 1, ..., the step (t = ROUNDS), rounds ..., 1, 0 back.  Even rounds move a by what b fixes, odd ones b."""
+        r, all_ = F.least(t, 2 * ROUNDS - t), t == ROUNDS
+        even = F.pmod(r, F.lit(2)) == 0
+        seed = F.concat(F.lit(f"{key}|"), r.cast("string"), F.lit("|"), salt, F.lit("|"), F.when(even, x["b"]).otherwise(x["a"]), F.lit("|"))
+        stream = bind(seed, lambda k: F.concat(F.sha2(F.concat(k, F.lit("a")), 256), F.sha2(F.concat(k, F.lit("b")), 256)))
+        what = F.when(all_, F.concat(x["a"], x["b"])).when(even, x["a"]).otherwise(x["b"])
+        sign = F.when(t < ROUNDS, 1).otherwise(-1)
+        by = lambda k, i: F.when(all_, F.lit(step)).otherwise(F.conv(F.substr(k, F.pmod(3 * i, F.lit(120)) + 1, F.lit(3)), 16, 10).cast("int") * sign)
+        moved = bind(stream, lambda k: F.array_join(F.transform(_chars(what), lambda ch, i: bind(by(k, i), lambda n: _shift_char(ch, n, tables))), ""))
+        part = lambda m: F.when(all_, parted(m)).when(even, F.struct(m.alias("a"), x["b"].alias("b"))).otherwise(F.struct(x["a"].alias("a"), m.alias("b")))
+        return bind(moved, part)
 
-    for r in range(ROUNDS):
-        out = bind(out, turn(r, 1))
-    by = 1 + hashlib.sha256(f"{key}|step".encode()).digest()[0] % 4
-    parted = lambda v: F.struct(F.substr(v, F.lit(1), half).alias("a"), F.substr(v, half + 1).alias("b"))
-    out = bind(bind(out, lambda x: _moves(F.concat(x["a"], x["b"]), lambda i: F.lit(by), hexed, alphabets)), parted)
-    for r in reversed(range(ROUNDS)):
-        out = bind(out, turn(r, -1))
-    return bind(out, lambda x: F.concat(x["a"], x["b"]))
+    turns = F.sequence(F.lit(0), F.lit(2 * ROUNDS))
+    return bind(_tables(alphabets, hexed), lambda tables: F.aggregate(turns, parted(s), lambda x, t: turn(x, t, tables), lambda x: F.concat(x["a"], x["b"])))
 
 
 def walk(s: Column, bad: Callable, turn: Callable) -> Column:
@@ -220,11 +218,14 @@ def _ip(e: Column, key: str) -> Column:
     part = lambda i: F.element_at(F.split(e, r"\."), i).cast("int")
     out = F.struct((part(1) * 256 + part(2)).alias("a"), (part(3) * 256 + part(4)).alias("b"))
     f = lambda r, x: F.conv(F.substr(F.sha2(F.concat(F.lit(f"{key}|ip{r}|"), x.cast("string")), 256), F.lit(1), F.lit(4)), 16, 10).cast("int")
-    for r in range(IP_ROUNDS):
+
+    def turn(r: int) -> Callable:  # of one parameter: transform gives an index to a second, and r would be that
         if r % 2 == 0:
-            out = bind(out, lambda x, r=r: F.struct(F.pmod(x["a"] + f(r, x["b"]), F.lit(65536)).alias("a"), x["b"].alias("b")))
-        else:
-            out = bind(out, lambda x, r=r: F.struct(x["a"].alias("a"), F.pmod(x["b"] + f(r, x["a"]), F.lit(65536)).alias("b")))
+            return lambda x: F.struct(F.pmod(x["a"] + f(r, x["b"]), F.lit(65536)).alias("a"), x["b"].alias("b"))
+        return lambda x: F.struct(x["a"].alias("a"), F.pmod(x["b"] + f(r, x["a"]), F.lit(65536)).alias("b"))
+
+    for r in range(IP_ROUNDS):
+        out = bind(out, turn(r))
     low = lambda v: F.concat(F.floor(v / 256).cast("string"), F.lit("."), F.pmod(v, F.lit(256)).cast("string"))
     return bind(out, lambda x: F.concat(low(x["a"]), F.lit("."), low(x["b"])))
 
@@ -241,9 +242,8 @@ def _known(key: str) -> Column:
 def _name(e: Column, key: str) -> Column:
     """The title stays; known first names go round in their list, others keep their last vowel, which tells gender."""
     title = F.regexp_extract(e, rf"^(?:{TITLES_M}|{TITLES_F}|{TITLES}) ", 0)
-    known = _known(key)
 
-    def one(w: Column) -> Column:
+    def one(w: Column, known: Column) -> Column:
         def made(x: Column) -> Column:
             bad = lambda v: known[F.concat(v, x["end"])].isNotNull()
             return F.concat(walk(x["body"], bad, lambda v: feistel(v, key, "name", alphabets=SOUNDS)), x["end"])
@@ -251,7 +251,8 @@ def _name(e: Column, key: str) -> Column:
         end = F.regexp_extract(w, "(?<=.)[aeiouаеиояαεηιο]$", 0)
         return F.coalesce(known[w], bind(F.struct(F.substr(w, F.lit(1), F.length(w) - F.length(end)).alias("body"), end.alias("end")), made))
 
-    return bind(title, lambda t: F.concat(t, F.array_join(F.transform(F.split(F.substr(e, F.length(t) + 1), " "), one), " ")))
+    words = lambda t, known: F.transform(F.split(F.substr(e, F.length(t) + 1), " "), lambda w: one(w, known))
+    return bind(_known(key), lambda known: bind(title, lambda t: F.concat(t, F.array_join(words(t, known), " "))))
 
 
 def _capitals(e: Column, new: Column) -> Column:
