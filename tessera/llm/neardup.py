@@ -175,10 +175,10 @@ def block_of(n: str) -> Column:
     return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
 
 
-def links_of(docs: DataFrame, tiles: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links within each tile (i, j) of a family; tiles: rep, family and the tiles that a class is in."""
-    texts = docs.join(tiles.hint("merge"), docs.doc_id == tiles.rep).select("doc_id", "text", "family", F.explode("tiles").alias("tile"))
-    texts = texts.select("doc_id", "text", "family", "tile.i", "tile.j").repartition(C.buckets_of(docs.sparkSession), "family", "i", "j")
+def links_of(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links within each tile (i, j) of a family; texts: doc_id, text, family and the tiles that a class is in."""
+    texts = texts.select("doc_id", "text", "family", F.explode("tiles").alias("tile"))
+    texts = texts.select("doc_id", "text", "family", "tile.i", "tile.j").repartition(C.buckets_of(texts.sparkSession), "family", "i", "j")
     return C.map_arrow(texts.sortWithinPartitions("family", "i", "j", "doc_id"), _tiles(k, percent, 100), "a long, b long")
 
 
@@ -224,11 +224,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, functions: i
     dealt = family.join(size, "family").withColumn("own", block_of("n"))
     tile = lambda j: F.struct(F.lit(0).alias("i"), j.alias("j"))
     first = F.when(F.col("own") == 0, F.transform(F.sequence(F.least(F.lit(1), F.col("n") - 1), F.col("n") - 1), tile)).otherwise(F.array(tile(F.col("own"))))
-    links = C.materialise(links_of(docs, dealt.select("rep", "family", first.alias("tiles")), k, percent), "links")
+    # texts of families are few, so they are written once: the strays' tiles don't shuffle all documents anew
+    texts = C.materialise(docs.join(dealt.hint("merge"), docs.doc_id == dealt.rep).select("doc_id", "text", "family", "n", "own"), "texts")
+    links = C.materialise(links_of(texts.withColumn("tiles", first), k, percent), "links")
     comp = C.components(links, "links")
     large = family.join(size.where("n > 2"), "family", "left_semi")  # one tile has compared all of a smaller one
     if not large.isEmpty():
-        more = links_of(docs, strays(large, comp), k, percent)
+        tiles = strays(large, comp).select("rep", "tiles")
+        more = links_of(texts.where("n > 2").join(tiles.hint("merge"), F.col("doc_id") == F.col("rep")), k, percent)
         comp = C.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), "links")
     of_class = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "members", F.coalesce("comp", "rep").alias("comp"))
     # classes of very many copies are few, so they go to the rows; the rows of all others meet theirs in a shuffle

@@ -392,6 +392,29 @@ def test_strays_of_a_family_meet_all(spark, monkeypatch):
     assert got == want
 
 
+def test_strays_read_documents_no_third_time(spark, monkeypatch):
+    """Documents are read for their sets and for the texts of families; tiles of strays come from these, with the same links."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(3)
+    pairs = []
+    for i in range(70):
+        at = rng.sample(range(120), rng.randrange(1, 4))
+        pairs.append((i, " ".join(f"v{j}{rng.randrange(2)}" if j in at else f"w{j}" for j in range(120))))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    strayed = []
+    monkeypatch.setattr(neardup, "strays", lambda family, comp, real=neardup.strays: strayed.append(C.materialise(real(family, comp), "s")) or strayed[0])
+    df = spark.createDataFrame(pairs, "doc_id long, text string").mapInArrow(seen, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 3, 85).collect()}
+    assert got == brute_components(pairs, 3, 85)
+    assert strayed[0].count() > 0 and read.value == 2 * len(pairs)
+
+
 def test_near_recall_on_all_pairs(docs, local):
     """Links found of all links that exist, by brute force, for near copies that aren't equal."""
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 5, 80).collect()}
